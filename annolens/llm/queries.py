@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe_codec, line_runs, near_dedup, suffix_match, token_count, varint_ids
-from annolens.llm._common import read_table, shared_dir
+from annolens.llm import bpe_codec, class_lm, line_runs, near_dedup, quality_rules, secret_scan, suffix_match, token_count, varint_ids, warc_convert
+from annolens.llm._common import cut, read_table, shared_dir
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.score(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +33,29 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", near_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = shared_dir(spark), shared_dir(spark)
+    warc_convert.write_arc(read_table(spark, sf_dir, "pages"), arc)
+    warc_convert.write_warc(warc_convert.convert(warc_convert.read_arc(spark, arc)), warc)
+    records = cut(warc_convert.read_warc(spark, warc).drop("payload"))
+    return warc_convert.with_referred(records).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     varint_ids.write_ids(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return varint_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = class_lm.train(docs.where(~class_lm.is_held_out(F.col("doc_id"))))
+    scored = class_lm.score(docs, model, counts)
+    return scored.select(
+        "doc_id", class_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.vocab.total)).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
@@ -41,17 +63,27 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(read_table(spark, sf_dir, "documents"))
+    counts = [secret_scan.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.described(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.described(F.col("spans")).alias("spans"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_frequent(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
+    "op7_class_lm": op7_class_lm,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 

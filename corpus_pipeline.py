@@ -10,10 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe_codec, line_runs, near_dedup, suffix_match
+from annolens.llm import bpe_codec, line_runs, near_dedup, quality_rules, suffix_match
 from annolens.llm._common import cut, prepare, read_table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak supervision of quality rules rejects go."""
+    prepare(spark)
+    return quality_rules.keep_good(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go from every document; n_chars follows the text."""
     prepare(spark)
@@ -41,6 +47,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality rules", quality),
     ("line dedup", line_dedup),
     ("near duplicates", near_duplicates),
     ("benchmark decontamination", decontamination),
