@@ -156,11 +156,9 @@ def _other(spark, sf_dir) -> DataFrame:
     return g.join(p, ["image_id", "cls"]).withColumnsRenamed({"g_det_id": "a", "p_det_id": "b"})
 
 
-def _measured(spark, sf_dir, **values) -> DataFrame:
-    return _other(spark, sf_dir).select("image_id", "a", "b", *[F.round(v, 6).alias(n) for n, v in values.items()])
-
-
-A, B = box(prefix="g_"), box(prefix="p_")
+def _measured(spark, sf_dir, **measures) -> DataFrame:
+    a, b = box(prefix="g_"), box(prefix="p_")
+    return _other(spark, sf_dir).select("image_id", "a", "b", *[F.round(of(a, b), 6).alias(n) for n, of in measures.items()])
 
 
 @query("SELECT image_id, g_det_id AS a, p_det_id AS b, round(iou, 6) AS iou FROM pairs WHERE g_cls = p_cls", BOXES, PAIRS)
@@ -171,7 +169,7 @@ def iou_pairs(spark, sf_dir):
 
 @query("SELECT image_id, a, b, round(i / (bw * bh + 1e-7), 6) AS ioa FROM other", BOXES, _OTHER)
 def ioa_pairs(spark, sf_dir):
-    return _measured(spark, sf_dir, ioa=overlap.ioa(A, B))
+    return _measured(spark, sf_dir, ioa=overlap.ioa)
 
 
 @query(
@@ -183,7 +181,7 @@ def ioa_pairs(spark, sf_dir):
     _OTHER,
 )
 def giou_diou_ciou(spark, sf_dir):
-    return _measured(spark, sf_dir, giou=overlap.giou(A, B), diou=overlap.diou(A, B), ciou=overlap.ciou(A, B))
+    return _measured(spark, sf_dir, giou=overlap.giou, diou=overlap.diou, ciou=overlap.ciou)
 
 
 _COV = "{w} * {w} / 12 * cos({r}) * cos({r}) + {h} * {h} / 12 * sin({r}) * sin({r}) AS {n}1, {w} * {w} / 12 * sin({r}) * sin({r}) + {h} * {h} / 12 * cos({r}) * cos({r}) AS {n}2, ({w} * {w} / 12 - {h} * {h} / 12) * cos({r}) * sin({r}) AS {n}3"
@@ -210,7 +208,7 @@ def probiou_pairs(spark, sf_dir):
 def oks_pairs(spark, sf_dir):
     """The two corners as keypoints."""
     points = lambda p: F.array(*[F.struct(F.col(f"{p}x{i}").alias("x"), F.col(f"{p}y{i}").alias("y"), F.lit(1).alias("v")) for i in (1, 2)])
-    return _measured(spark, sf_dir, oks=overlap.keypoint_similarity(points("g_"), points("p_"), [0.1, 0.2], F.col("g_w") * F.col("g_h") * 0.53))
+    return _measured(spark, sf_dir, oks=lambda a, b: overlap.keypoint_similarity(points("g_"), points("p_"), [0.1, 0.2], F.col("g_w") * F.col("g_h") * 0.53))
 
 
 # --- filters
