@@ -14,7 +14,8 @@ with the runs and its frequent keys joined back to it. Both ways give the same r
 
 Cases: null or empty text is one empty line, kept; a blank line has an empty key and
 is never dropped; a document is a row, so repeated rows count one each; a line that a
-document repeats counts once; extra columns stay.
+document repeats counts once; extra columns stay, but for those named n_lines or n_dropped,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -136,6 +137,7 @@ def _strip(text: str | None, frequent) -> tuple[str, int, int]:
 
 def drop_frequent(docs: DataFrame, min_docs: int = 10, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with frequent lines cut from ``text_col``, and n_lines and n_dropped added."""
+    docs = docs.drop("n_lines", "n_dropped")
     frequent = frequent_lines(docs, min_docs, text_col)
     names = docs.columns
     at = names.index(text_col)

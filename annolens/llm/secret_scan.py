@@ -3,9 +3,12 @@
 Patterns find assignments of long values to secret-like names, access keys and hexadecimal
 runs. Two first-order character models, one of random strings and one of ordinary
 identifiers, are counted from labelled samples: the values that the patterns matched in
-all documents, and the letter runs of about SAMPLE_DOCS documents chosen by hash. A run of
-token characters is a secret if its mean log-likelihood ratio per transition is at least
-MEAN_RATIO. Such spans are added to the pattern spans; those that overlap one are left out.
+all documents, and the runs of token characters outside the patterns' matches in a sample
+of about ``sample_docs`` documents chosen by hash (a bounded sample for fitting; every text
+is scanned and every candidate scored). Rates of a pair back off to those of its second
+character. A run of token characters is a secret if its mean log-likelihood ratio per
+transition is at least MEAN_RATIO. Such spans are added to the pattern spans; those that
+overlap one are left out.
 
 All of it is Column expressions: spans are the running sums of the lengths of matches and of
 the gaps between them, in code points. The model is one array of len(ALPHABET) squared
@@ -33,8 +36,9 @@ KINDS = [
 MARKOV = "markov"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"[A-Za-z_]{4,}"
+ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
 SAMPLE_DOCS = 20_000
+BACKOFF = 64.0
 MEAN_RATIO = 0.7
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -75,22 +79,29 @@ def _transitions(strings: DataFrame) -> DataFrame:
     return strings.where(F.length("v") >= 2).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
-def train(scanned: DataFrame, docs: DataFrame, text_col: str = "text") -> list[float]:
-    """The log-likelihood ratio of each pair of ALPHABET, row by row; add-one smoothed rates of both models."""
+def _rates(counts: DataFrame) -> list[list[float]]:
+    """Rate of each second character after each first, backing off to its rate after any."""
+    size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
+    table = [[0] * size for _ in range(size)]
+    for r in counts.collect():  # one row for each pair of characters at most
+        a, b = at.get(r.pair[0]), at.get(r.pair[1])
+        if a is not None and b is not None:
+            table[a][b] += r.n
+    total = sum(map(sum, table))
+    alone = [(sum(column) + 1) / (total + size) for column in zip(*table)]
+    return [[(n + BACKOFF * u) / (sum(row) + BACKOFF) for n, u in zip(row, alone)] for row in table]
+
+
+def train(scanned: DataFrame, docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
+    """The log-likelihood ratio of each pair of ALPHABET, row by row."""
     random_counts = _transitions(scanned.select(F.explode("base").alias("b")).select("b.v"))
-    share = max(1, scanned.count() // SAMPLE_DOCS)
+    share = max(1, scanned.count() // sample_docs)
     sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0)
-    word_counts = _transitions(sample.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("v")))
-    size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
-    rates = []
-    for counts in (random_counts, word_counts):
-        table = [[1.0] * size for _ in range(size)]
-        for r in counts.collect():  # one row for each pair of characters at most
-            a, b = at.get(r.pair[0]), at.get(r.pair[1])
-            if a is not None and b is not None:
-                table[a][b] += r.n
-        rates.append([[x / sum(row) for x in row] for row in table])
-    return [math.log(p / q) for random_row, word_row in zip(*rates) for p, q in zip(random_row, word_row)]
+    rest = F.col(text_col)
+    for _, pattern, *_ in KINDS:
+        rest = F.regexp_replace(rest, pattern, " ")
+    word_counts = _transitions(sample.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("v")))
+    return [math.log(p / q) for random_row, word_row in zip(_rates(random_counts), _rates(word_counts)) for p, q in zip(random_row, word_row)]
 
 
 def mean_ratio(value: Column, model: Column) -> Column:
@@ -104,10 +115,10 @@ def mean_ratio(value: Column, model: Column) -> Column:
     return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), total)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """id, ``base`` and ``spans`` (base and added spans by start) of every row; texts are scanned once."""
     scanned = cut(scan(docs, id_col, text_col))
-    numbers = ",".join(f"{x:.6f}" for x in train(scanned, docs, text_col))
+    numbers = ",".join(f"{x:.6f}" for x in train(scanned, docs, text_col, sample_docs))
     model = F.from_json(F.lit(f"[{numbers}]"), "array<double>")
     free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
     added = F.filter("candidates", lambda c: free(c) & (mean_ratio(c["v"], model) >= MEAN_RATIO))
