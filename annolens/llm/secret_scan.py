@@ -39,7 +39,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
 SAMPLE_DOCS = 20_000
 BACKOFF = 64.0
-MEAN_RATIO = 0.7
+MEAN_RATIO = 0.0
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
