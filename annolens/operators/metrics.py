@@ -65,7 +65,8 @@ def average_precision(curve: DataFrame, n_gt: DataFrame, thresholds: list[float]
     threshold keeps at most one point for each true positive.
     """
     keys = ["cls", "threshold"]
-    tails = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the largest precision from here on, as a running maximum from the end, which costs one step a row
+    tails = Window.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shaped = curve.withColumn("env", F.max("precision").over(tails))
     # of equal recalls the last point holds to its right, the first point's envelope is what its left neighbour leads to
     points = shaped.groupBy(*keys, "tpc").agg(F.max("recall").alias("r"), F.max("env").alias("first"), F.min("env").alias("last"))
