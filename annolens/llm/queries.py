@@ -36,7 +36,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = shared_dir(spark), shared_dir(spark)
     warc_convert.write_arc(read_table(spark, sf_dir, "pages"), arc)
-    warc_convert.write_warc(warc_convert.convert(warc_convert.read_arc(spark, arc)), warc)
+    warc_convert.write_warc(warc_convert.convert(warc_convert.read_arc(spark, arc, deflate=True)), warc, deflated=True)
     records = cut(warc_convert.read_warc(spark, warc).drop("payload"))
     return warc_convert.with_referred(records).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 

@@ -131,8 +131,11 @@ def _number(x: str | None) -> int | None:
     return int(x) if x is not None else None
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, date (14 digits), kind, head and payload of every record, with payload_bytes and digest."""
+def read_arc(spark: SparkSession, path: str, deflate: bool = False) -> DataFrame:
+    """page_id, url, date (14 digits), kind, head and payload of every record, with payload_bytes and digest.
+
+    With ``deflate`` payloads are zlib streams, which a later shuffle moves and stores at less than half.
+    """
 
     def run(batches):
         for b in batches:
@@ -141,7 +144,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 for r in arc_records(content.as_py()):
                     head, payload, fields = split_http(r["body"])
                     h = r["head"]
-                    held.append({"page_id": _number(fields.get("x-page-id")), "url": h["URL"], "date": h["Archive-date"], "kind": h["Content-type"], "head": head, "payload": payload, "payload_bytes": len(payload), "digest": hashlib.sha256(payload).hexdigest()})
+                    held.append({"page_id": _number(fields.get("x-page-id")), "url": h["URL"], "date": h["Archive-date"], "kind": h["Content-type"], "head": head, "payload": zlib.compress(payload, 1) if deflate else payload, "payload_bytes": len(payload), "digest": hashlib.sha256(payload).hexdigest()})
                     size += len(payload)
                     if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(held, schema=kinds)
@@ -170,7 +173,9 @@ def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def write_warc(converted: DataFrame, path: str) -> None:
+def write_warc(converted: DataFrame, path: str, deflated: bool = False) -> None:
+    """WARC records of ``convert``'s rows; ``deflated`` if ``read_arc`` was told to deflate payloads."""
+
     def run(batches):
         part = TaskContext.get().partitionId()
         about = b"software: annolens\r\nformat: WARC File Format 1.1\r\n"
@@ -182,7 +187,7 @@ def write_warc(converted: DataFrame, path: str) -> None:
                 date = dt.datetime.strptime(r["date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
                 fields = {"WARC-Record-ID": record_id(r["page_id"], r["digest"]), "WARC-Date": date, "WARC-Target-URI": r["url"], "WARC-Payload-Digest": f"sha256:{r['digest']}", "Content-Type": "application/http; msgtype=response"}
                 if r["first"] is None:
-                    out.append(member(warc_record("response", fields, r["head"] + r["payload"])))
+                    out.append(member(warc_record("response", fields, r["head"] + (zlib.decompress(r["payload"]) if deflated else r["payload"]))))
                 else:
                     fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(r["first"], r["digest"])}
                     out.append(member(warc_record("revisit", fields, r["head"])))
