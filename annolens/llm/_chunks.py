@@ -12,7 +12,11 @@ import regex
 
 ENTRIES = 500_000
 CHARS = 64
-_ODD = regex.compile(r" (?=\s|$)")
+LAST_LATIN = "\u024f"
+
+
+class _Odd(Exception):
+    """Some space of a text has no word behind it."""
 
 
 class ChunkEncoder(dict):
@@ -26,7 +30,14 @@ class ChunkEncoder(dict):
         self.tokens = _Bounded(pretoken)
 
     def __missing__(self, part: str) -> bytes:
-        packed = b"".join(map(self.tokens.__getitem__, self.findall(" " + part)))
+        if not part or part[0].isspace():
+            raise _Odd
+        if part.isalpha() and max(part) <= LAST_LATIN:  # letters are one match
+            packed = self.tokens[" " + part]
+        elif part.isascii() and part[-1] in ",.;:!?" and part[:-1].isalpha():  # and the mark another
+            packed = self.tokens[" " + part[:-1]] + self.tokens[part[-1]]
+        else:
+            packed = b"".join(map(self.tokens.__getitem__, self.findall(" " + part)))
         if len(part) <= CHARS:
             if len(self) >= ENTRIES:
                 self.clear()
@@ -36,11 +47,12 @@ class ChunkEncoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):  # some space has no word behind it
-            return b"".join(map(self.tokens.__getitem__, self.findall(text)))
         head, *parts = text.split(" ")
-        first = b"".join(map(self.tokens.__getitem__, self.findall(head)))
-        return first + b"".join(map(self.__getitem__, parts))
+        try:
+            rest = b"".join(map(self.__getitem__, parts))
+        except _Odd:
+            return b"".join(map(self.tokens.__getitem__, self.findall(text)))
+        return b"".join(map(self.tokens.__getitem__, self.findall(head))) + rest
 
 
 class _Bounded(dict):

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm._chunks import ChunkEncoder
+from annolens.llm._chunks import ChunkEncoder, byte_chars
 from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
@@ -72,12 +74,35 @@ def encoder(tokenizer_file: str, pattern: str):
         t.no_padding()
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         whole = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = ChunkEncoder(pattern, whole)
+        chunks = ChunkEncoder(pattern, _model_encoder(t) or whole)
         # an added token may start or end inside a chunk, so such texts go through the library whole
         _loaded[tokenizer_file] = lambda s: whole(s) if any(x in s for x in special) else chunks.encode(s)
     return _loaded[tokenizer_file]
 
 
+def _model_encoder(tokenizer):
+    """Ids of one match by the library's model alone, or None where more than byte mapping precedes the model.
+
+    A match needs no normalising or splitting, and the offsets that a full encoding keeps cost more than its merges.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    before = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(before, ByteLevel) or before.add_prefix_space:
+        return None
+    id_of = attrgetter("id")
+    tokenize, mapped, space = tokenizer.model.tokenize, dict(enumerate(byte_chars())), byte_chars()[32]
+
+    def encode(match: str) -> bytes:
+        if match.isascii() and match.isprintable():
+            word = match.replace(" ", space)
+        else:
+            word = match.encode().decode("latin-1").translate(mapped)
+        return array("I", map(id_of, tokenize(word))).tobytes()
+
+    return encode
+
+
 def _sorted_blocks(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_file, pattern), end_id.to_bytes(4, "little")
