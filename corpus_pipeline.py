@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe_codec, line_runs, near_dedup, quality_rules, suffix_match
+from annolens.llm import bpe_codec, line_runs, quality_rules, shingle_join, suffix_match
 from annolens.llm._common import cut, prepare, read_table
 
 
@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies stays."""
+    """The document with the smallest id of each class of near copies (five-word similarity of at least 0.8) stays."""
     prepare(spark)
-    return near_dedup.keep_one(docs)
+    return shingle_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
