@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,20 @@ def normalized(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """The ``k`` most similar vectors of each query by cosine, then those of at least ``least``.
 
-    ``queries`` (query_key, vector) is a query set of QUERY_ROWS rows at most, which is checked; it is
-    broadcast, and every partition keeps its own ``k`` best before the shuffle.
+    ``queries`` (query_key, vector) of any number are searched in blocks of about QUERY_ROWS, dealt by
+    the hash of their key; each block is broadcast, and every partition keeps its own ``k`` best before
+    the shuffle.
     """
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: search them in blocks")
-    q = F.broadcast(normalized(queries, vector).select(query_key, F.col(vector).alias("__q")))
-    scored = normalized(vectors, vector).join(q).select(query_key, key, F.round(dot(F.col(vector), F.col("__q")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    known, asked = normalized(vectors, vector), normalized(queries, vector).select(query_key, F.col(vector).alias("__q"))
     n = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    top = scored.withColumn("rank", n).where(F.col("rank") <= k)
+
+    def best(some: DataFrame) -> DataFrame:
+        scored = known.join(F.broadcast(some)).select(query_key, key, F.round(dot(F.col(vector), F.col("__q")), 6).alias("score"))
+        return scored.withColumn("rank", n).where(F.col("rank") <= k)
+
+    top = reduce(DataFrame.union, [best(asked.where(block == i) if blocks > 1 else asked) for i in range(blocks)])
     return top if least is None else top.where(F.col("score") >= least)
 
 
