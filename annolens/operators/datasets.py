@@ -73,45 +73,108 @@ def k_folds(labels: DataFrame, k: int, classes: list[int], seed: int = 0) -> Dat
     return per.where(F.col("cls").isin(classes)).withColumn("train", total - F.col("val")).withColumn("ratio", F.col("val") / (F.col("train") + F.lit(1e-7)))
 
 
+SHARD_KINDS, SWAPS = 2000, 8
+
+
+def allotted(total: int, sizes: list[int]) -> list[int]:
+    """``total`` in whole parts in proportion to ``sizes``; the largest remainders are rounded up, and no part exceeds its size."""
+    whole = sum(sizes)
+    if not whole:
+        return [0] * len(sizes)
+    parts = [total * n // whole for n in sizes]
+    order = sorted(range(len(sizes)), key=lambda i: (-(total * sizes[i] % whole), i))
+    for i in order[: total - sum(parts)]:
+        parts[i] += 1
+    return parts
+
+
+def chosen_kinds(counts, sizes, targets, wanted: int):
+    """How many images of each kind to take: ``wanted`` in all, their class sums near ``targets``.
+
+    ``counts`` is kinds x classes, ``sizes`` the images of each kind. Greedy by the loss less a bonus
+    for missing classes, a run of one kind at a time while it is still the best at the run's end, then
+    at most SWAPS swaps that lower the loss.
+    """
+    import numpy as np
+
+    took, have, scale = np.zeros(len(sizes), np.int64), np.zeros(len(targets)), np.maximum(targets, 1)
+    loss = lambda v: (((v - targets) / scale) ** 2).sum(-1)
+
+    def best(at, open_):
+        bonus = (np.minimum(counts, np.maximum(targets - at, 0)) / scale).sum(1)
+        return int(np.argmin(np.where(open_, loss(at + counts) - 0.02 * bonus, np.inf)))
+
+    left = min(wanted, int(sizes.sum()))
+    while left > 0:
+        open_ = took < sizes
+        i = best(have, open_)
+        most, run = min(left, int(sizes[i] - took[i])), 1
+        while run < most and best(have + (min(2 * run, most) - 1) * counts[i], open_) == i:
+            run = min(2 * run, most)
+        took[i] += run
+        left -= run
+        have = have + run * counts[i]
+    for _ in range(SWAPS):
+        now = loss(have)
+        for i in np.flatnonzero(took).tolist():
+            after = np.where(took < sizes, loss(have - counts[i] + counts), np.inf)
+            better = np.flatnonzero(after + 1e-12 < now)
+            if len(better):
+                took[i] -= 1
+                took[better[0]] += 1
+                have = have - counts[i] + counts[better[0]]
+                break
+        else:
+            break
+    return took
+
+
 def stratified_split(labels: DataFrame, images: DataFrame, ratio: float, least: dict[int, int] | None = None, seed: int = 0) -> DataFrame:
-    """(image_id, split): val images chosen so that class counts come near ``ratio`` of each class.
+    """(image_id, split): val images chosen so that class counts come near ``ratio`` of each class, at least ``least``.
 
-    Images with the same class counts are interchangeable, so the greedy choice runs over kinds of
-    images, not over images: kinds are counted in Spark, the choice (sequential by nature) is made
-    for each hash shard of the kinds in one task, and quotas are filled by hash order.
+    Images with the same class counts are interchangeable, so the choice runs over kinds of images,
+    not over images: kinds are counted in Spark and dealt to shards of about SHARD_KINDS by hash. The
+    targets of all, and the images to take, are allotted to the shards by what each holds; the choice
+    (sequential by nature) is made for each shard in one task, and quotas are filled by hash order.
+    Images without labels give their own share. A target above a class's total is an error.
     """
+    import numpy as np
     import pandas as pd
 
     counts = labels.groupBy("image_id", "cls").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("kind"))
     every = images.join(counts, "image_id", "left").withColumn("kind", F.coalesce(F.to_json("kind"), F.lit("[]")))
     kinds = every.groupBy("kind").agg(F.count("*").alias("n"))
-    total = {r.cls: r.n for r in labels.groupBy("cls").agg(F.count("*").alias("n")).collect()}
-    shards = 16
-    target = {c: max(round(n * ratio), (least or {}).get(c, 0)) / shards for c, n in total.items()}
+    shards = max(1, -(-kinds.count() // SHARD_KINDS))
+    dealt = kinds.withColumn("shard", F.pmod(F.xxhash64("kind"), F.lit(shards)).cast("int"))
+    pictures = {(r.shard, r.plain): r.n for r in dealt.groupBy("shard", (F.col("kind") == "[]").alias("plain")).agg(F.sum("n").alias("n")).collect()}
+    per_kind = dealt.select("shard", F.col("n").alias("times"), F.explode(F.from_json("kind", "array<struct<cls: int, n: long>>")).alias("x"))
+    held = {(r.shard, r.cls): r.n for r in per_kind.groupBy("shard", "x.cls").agg(F.sum(F.col("times") * F.col("x.n")).alias("n")).collect()}
+    classes = sorted({c for _, c in held} | set(least or {}))
+    total = {c: sum(held.get((i, c), 0) for i in range(shards)) for c in classes}
+    target = {c: max(round(n * ratio), (least or {}).get(c, 0)) for c, n in total.items()}
+    if impossible := [f"{c}: {target[c]} of {total[c]}" for c in classes if target[c] > total[c]]:
+        raise ValueError(f"validation targets above the total of a class: {', '.join(impossible)}")
+    blank = sum(n for (_, plain), n in pictures.items() if plain)
+    blank_val = round(blank * ratio)
+    shares = {c: allotted(target[c], [held.get((i, c), 0) for i in range(shards)]) for c in classes}
+    with_labels = [pictures.get((i, False), 0) for i in range(shards)]
+    wanted = allotted(min(round((blank + sum(with_labels)) * ratio) - blank_val, sum(with_labels)), with_labels)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         import json
 
         pdf = pdf.sort_values("kind").reset_index(drop=True)
-        vectors = [{x["cls"]: x["n"] for x in json.loads(k)} for k in pdf.kind]
-        took, have, left = [0] * len(pdf), dict.fromkeys(target, 0), round(pdf.n.sum() * ratio)
-        plain = next((i for i, v in enumerate(vectors) if not v), None)
-        if plain is not None:
-            took[plain] = round(pdf.n[plain] * ratio)
-            left -= took[plain]
-        cost = lambda v: sum(((have[c] + v.get(c, 0) - t) / max(t, 1)) ** 2 for c, t in target.items())
-        while left > 0:
-            open_ = [i for i, v in enumerate(vectors) if v and took[i] < pdf.n[i]]
-            if not open_:
-                break
-            best = min(open_, key=lambda i: (cost(vectors[i]), i))
-            took[best] += 1
-            left -= 1
-            for c, n in vectors[best].items():
-                have[c] += n
-        return pdf.assign(quota=took)[["kind", "quota"]]
-
-    quotas = kinds.withColumn("shard", F.pmod(F.xxhash64("kind"), F.lit(shards))).groupBy("shard").applyInPandas(choose, "kind string, quota long")
+        shard, place = int(pdf.shard[0]), {c: k for k, c in enumerate(classes)}
+        vectors = np.zeros((len(pdf), len(classes)))
+        for i, kind in enumerate(pdf.kind):
+            for x in json.loads(kind):
+                vectors[i, place[x["cls"]]] = x["n"]
+        named = (pdf.kind != "[]").to_numpy()
+        quota = np.full(len(pdf), blank_val, np.int64)  # of the kind without labels
+        quota[named] = chosen_kinds(vectors[named], pdf.n.to_numpy()[named], np.array([shares[c][shard] for c in classes], float), wanted[shard])
+        return pdf.assign(quota=quota)[["kind", "quota"]]
+
+    quotas = dealt.groupBy("shard").applyInPandas(choose, "kind string, quota long")
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(hash_unit(F.lit(seed), F.col("image_id")), "image_id"))
     return every.withColumn("r", rank).join(quotas, "kind").select("image_id", F.when(F.col("r") <= F.col("quota"), "val").otherwise("train").alias("split"))
 
