@@ -79,9 +79,11 @@ class TestSuffixes:
         return order[at], which
 
     def longest(self, ids: np.ndarray, position: int, which: int) -> int:
-        """Words of the longest verbatim match that starts at ``position`` with this window."""
+        """Words of the longest verbatim match that starts at ``position`` with this window; 0 if each goes on from the word before."""
         best = 0
         for text, i in self.places[which]:
+            if i and position and ids[position - 1] == self.texts[text][i - 1]:
+                continue  # the match is found, longer, at an earlier position
             a, b = ids[position:], self.texts[text][i:]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
@@ -206,13 +208,8 @@ def _search(held: list, blocks: list, window: int):
         pairs = np.unique(owner * len(test.keys) + which)
         for d, k in zip((pairs // len(test.keys)).tolist(), (pairs % len(test.keys)).tolist()):
             items.setdefault(d, set()).update(test.items[k])
-        order = np.lexsort((position, owner))
-        previous = (-1, -1)
-        for i in order.tolist():
-            d, p = int(owner[i]), int(position[i])
-            if (d, p - 1) != previous:  # a run of windows is one match: extend it from its first
-                longest[d] = max(longest.get(d, 0), test.longest(ids[: first[d + 1] - 1], p, int(which[i])))
-            previous = (d, p)
+        for d, p, k in zip(owner.tolist(), position.tolist(), which.tolist()):
+            longest[d] = max(longest.get(d, 0), test.longest(ids[: first[d + 1] - 1], p, k))
     hit = np.cumsum(edge[:-1]) > 0
     at = 0
     for b, tokens in held:
