@@ -8,28 +8,52 @@ follows, and each piece encodes alike wherever it stands.
 
 from __future__ import annotations
 
+from sys import getsizeof
+
 import regex
 
-ENTRIES = 500_000
+ROOM = 24 << 20
 CHARS = 64
 LAST_LATIN = "\u024f"
 
 
+class Table(dict):
+    """What ``of`` gives for a short key; it starts anew when its entries take about ``room`` bytes."""
+
+    def __init__(self, of=None, room: int = ROOM):
+        self.of, self.room = of, room
+        self.release()
+
+    def __missing__(self, key: str):
+        value = self.of(key)
+        if len(key) <= CHARS:
+            self.free -= getsizeof(key) + getsizeof(value) + 90  # its share of the table
+            if self.free < 0:
+                self.release()
+            self[key] = value
+        return value
+
+    def release(self) -> None:
+        self.clear()
+        self.free = self.room
+
+
 class _Odd(Exception):
     """Some space of a text has no word behind it."""
 
 
-class ChunkEncoder(dict):
-    """Maps the part after a cut's space to its packed ids; holds at most ENTRIES parts.
+class ChunkEncoder(Table):
+    """Maps the part after a cut's space to its packed ids; each of its two tables has ``room`` bytes.
 
     ``pretoken(str) -> bytes`` packs the ids of one match of the pattern.
     """
 
-    def __init__(self, pattern: str, pretoken):
+    def __init__(self, pattern: str, pretoken, room: int = ROOM):
         self.findall = regex.compile(pattern).findall
-        self.tokens = _Bounded(pretoken)
+        self.tokens = Table(pretoken, room)
+        super().__init__(self.pack, room)
 
-    def __missing__(self, part: str) -> bytes:
+    def pack(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise _Odd
         if part.isalpha() and max(part) <= LAST_LATIN:  # letters are one match
@@ -38,12 +62,12 @@ class ChunkEncoder(dict):
             packed = self.tokens[" " + part[:-1]] + self.tokens[part[-1]]
         else:
             packed = b"".join(map(self.tokens.__getitem__, self.findall(" " + part)))
-        if len(part) <= CHARS:
-            if len(self) >= ENTRIES:
-                self.clear()
-            self[part] = packed
         return packed
 
+    def release(self) -> None:
+        super().release()
+        self.tokens.release()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -55,19 +79,6 @@ class ChunkEncoder(dict):
         return b"".join(map(self.tokens.__getitem__, self.findall(head))) + rest
 
 
-class _Bounded(dict):
-    def __init__(self, of):
-        self.of = of
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.of(key)
-        if len(key) <= CHARS:
-            if len(self) >= ENTRIES:
-                self.clear()
-            self[key] = value
-        return value
-
-
 def byte_chars() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else 256 and up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

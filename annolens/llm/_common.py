@@ -12,15 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = str(8 << 20)
+#: A key with more than one row in HOT_SHARE is joined through a broadcast of such keys, of which there are HOT_SHARE at most.
+HOT_SHARE, LEAST_HOT = 1000, 1000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings every operator relies on; none changes a result.
 
-    Arrow batches are kept to 512 rows because a row is a whole document, and
-    shuffle files of a finished action are removed so that a job made of
-    several written steps holds only the files of the step that runs.
+    They hold for later queries of the session too. Arrow batches are kept to 512
+    rows and BATCH_BYTES because a row is a whole document, and shuffle files of a
+    finished action are removed so that a job made of several written steps holds
+    only the files of the step that runs.
     """
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
@@ -44,12 +51,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
+
+    Without that setting only a local master has a folder that all its workers see.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # local sessions and tests
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/annolens/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/annolens/{uuid.uuid4().hex}"
+    _files(spark, path, "deleteOnExit")
+    return path
 
 
 def cut(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
@@ -62,9 +75,31 @@ def cut(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFram
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder written by ``cut`` through the file system Spark wrote it with."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _files(spark, path, "delete", True)
+
+
+def _files(spark: SparkSession, path: str, what: str, *more) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), what)(target, *more)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` (cheap to read anew) joined with ``right`` (one row a key) on ``key``, whatever share of rows one key holds.
+
+    ``counts`` (key, __n) may give the rows of ``left`` by key, of all keys or of those with many.
+
+    Keys of more than one row in HOT_SHARE are joined without a shuffle; there are HOT_SHARE such keys at most,
+    which bounds what is broadcast, and every key that is shuffled has fewer rows.
+    """
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = [r[0] for r in counts.where((F.col("__n") > max(LEAST_HOT, total // HOT_SHARE)) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {left.schema[key].dataType.simpleString()}"))
+    few = right.join(keys, key, "left_semi")
+    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(F.broadcast(few), key, how))
 
 
 def let(value: Column, body) -> Column:

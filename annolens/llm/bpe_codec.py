@@ -83,27 +83,34 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Replace ``text_col`` by ``out``, its packed ids (binary); every other column stays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(rank_file, pattern).encode
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([one(t.as_py() or "") for t in b.columns[-1]], pa.binary())], names=[*b.schema.names[:-1], out])
-
-    return _mapped(docs, run, text_col, out)
+    return _mapped(docs, lambda one: [lambda t: one.encode(t or "")], rank_file, pattern, text_col, [out])
 
 
 def decode(coded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes that ``ids_col`` stands for."""
+    return _mapped(coded, lambda one: [lambda x: one.decode(x or b"")], rank_file, pattern, ids_col, [out], keep=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(rank_file, pattern).decode
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(t.as_py() or b"") for t in b.columns[-1]], pa.binary())], names=[*b.schema.names, out])
 
-    return _mapped(coded, run, ids_col, out, keep=True)
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids by one codec: ``text_col`` becomes ``ids`` and ``out``."""
+    return _mapped(docs, lambda one: [lambda t: one.encode(t or ""), one.decode], rank_file, pattern, text_col, [ids, out])
+
 
+def _mapped(df: DataFrame, steps, rank_file: str, pattern: str, last: str, outs: list[str], keep: bool = False) -> DataFrame:
+    """Each of ``steps`` makes one of ``outs`` of what the step before made of ``last``; the codec's tables end with the task."""
+    others = [c for c in df.columns if c != last and c not in outs] + [last] * keep
 
-def _mapped(df: DataFrame, run, last: str, out: str, keep: bool = False) -> DataFrame:
-    others = [c for c in df.columns if c != last and c != out]
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [f"`{last}` {df.schema[last].dataType.simpleString()}"] * keep
-    return df.select(*others, last).mapInArrow(run, ", ".join([*kinds, f"`{out}` binary"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = codec(rank_file, pattern)
+        try:
+            for b in batches:
+                values, made = [x.as_py() for x in b.columns[-1]], []
+                for step in steps(one):
+                    values = list(map(step, values))
+                    made.append(pa.array(values, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *made], names=[*others, *outs])
+        finally:
+            one.chunks.release()
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [f"`{c}` binary" for c in outs]
+    return df.select(*others, *[last] * (not keep)).mapInArrow(run, ", ".join(kinds))

@@ -7,14 +7,14 @@ a lower bound. Counts 0, 1, 2 are kept in unary, which makes the Manhattan
 distance the number of differing bits of two packed longs.
 
 The range join (Manhattan distance at most 2) runs on a grid: the 32 axes form
-four blocks of eight, and as at most two steps separate a pair, it agrees on two
-blocks or more; so each vector goes to the six cells that two blocks make, and
+blocks, and as at most two steps separate a pair, it agrees on all blocks but two;
+so each vector goes to the cells that every choice of all blocks but two makes, and
 rows of one cell are joined, filtered by the bound and verified bit by bit. Equal
-fingerprints are one row before the join. A cell with more than CELL_ROWS vectors
-is not joined with itself: its fingerprints are each sent to the 65 values within
-one bit, and fingerprints that meet at a value link through its smallest. Two
-fingerprints meet if and only if they differ in two bits or fewer, and at most 65
-can meet at one value, so no group and no pair list grows with the cell.
+fingerprints are one row before the join. The grid has 4 blocks. The vectors of its
+cells with more than CELL_ROWS rows go to a grid of 8 blocks, those of its crowded
+cells to one of 16, and the last grid has each axis as a block and keeps the bits
+beside the counts, so that a cell has 16 fingerprints at most: a pair that meets in
+crowded cells only is found by a finer grid, and no cell is joined that grows.
 
 Classes are connected components by alternating large-star and small-star steps
 on the linked fingerprints, each step written to the shared folder.
@@ -29,6 +29,7 @@ gives an empty result; extra columns are ignored by ``components`` and kept by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -36,35 +37,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm._common import cut, remove, shared_dir
+from annolens.llm._common import cut, join_hot, remove, shared_dir
 
 SEED = 42
 CELL_ROWS = 64
-BLOCKS, AGREE = 4, 2
+BLOCKS = (4, 8, 16)
+AXES = 32
 _EVEN = 0x5555555555555555
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included, in order."""
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(w)
     ends = list(accumulate(len(x) + 1 for x in w))
-    if len(w) > shingle:
-        hashes = [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :])]
-    else:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    h = np.array(hashes, np.uint64)
+    size = min(shingle, len(w))
+    return np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :])], np.uint64)
+
+
+def simhash(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer; zero for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), _CHUNK):
         ones += np.unpackbits(h[i : i + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,26 +94,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _cells(fps: DataFrame, blocks: int, of: str) -> DataFrame:
+    """(fp, v, cell) for every choice of all but two of ``blocks`` blocks of ``of``'s 64 bits."""
+    width = 64 // blocks
+    whole = [(1 << width) - 1 << width * i for i in range(blocks)]
+    masks = [_signed((1 << 64) - 1 - whole[i] - whole[j]) for i, j in combinations(range(blocks), 2)]
+    chosen = fps.select("fp", "v", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return chosen.select("fp", "v", F.xxhash64("mask", F.col(of).bitwiseAND(F.col("mask"))).alias("cell"))
+
+
+def _near(cells: DataFrame, bits: int) -> DataFrame:
+    a, b = cells.alias("a"), cells.alias("b")
+    near = (F.col("a.fp") < F.col("b.fp")) & (manhattan(F.col("a.v"), F.col("b.v")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
+    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs (a, b), a < b, that connect every two distinct fingerprints of ``fp`` within ``bits`` = 2 bits, directly or through a common neighbour."""
+    """Every pair (a, b), a < b, of distinct fingerprints of ``fp`` that differ in ``bits`` = 2 bits or fewer."""
     if bits != 2:
-        raise ValueError("the grid is laid out for two differing bits")
-    width = 64 // BLOCKS
-    masks = [_signed(sum((1 << width) - 1 << width * i for i in some)) for some in combinations(range(BLOCKS), AGREE)]
-    grid = F.array(*[F.struct(F.lit(i).alias("axes"), F.col("v").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])
-    cells = fps.select("fp", embedding(F.col("fp")).alias("v")).select("fp", "v", F.explode(grid).alias("g")).select("fp", "v", "g.axes", "g.cell")
-    crowded = cells.groupBy("axes", "cell").count().where(F.col("count") > CELL_ROWS).select("axes", "cell", F.lit(True).alias("crowded"))
-    marked = cut(cells.join(crowded, ["axes", "cell"], "left"))
-    sparse = marked.where(F.col("crowded").isNull()).drop("crowded")
-    a, b = sparse.alias("a"), sparse.alias("b")
-    near = (F.col("a.fp") < F.col("b.fp")) & (manhattan(F.col("a.v"), F.col("b.v")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
-    pairs = a.join(b, (F.col("a.axes") == F.col("b.axes")) & (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    dense = marked.where("crowded").select("fp").distinct()
-    meet = dense.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
-    groups = meet.groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    star = groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.union(star).distinct()
+        raise ValueError("the grids are laid out for two differing bits")
+    rest, found = fps.select("fp", embedding(F.col("fp")).alias("v")), []
+    for blocks in BLOCKS:
+        cells = _cells(rest, blocks, "v")
+        counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > CELL_ROWS))
+        if counts.isEmpty():
+            found.append(_near(cells, bits))
+            break
+        marked = cut(join_hot(cells, counts.select("cell", F.lit(True).alias("crowded")), "cell", "left", counts))
+        found.append(_near(marked.where(F.col("crowded").isNull()), bits))
+        rest = cut(marked.where("crowded").select("fp", "v").distinct())
+    else:
+        found.append(_near(_cells(rest, AXES, "fp"), bits))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -119,16 +138,17 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of u joins the least of u and its neighbours
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n"))
+        large_path, small_path, least_path = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+        least = cut(least.select("a", F.least("a", "m").alias("m"), "__n"), least_path)
+        large = join_hot(both.where("b > a"), least.drop("__n"), "a", counts=least).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: u and its smaller neighbours join the least of them
-        large_path, small_path = shared_dir(spark), shared_dir(spark)
         held = cut(large, large_path)
-        least = held.groupBy("b").agg(F.min("a").alias("m"))
-        moved = held.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
+        least = held.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("__n"))
+        moved = join_hot(held, least.drop("__n"), "b", counts=least).select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
         small = cut(moved.union(least.select(F.col("m").alias("a"), "b")).distinct(), small_path)
-        remove(spark, path)
-        remove(spark, large_path)
+        for done in (path, large_path, least_path):
+            remove(spark, done)
         now, path, before, seen = small, small_path, seen, digest(small)
         if seen == before:
             break
@@ -138,23 +158,33 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id, the smallest id of the document's class, for every row."""
     held = cut(fingerprints(docs, shingle, id_col, text_col))
-    by_fp = held.groupBy("fp").agg(F.min(id_col).alias("least"))
+    by_fp = cut(held.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("__n")))
     roots = connected(links(by_fp.select("fp")))
-    rooted = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = cut(rooted)
+    classes = cut(by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), "__n"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return held.join(named, "fp").select(id_col, "fp", "component_id")
+    named = cut(join_hot(classes, smallest, "root").select("fp", "component_id"))
+    return join_hot(held, named, "fp", counts=by_fp).select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of the smallest document of each class, with all their columns.
 
-    Rows without an id cannot be told apart and stay; rows that share the kept id stay together.
+    With ``similarity`` (0.8 and five words) classes are those of ``shingle_join``: SimHash links and links that
+    fingerprints miss, all verified by the Jaccard similarity of shingle sets. Rows without an id cannot be told
+    apart and stay; rows that share the kept id stay together.
     """
-    gone = components(docs, shingle, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if similarity is None:
+        classes = components(docs, shingle, id_col, text_col)
+    elif (similarity, shingle) == (0.8, 5):
+        from annolens.llm import shingle_join
+
+        classes = shingle_join.components(docs, id_col, text_col)
+    else:
+        raise ValueError("shingle_join is laid out for five words and a similarity of 0.8")
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(*docs.columns)
+    return named.union(docs.where(F.col(id_col).isNull()))

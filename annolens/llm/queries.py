@@ -58,8 +58,7 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    both = bpe_codec.decode(coded, ranks, pattern)
+    both = bpe_codec.encode_decode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

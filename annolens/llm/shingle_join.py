@@ -1,18 +1,23 @@
-"""Near copies by the Jaccard similarity of their five-word shingles: every pair of at least 4/5, and no other.
-
-Two sets with a similarity of 4/5 or more share one of the first n - ceil(4n/5) + 1 shingles of
-each, in whatever order all sets are sorted. So each set is sent to the cells of those shingles
-only, and rows of one cell are candidates. Shingles go by hash, but those that crowd a cell with
-more than COMMON sets go last: passages that many texts quote then stand in few prefixes. They are
-found by counting the prefixes until no new one appears; the order changes the work, not the result.
-
-Candidates with unequal sizes go, then those whose counts in BUCKETS ranges of the hash leave too
-small a common part (an upper bound of it), then the sets themselves are compared. A cell with more
-than CELL_ROWS sets, as many near copies of one text make it, first links its members to one of
-them; only pairs that are still in different components are compared after that, so no pair that
-could join two classes is left out.
-
-Sets stand for all rows that have them; equal sets are one node, named by a hash of the set.
+"""Near copies for ``near_dedup.keep_one``: documents whose sets of five-word shingles have a Jaccard similarity of at least 4/5.
+
+Pairs at that similarity differ in up to a dozen bits of a 64-bit SimHash, where no grid is
+selective, so fingerprints give a part of the candidates only: those that ``near_dedup.links``
+finds on its popcount grid, and equal ones. The other candidates come from cells of shingles.
+
+Each set sends its LOW shingles of the least hashes to cells. Going through the union of two
+similar sets by hash, each shingle is in both sets with a chance of 4/5 or more; the two sets
+share no cell only if a dozen or more in a row are not, a chance below one in 10^8. A cell with
+more than CELL_ROWS sets holds a passage that many texts quote, or the near copies of one text.
+Sets with FREE or more of four cells not so crowded need the others only, by the same reckoning
+with the crowded shingles taken out. Sets with more crowded cells (``crowd``) are linked to one
+member of each crowded cell; where classes then differ inside a cell, its sets go to BANDS cells
+of BAND min-hashes, which two similar sets all miss with a chance of about 10^-9, and only pairs
+of different classes are compared there.
+
+Candidates with unequal sizes go, then those whose shingle counts in BUCKETS ranges of the hash
+have too large a Manhattan distance (a lower bound of what differs), then the sets themselves are
+compared. Sets stand for all rows that have them; equal sets are one node, named by a hash of the
+set. Joins on keys that may be hot go through ``join_hot``; nothing is gathered on the driver.
 
 Cases: null, empty or blank texts have the empty set and are copies of one another; a text with
 fewer words than a shingle is one shingle; rows without an id link others but stay; rows that share
@@ -22,31 +27,25 @@ the kept id stay together.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm._common import cut
-from annolens.llm.near_dedup import SEED, connected
+from annolens.llm._common import cut, join_hot
+from annolens.llm.near_dedup import SEED, connected, shingle_hashes, simhash
+from annolens.llm.near_dedup import links as simhash_links
 
 SHINGLE = 5
-COMMON, CELL_ROWS, PASSES, BUCKETS = 16, 64, 4, 256
+LOW, CELL_ROWS, BUCKETS = 32, 16, 64
+BAND, BANDS = 6, 68
+_ODD = np.random.Generator(np.random.PCG64(SEED)).integers(1 << 62, size=(BANDS, BAND), dtype=np.uint64) * 2 + 1
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The set of shingle hashes, sorted."""
-    from xxhash import xxh64_intdigest
-
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.array([], np.uint64)
-    joined = b" ".join(w)
-    ends = list(accumulate(len(x) + 1 for x in w))
-    size = min(SHINGLE, len(w))
-    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :])], np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def node(s: np.ndarray) -> int:
@@ -55,93 +54,55 @@ def node(s: np.ndarray) -> int:
     return int(np.array(xxh64_intdigest(s.tobytes(), SEED), np.uint64).view(np.int64))
 
 
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of ``s`` of which every set that is similar enough shares one; those in ``common`` (sorted) go last."""
-    n = len(s)
-    size = n - (4 * n + 4) // 5 + 1 if n else 0
-    if len(common) and n:
-        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        s = np.concatenate([s[~last], s[last]])
-    return s[:size]
-
-
-def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, node) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = [node(shingles(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64())], names=[id_col, "text_key", "node"])
-
-    return _keyed(docs, text_col, id_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_key long, node long")
-
-
 def _keyed(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*more, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), text_col)
 
 
-def entries(docs: DataFrame, common, text_col: str = "text", alone: bool = False) -> DataFrame:
-    """(sig, node, n) of every prefix, or the signatures ``alone``; a task sends equal sets once. ``common`` is a broadcast."""
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, node, n, fp, low) of every row: its set's name and size, SimHash, and least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            sigs, nodes, sizes = [np.array([], np.uint64)], [], []
-            for t in b.column(0):
-                s = shingles(t.as_py())
-                if (name := node(s)) in seen:
-                    continue
-                seen.add(name)
-                sigs.append(p := prefix(s, common.value))
-                nodes.append(np.full(len(p), name, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int64))
-            out = [pa.array(np.concatenate(sigs).view(np.int64))]
-            if not alone:
-                out += [pa.array(np.concatenate([np.array([], np.int64), *x])) for x in (nodes, sizes)]
-            yield pa.RecordBatch.from_arrays(out, names=["sig", "node", "n"][: len(out)])
-
-    return docs.select(text_col).mapInArrow(run, "sig long" if alone else "sig long, node long, n long")
-
-
-def common_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashes that crowd the prefixes, sorted."""
-    sc, common = docs.sparkSession.sparkContext, np.array([], np.uint64)
-    for _ in range(PASSES):
-        counts = entries(docs, sc.broadcast(common), text_col, alone=True).groupBy("sig").count().where(F.col("count") > COMMON)
-        found = counts.select("sig").toPandas().sig.to_numpy(np.int64).view(np.uint64)  # one in COMMON entries at most
-        grown = np.union1d(common, found)
-        if len(grown) == len(common):
-            break
-        common = grown
-    return common
+            nodes, sizes, fps, low = [], [], [], []
+            for t in b.column(2):
+                h = shingle_hashes(t.as_py(), SHINGLE)
+                s = np.unique(h)
+                nodes.append(node(s))
+                sizes.append(len(s))
+                fps.append(simhash(h))
+                low.append(s[:LOW].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(x, pa.int64()) for x in (nodes, sizes, fps)), pa.array(low, pa.list_(pa.int64()))], names=[id_col, "text_key", "node", "n", "fp", "low"])
 
+    return _keyed(docs, text_col, id_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_key long, node long, n long, fp long, low array<long>")
 
-def _alike(common, a, b):
-    """Whether ``common`` of sets of ``a`` and ``b`` shingles are a similarity of 4/5."""
-    return 9 * common >= 4 * (a + b)
 
-
-def sets_of(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, keys: DataFrame, text_col: str, counts: DataFrame) -> DataFrame:
     """(node, n, ranges, shingles) of the sets whose text is among ``keys`` (text_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t.as_py()) for t in b.column(0)]
-            ranges = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() for s in found]
+            ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() for s in found]
             rows = [pa.array([node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(ranges, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, names=["node", "n", "ranges", "shingles"])
 
-    texts = _keyed(docs, text_col).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select(text_col)
+    texts = join_hot(_keyed(docs, text_col), keys, "text_key", "left_semi", counts).dropDuplicates(["text_key"]).select(text_col)
     return texts.mapInArrow(run, "node long, n long, ranges binary, shingles binary").dropDuplicates(["node"])
 
 
+def _alike(common, a, b):
+    """Whether ``common`` of sets of ``a`` and ``b`` shingles are a similarity of 4/5."""
+    return 9 * common >= 4 * (a + b)
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have a similarity of 4/5."""
+    """Those of ``pairs`` (a, b), a written table, whose sets have a similarity of 4/5."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, BUCKETS) for c in b.columns[2:])
-            keep = _alike(np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for c in b.columns[2:])
+            a, c = x.sum(1), y.sum(1)
+            keep = _alike((a + c - np.abs(x - y).sum(1)) // 2, a, c)  # what is common at most
             yield b.select([0, 1]).filter(pa.array(keep))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,54 +115,92 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def both(pairs, what):
         one = lambda k: sets.select(F.col("node").alias(k), F.col(what).alias(f"{what}_{k}"))
-        return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", f"{what}_a", f"{what}_b")
+        first = join_hot(pairs, one("a"), "a")
+        return join_hot(first, one("b"), "b", counts=pairs.groupBy("b").agg(F.count("*").alias("__n"))).select("a", "b", f"{what}_a", f"{what}_b")
 
-    near = both(pairs, "ranges").mapInArrow(bounded, "a long, b long")
+    near = cut(both(pairs, "ranges").mapInArrow(bounded, "a long, b long"))
     return both(near, "shingles").mapInArrow(compared, "a long, b long")
 
 
-def _pairs(a: DataFrame, b: DataFrame, also=None) -> DataFrame:
-    """Distinct (a, b), a < b, of rows of one cell whose sizes allow a similarity of 4/5."""
-    x, y = a.alias("x"), b.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & (5 * small >= 4 * large)
-    found = x.join(y, on if also is None else on & also)
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of (a, na, b, nb) whose sizes allow a similarity of 4/5."""
+    sized = pairs.where((F.col("a") != F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
+    return sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _in_cells(left: DataFrame, right: DataFrame, also=None) -> DataFrame:
+    """(a, na, b, nb) of the rows of one cell."""
+    x, y = left.alias("x"), right.alias("y")
+    on = F.col("x.cell") == F.col("y.cell")
+    return x.join(y, on if also is None else on & also).select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, na, b, nb) of nodes with equal fingerprints, each beside one of them, and of one node each of linked fingerprints."""
+    one = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("__n")).select("fp", F.col("m.node").alias("b"), F.col("m.n").alias("nb"), "__n"))
+    equal = join_hot(nodes.select("fp", "node", "n"), one.drop("__n"), "fp", counts=one).select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").where("a <> b")
+    linked = simhash_links(one.select("fp"))
+    side = lambda k: one.select(F.col("fp").alias(k), F.col("b").alias(f"node_{k}"), F.col("nb").alias(f"n_{k}"))
+    return equal.union(linked.join(side("a"), "a").join(side("b"), "b").select("node_a", "n_a", "node_b", "n_b"))
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """(cell, node, n, root) for every band of min-hashes of ``rows`` (node, n, root, shingles)."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for x in b.column(3):
+                s = np.frombuffer(x.as_py(), np.uint64)
+                cells += [xxh64_intdigest(np.multiply.outer(odd, s).min(1).tobytes(), k) for k, odd in enumerate(_ODD)]
+            at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, np.uint64).view(np.int64)), *(b.column(k).take(at) for k in range(3))], names=["cell", "node", "n", "root"])
+
+    return rows.select("node", "n", "root", "shingles").mapInArrow(run, "cell long, node long, n long, root long")
+
+
+def _mixed(cells: DataFrame) -> DataFrame:
+    """(cell, main) of the cells with more than one class; main is the class with most rows."""
+    sizes = cells.groupBy("cell", "root").count()
+    return sizes.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("cell", F.col("m.root").alias("main"))
 
 
 def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of the nodes that have a near copy. ``names`` is the written table of ``named``."""
-    sc = docs.sparkSession.sparkContext
-    cells = entries(docs, sc.broadcast(common_shingles(docs, text_col)), text_col).repartition("sig").dropDuplicates(["sig", "node"])
-    shared = cut(cells.withColumn("rows", F.count("*").over(Window.partitionBy("sig"))).where("rows > 1"))
+    nodes = cut(names.drop("text_key").dropDuplicates(["node"]).select("node", "n", "fp", "low"))
+    cells = nodes.where("n > 0").select("node", "n", F.explode("low").alias("cell"))
+    counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1"))
+    shared = cut(join_hot(cells, counts.select("cell", F.col("__n").alias("rows")), "cell", counts=counts))
     sparse, crowded = shared.where(F.col("rows") <= CELL_ROWS), shared.where(F.col("rows") > CELL_ROWS)
-    first = crowded.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("m")).select("sig", "m.node", "m.n")
-    pairs = cut(_pairs(sparse, sparse).union(_pairs(crowded, first)).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    keys = names.groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, "node", "left_semi").select("text_key")
-    sets = cut(sets_of(docs, keys, text_col))
+    few = crowded.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(4 * F.col("k") > F.least("n", F.lit(LOW))).select("node")
+    crowd = cut(crowded.join(few, "node", "left_semi"))
+    first = crowd.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("b"), F.col("m.n").alias("nb"))
+    starred = join_hot(crowd.select("cell", F.col("node").alias("a"), F.col("n").alias("na")), first, "cell").select("a", "na", "b", "nb")
+    candidates = _in_cells(sparse, sparse, F.col("x.node") < F.col("y.node")).union(starred).union(by_fingerprint(nodes))
+    pairs = cut(_ordered(candidates))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    keys = names.groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, "node", "left_semi").select("text_key").distinct()
+    texts = cut(names.groupBy("text_key").agg(F.count("*").alias("__n")))
+    sets = cut(sets_of(docs, cut(keys), text_col, texts))
     edges = cut(similar(pairs, sets))
     roots = cut(connected(edges))
-    if crowded.isEmpty():
+    if crowd.isEmpty():
+        return roots
+    rooted = cut(crowd.join(roots, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root")))
+    placed = cut(join_hot(rooted, _mixed(rooted).select("cell"), "cell", "left_semi"))
+    if placed.isEmpty():
         return roots
-    placed = cut(crowded.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")))
-    sizes = placed.groupBy("sig", "root").count()
-    main = sizes.groupBy("sig").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("sig", F.col("m.root").alias("main"))
-    open_ = placed.join(main, "sig")
-    rest = cut(_pairs(open_.where("root <> main"), open_, F.col("x.root") != F.col("y.root")))
-    more = similar(rest, sets)
-    return connected(edges.union(more))
+    members = placed.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    banded = cut(bands(members.join(sets.select("node", "shingles"), "node")))
+    open_ = cut(join_hot(banded, _mixed(banded), "cell"))
+    rest = cut(_ordered(_in_cells(open_.where("root <> main"), open_, F.col("x.root") != F.col("y.root"))))
+    return connected(edges.union(similar(rest, sets)))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and component_id, the smallest id of the row's class, for every row."""
     names = cut(named(docs, id_col, text_col))
-    rooted = names.join(links(docs, names, text_col), "node", "left").select(id_col, F.coalesce("root", "node").alias("root"))
-    held = cut(rooted)
-    return held.join(held.groupBy("root").agg(F.min(id_col).alias("component_id")), "root").select(id_col, "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest document of each class, with all their columns."""
-    gone = components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    roots = cut(links(docs, names, text_col))
+    held = cut(join_hot(names.select(id_col, "node"), roots, "node", "left").select(id_col, F.coalesce("root", "node").alias("root")))
+    return join_hot(held, held.groupBy("root").agg(F.min(id_col).alias("component_id")), "root").select(id_col, "component_id")

@@ -7,8 +7,8 @@ pushes its new neighbours. The count is the number of initial symbols minus the
 number of merges; a symbol outside the vocabulary counts its UTF-8 bytes.
 
 Merges never cross two characters that are adjacent in no piece, so a text is
-cut there and counts of the cut units are kept in a bounded per-worker table.
-The table only saves time: an evicted unit is merged again.
+cut there and counts of words, runs and cut units are kept in tables of a fixed
+number of bytes. They only save time: an evicted unit is merged again.
 
 Cases: null or empty text has 0 tokens and 0 bytes; rows are never dropped or
 merged, so repeated rows give repeated rows; extra columns are ignored.
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolens.llm._chunks import Table
+
 SPACE = "▁"
-CACHE_ENTRIES = 600_000
-CACHE_CHARS = 64
 
 
 class BpeCounter:
@@ -48,9 +48,9 @@ class BpeCounter:
         self.byte_fallback = model.trainer_spec.byte_fallback
         self.joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.space_leads = not any(j[1] == SPACE and j[0] != SPACE for j in self.joined)
-        self.words = _Counts(lambda w: self.units(SPACE + w))
-        self.runs = _Counts(self.units)
-        self.pieces = _Counts(self.merge)
+        self.words = Table(lambda w: self.units(SPACE + w))
+        self.runs = Table(self.units)
+        self.pieces = Table(self.merge)
 
     def count(self, text: str) -> int:
         if not text:
@@ -109,21 +109,6 @@ class BpeCounter:
 _RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-class _Counts(dict):
-    """A bounded table of counts; it starts anew when full and never keeps long keys."""
-
-    def __init__(self, count):
-        self.of = count
-
-    def __missing__(self, key: str) -> int:
-        n = self.of(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = n
-        return n
-
-
 _loaded: dict[str, BpeCounter] = {}
 
 

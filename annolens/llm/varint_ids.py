@@ -32,6 +32,7 @@ from annolens.llm._chunks import ChunkEncoder, byte_chars
 from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
+ROOM = 48 << 20  # bytes of each of a worker's two tables
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
@@ -74,7 +75,7 @@ def encoder(tokenizer_file: str, pattern: str):
         t.no_padding()
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         whole = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = ChunkEncoder(pattern, _model_encoder(t) or whole)
+        chunks = ChunkEncoder(pattern, _model_encoder(t) or whole, ROOM)
         # an added token may start or end inside a chunk, so such texts go through the library whole
         _loaded[tokenizer_file] = lambda s: whole(s) if any(x in s for x in special) else chunks.encode(s)
     return _loaded[tokenizer_file]
