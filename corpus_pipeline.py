@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe_codec, line_runs, quality_rules, shingle_join, suffix_match
+from annolens.llm import bpe_codec, line_runs, near_dedup, quality_rules, suffix_match
 from annolens.llm._common import cut, prepare, read_table
 
 
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies (five-word similarity of at least 0.8) stays."""
     prepare(spark)
-    return shingle_join.keep_one(docs)
+    return near_dedup.keep_one(docs, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
     prepare(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    both = bpe_codec.encode_decode(docs.select("doc_id", "text"), ranks, pattern)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
