@@ -52,7 +52,7 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = class_lm.train(docs.where(~class_lm.is_held_out(F.col("doc_id"))))
     scored = class_lm.score(docs, model, counts)
     return scored.select(
-        "doc_id", class_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.vocab.total)).cast("long").alias("train_tokens"), "base_score", "score",
+        "doc_id", class_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
