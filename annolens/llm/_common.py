@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 
 BATCH_BYTES = str(8 << 20)
-#: A key with more than one row in HOT_SHARE is joined through a broadcast of such keys, of which there are HOT_SHARE at most.
 HOT_SHARE, LEAST_HOT = 1000, 1000
 
 
@@ -88,13 +87,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", co
 
     ``counts`` (key, __n) may give the rows of ``left`` by key, of all keys or of those with many.
 
-    Keys of more than one row in HOT_SHARE are joined without a shuffle; there are HOT_SHARE such keys at most,
-    which bounds what is broadcast, and every key that is shuffled has fewer rows.
+    The HOT_SHARE keys with most rows, of those with more than LEAST_HOT, are joined without a shuffle. Their number
+    bounds what is broadcast, and no key that is shuffled has more than one row in HOT_SHARE.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count("*").alias("__n"))
-    total = left.count()
-    hot = [r[0] for r in counts.where((F.col("__n") > max(LEAST_HOT, total // HOT_SHARE)) & F.col(key).isNotNull()).select(key).collect()]
+    most = counts.where((F.col("__n") > LEAST_HOT) & F.col(key).isNotNull()).orderBy(F.desc("__n")).limit(HOT_SHARE)
+    hot = [r[0] for r in most.select(key).collect()]
     if not hot:
         return left.join(right, key, how)
     keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {left.schema[key].dataType.simpleString()}"))

@@ -12,7 +12,8 @@ which readers skip. Files are read whole by one task each; their size follows th
 partitions written.
 
 Of equal payloads of at least LEAST_BYTES, the record with the smallest page id is the
-response; digests are joined, payloads are not gathered.
+response. Which pages share a digest is counted without payloads; the records then meet that
+table by digest, deflated, and those of very frequent digests meet it without a shuffle by it.
 
 Cases: a null html is an empty payload; a null url becomes ``unknown:``; blanks in urls are
 percent-encoded; rows with the same id and payload are both responses; an empty table gives
@@ -21,6 +22,7 @@ archives without records; extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import gzip
 import hashlib
@@ -34,6 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolens.llm._common import HOT_SHARE, LEAST_HOT, cut, join_hot
+
 LEAST_BYTES = 100
 EPOCH = dt.datetime(2000, 1, 1)
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -96,8 +100,19 @@ def arc_line(version: int, url: str, ip: str, date: str, kind: str, code: int, o
     return (" ".join([url, ip, date, kind, *more, str(length)]) + "\n").encode()
 
 
+class ArcFault(ValueError):
+    """An archive that cannot be read on: where a header line is malformed, nothing says where the next record starts."""
+
+
 def arc_records(content: bytes) -> Iterator[dict]:
     """Records of one archive: header fields and the ``length`` bytes that the header line declares."""
+    try:
+        yield from _arc_records(content)
+    except (ArcFault, ValueError, EOFError, zlib.error, gzip.BadGzipFile, KeyError) as fault:
+        raise ArcFault(str(fault)) from fault
+
+
+def _arc_records(content: bytes) -> Iterator[dict]:
     f = gzip.GzipFile(fileobj=io.BytesIO(content))
     names: list[str] = []
     while line := f.readline():
@@ -134,14 +149,15 @@ def _number(x: str | None) -> int | None:
 def read_arc(spark: SparkSession, path: str, deflate: bool = False) -> DataFrame:
     """page_id, url, date (14 digits), kind, head and payload of every record, with payload_bytes and digest.
 
-    With ``deflate`` payloads are zlib streams, which a later shuffle moves and stores at less than half.
+    With ``deflate`` payloads are zlib streams, which a later shuffle moves and stores at less than half. Of a
+    malformed archive the records before the fault are read; ``rejected_archives`` names it.
     """
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
                 held, size = [], 0
-                for r in arc_records(content.as_py()):
+                for r in _until_fault(content.as_py()):
                     head, payload, fields = split_http(r["body"])
                     h = r["head"]
                     held.append({"page_id": _number(fields.get("x-page-id")), "url": h["URL"], "date": h["Archive-date"], "kind": h["Content-type"], "head": head, "payload": zlib.compress(payload, 1) if deflate else payload, "payload_bytes": len(payload), "digest": hashlib.sha256(payload).hexdigest()})
@@ -156,12 +172,45 @@ def read_arc(spark: SparkSession, path: str, deflate: bool = False) -> DataFrame
     return _files(spark, path).mapInArrow(run, RECORD)
 
 
+def _until_fault(content: bytes) -> Iterator[dict]:
+    with contextlib.suppress(ArcFault):
+        yield from arc_records(content)
+
+
+def rejected_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, records, reason) of the archives that end in a fault; ``records`` were read before it."""
+
+    def run(batches):
+        for b in batches:
+            rows = {"path": [], "records": [], "reason": []}
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                n = 0
+                try:
+                    for _ in arc_records(content.as_py()):
+                        n += 1
+                except ArcFault as fault:
+                    rows["path"].append(name)
+                    rows["records"].append(n)
+                    rows["reason"].append(str(fault))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("reason", pa.string())]))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, records long, reason string")
+
+
 def convert(arc: DataFrame) -> DataFrame:
-    """``arc`` with ``first``: the page id of the response that a revisit refers to, else null."""
+    """``arc`` with ``first``: the page id of the response that a revisit refers to, else null.
+
+    Digests of more than LEAST_HOT records, HOT_SHARE of them at most, are looked up in a broadcast; their
+    records take a key of their own in the join of the others, so that no task gets all copies of a page.
+    """
     large = arc.where(F.col("payload_bytes") >= LEAST_BYTES)
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = arc.join(firsts, "digest", "left")
-    return joined.withColumn("first", F.when(F.col("page_id") != F.col("least"), F.col("least"))).drop("least")
+    firsts = cut(large.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    hot = firsts.where(F.col("n") > LEAST_HOT).orderBy(F.desc("n")).limit(HOT_SHARE).select("digest", F.col("least").alias("hot_least"))
+    marked = arc.join(F.broadcast(hot), "digest", "left")
+    key = F.when(F.col("hot_least").isNull(), F.col("digest")).otherwise(F.concat_ws("#", F.lit(""), "page_id"))
+    joined = marked.withColumn("key", key).join(firsts.select(F.col("digest").alias("key"), "least"), "key", "left")
+    least = F.coalesce("hot_least", "least")
+    return joined.withColumn("first", F.when(F.col("page_id") != least, least)).drop("least", "hot_least", "key")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -243,6 +292,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_referred(records: DataFrame) -> DataFrame:
-    """Replace refers_to_id by ``refers_to``, the page id of the response it names."""
-    responses = records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_to_id")
-    return records.join(responses, "refers_to_id", "left").drop("refers_to_id")
+    """Replace refers_to_id by ``refers_to``, the page id of the response it names. ``records`` is a written table."""
+    responses, revisits = (records.where(F.col("record_type") == k) for k in ("response", "revisit"))
+    named = responses.groupBy("record_id").agg(F.min("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers_to_id")
+    found = join_hot(revisits, named, "refers_to_id", "left").drop("refers_to_id")
+    return responses.drop("refers_to_id").withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
