@@ -2,12 +2,17 @@
 
 A line's key is the line with white space stripped and A-Z lower-cased, held as a
 128-bit hash. Documents arrive in batches. A batch's keys are counted by document,
-anti-joined with the run of settled keys (those already found in enough documents),
-sorted, and added as a run of level 0. When a level holds FAN_OUT runs they are
+merge-anti-joined with the run of settled keys (those already found in enough
+documents), and added as a run of level 0. When a level holds FAN_OUT runs they are
 merged, counts adding up, into one run of the next level, and keys that reach the
-threshold move to a new settled run. After the last batch everything is merged; the
+threshold join the settled run. After the last batch everything is merged; the
 settled keys are the frequent lines.
 
+A run is a table bucketed and sorted by key. All runs have the same buckets, so the
+anti-join and the compaction, two runs at a time, are merges bucket by bucket without
+a shuffle of any run; only a batch's own counts are dealt to the buckets, once. A
+table that is there at once is dealt into BATCHES arrivals.
+
 ``drop_frequent`` then removes their lines. Up to BROADCAST_KEYS settled keys (their
 number is checked) go to every task; beyond that, each document's keys are semi-joined
 with the runs and its frequent keys joined back to it. Both ways give the same rows.
@@ -20,6 +25,7 @@ which are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +35,9 @@ from pyspark.sql import functions as F
 
 from annolens.llm._common import remove, shared_dir
 
-FAN_OUT = 4
+FAN_OUT = 2
 BATCHES = 8
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 100_000  # about 10 MB in a worker
 KEYS = ["h1", "h2"]
 
 
@@ -64,27 +70,31 @@ def line_keys(docs: DataFrame, key_cols: list[str], text_col: str = "text") -> D
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, n documents) below ``path``, in levels, and the settled runs of frequent keys."""
+    """Runs of (h1, h2, n documents), tables bucketed and sorted by key, in levels, and the settled run of frequent keys."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10):
         self.spark, self.path, self.min_docs = spark, path or shared_dir(spark), min_docs
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = []
-        self.settled: list[str] = []
-        self.made = 0
+        self.settled: str | None = None
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket is one sorted file
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
-        path = f"{self.path}/run{self.made}"
-        df.sortWithinPartitions(*KEYS).write.option("compression", "zstd").parquet(path)
-        return path
+        run = f"{self.name}_{self.made}"
+        df.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", f"{self.path}/{run}").option("compression", "zstd").saveAsTable(run)
+        return run
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        remove(self.spark, f"{self.path}/{run}")
 
     def add(self, counts: DataFrame) -> None:
         """Add one batch: (h1, h2, n), a row for each key."""
+        counts = counts.repartition(self.buckets, *KEYS)
         if self.settled:
-            counts = counts.join(self._read(self.settled), KEYS, "left_anti")
+            counts = counts.join(self.spark.table(self.settled).hint("merge"), KEYS, "left_anti")
         self._place(0, self._write(counts))
 
     def _place(self, level: int, run: str) -> None:
@@ -95,25 +105,36 @@ class LineRuns:
             runs, self.levels[level] = self.levels[level], []
             self._place(level + 1, self._merge(runs))
 
+    def _both(self, a: str, b: str | DataFrame, n) -> DataFrame:
+        """The keys of two runs, by a merge of their buckets; ``n`` makes one count of both."""
+        x, y = self.spark.table(a), b if isinstance(b, DataFrame) else self.spark.table(b)
+        joined = x.withColumnRenamed("n", "a").join(y.withColumnRenamed("n", "b"), KEYS, "full")
+        return joined.select(*KEYS, n(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("n"))
+
     def _merge(self, runs: list[str]) -> str:
-        """One run from several; keys at the threshold go to a settled run."""
-        merged = self._write(self._read(runs).groupBy(*KEYS).agg(F.sum("n").alias("n")))
-        self.settled.append(self._write(self._read([merged]).where(F.col("n") >= self.min_docs)))
-        for r in runs:
-            remove(self.spark, r)
+        """One run from several; keys at the threshold join the settled run."""
+        merged = runs[0]
+        for r in runs[1:]:
+            a, merged = merged, self._write(self._both(merged, r, lambda x, y: x + y))
+            self._drop(a)
+            self._drop(r)
+        found = self.spark.table(merged).where(F.col("n") >= self.min_docs)
+        before, self.settled = self.settled, self._write(self._both(self.settled, found, F.greatest) if self.settled else found)
+        if before:
+            self._drop(before)
         return merged
 
     def frequent(self) -> DataFrame:
         """Keys found in at least ``min_docs`` documents of all batches; merges what is left."""
         left = [r for level in self.levels for r in level]
         self.levels = [[self._merge(left)]] if left else []
-        return self._read(self.settled).select(*KEYS).distinct() if self.settled else self.spark.createDataFrame([], "h1 long, h2 long")
+        return self.spark.table(self.settled).select(*KEYS) if self.settled else self.spark.createDataFrame([], "h1 long, h2 long")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") -> DataFrame:
     """(h1, h2) of the line keys of ``docs`` found in at least ``min_docs`` rows.
 
-    The batches are slices of the key space's rows by a hash of the text, counted in one scan.
+    The arrivals are dealt by a hash of the text and counted in one scan.
     """
     spark = docs.sparkSession
     incoming = shared_dir(spark)
