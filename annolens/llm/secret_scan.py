@@ -6,13 +6,14 @@ identifiers, are counted from labelled samples: the values that the patterns mat
 all documents, and the runs of token characters outside the patterns' matches in a sample
 of about ``sample_docs`` documents chosen by hash (a bounded sample for fitting; every text
 is scanned and every candidate scored). Rates of a pair back off to those of its second
-character. A run of token characters is a secret if its mean log-likelihood ratio per
-transition is at least MEAN_RATIO. Such spans are added to the pattern spans; those that
-overlap one are left out.
+character. A run of LEAST token characters or more is a secret if its log-likelihood ratio
+outweighs prior odds of one secret in PRIOR runs, so that a short run must look more random
+than a long one. Such spans are added to the pattern spans; runs that overlap one are left out.
 
 All of it is Column expressions: spans are the running sums of the lengths of matches and of
-the gaps between them, in code points. The model is one array of len(ALPHABET) squared
-numbers, whatever the corpus holds.
+the gaps between them, in code points, taken block by block so that a text of many matches
+costs little more than in proportion; overlaps are found by one merge of the sorted spans. The
+model is one array of len(ALPHABET) squared numbers, whatever the corpus holds.
 
 Cases: null or empty text has no spans; texts without ASCII or of any length are scanned
 whole; repeated rows give repeated rows; an empty table gives no rows; extra columns are ignored.
@@ -35,33 +36,48 @@ KINDS = [
 ]
 MARKOV = "markov"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 12
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
 SAMPLE_DOCS = 20_000
 BACKOFF = 64.0
-MEAN_RATIO = 0.0
+PRIOR = 10
+BLOCK = 256
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
+def _running(values: Column, op) -> Column:
+    """Inclusive running results of ``op`` over an array of integers: within blocks, then with what came before a block."""
+
+    def folded(a: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            return F.concat(acc, F.array(F.when(last.isNull(), x).otherwise(op(last, x))))
+
+        return F.aggregate(a, F.array().cast("array<int>"), step)
+
+    def joined(blocks: Column) -> Column:
+        before = folded(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        shift = lambda b, i, o: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(o, i - 1), x)))
+        return let(before, lambda o: F.flatten(F.transform(blocks, lambda b, i: shift(b, i, o))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(BLOCK))
+    return let(F.transform(starts, lambda i: folded(F.slice(values, i + 1, F.lit(BLOCK)))), joined)
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as (start, end, kind, value); short values are dropped after matching."""
     value = lambda m: F.regexp_extract(m, pattern, group) if group else m
 
     def placed(found: Column) -> Column:
-        def walk(gaps: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-            def step(acc: Column, i: Column) -> Column:
-                s = acc["at"] + F.length(F.get(gaps, i))
-                m = F.get(found, i)
-                e = s + F.length(m)
-                one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), value(m).alias("v"))
-                return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def ended(gaps: Column) -> Column:
+            return _running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), lambda a, b: a + b)
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+        def spanned(ends: Column) -> Column:
+            one = lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("s"), F.lit(kind).alias("k"), F.get(ends, i).alias("e"), value(m).alias("v"))
+            return F.filter(F.transform(found, one), lambda x: F.length(x["v"]) >= least)
 
-        kept = F.filter(let(F.split(text, pattern, -1), walk), lambda x: F.length(x["v"]) >= least)
-        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(kept)
+        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(let(let(F.split(text, pattern, -1), ended), spanned))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -92,11 +108,11 @@ def _rates(counts: DataFrame) -> list[list[float]]:
     return [[(n + BACKOFF * u) / (sum(row) + BACKOFF) for n, u in zip(row, alone)] for row in table]
 
 
-def train(scanned: DataFrame, docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def train(scanned: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """The log-likelihood ratio of each pair of ALPHABET, row by row."""
     random_counts = _transitions(scanned.select(F.explode("base").alias("b")).select("b.v"))
     share = max(1, scanned.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0)
     rest = F.col(text_col)
     for _, pattern, *_ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
@@ -104,24 +120,43 @@ def train(scanned: DataFrame, docs: DataFrame, text_col: str = "text", sample_do
     return [math.log(p / q) for random_row, word_row in zip(_rates(random_counts), _rates(word_counts)) for p, q in zip(random_row, word_row)]
 
 
-def mean_ratio(value: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio per transition of a string over ALPHABET."""
+def log_ratio(value: Column, model: Column) -> Column:
+    """Log-likelihood ratio of a string over ALPHABET."""
     size = len(ALPHABET)
 
     def total(at: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.get(model, (F.get(at, i) - 1) * size + F.get(at, i + 1) - 1))
-        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.size(at) - 1)
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
 
     return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), total)
 
 
+def free(base: Column, candidates: Column) -> Column:
+    """Those of ``candidates``, which do not overlap each other, that no span of ``base`` overlaps."""
+    of_base = lambda x: x["k"] < len(KINDS)
+
+    def merged(every: Column) -> Column:
+        reach = _running(F.transform(every, lambda x: F.when(of_base(x), x["e"]).otherwise(0)), F.greatest)
+
+        def kept(ends: Column) -> Column:
+            def alone(x: Column, i: Column) -> Column:
+                after = F.get(every, i + 1)
+                touched = F.coalesce(of_base(after) & (after["s"] < x["e"]), F.lit(False))
+                return ~of_base(x) & (F.get(ends, i) <= x["s"]) & ~touched
+
+            return F.filter(every, alone)
+
+        return let(reach, kept)
+
+    return F.when(F.size(base) == 0, candidates).when(F.size(candidates) == 0, candidates).otherwise(let(F.sort_array(F.concat(base, candidates)), merged))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """id, ``base`` and ``spans`` (base and added spans by start) of every row; texts are scanned once."""
     scanned = cut(scan(docs, id_col, text_col))
-    numbers = ",".join(f"{x:.6f}" for x in train(scanned, docs, text_col, sample_docs))
+    numbers = ",".join(f"{x:.6f}" for x in train(scanned, docs, id_col, text_col, sample_docs))
     model = F.from_json(F.lit(f"[{numbers}]"), "array<double>")
-    free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    added = F.filter("candidates", lambda c: free(c) & (mean_ratio(c["v"], model) >= MEAN_RATIO))
+    added = F.filter(free(F.col("base"), F.col("candidates")), lambda c: log_ratio(c["v"], model) >= math.log(PRIOR))
     return scanned.select(id_col, "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
