@@ -4,13 +4,14 @@ Ids are replaced by their rank in the corpus (0 is the most frequent) and each
 rank takes one to four bytes. Lengths stand apart from data: a control byte holds
 four two-bit lengths, so a block decodes with numpy table lookups and no loop over
 values. Blocks hold whole documents in ascending id order; a block's header has
-its first token's position in the corpus, so blocks can be read in any order.
+its first token's position in the corpus, so blocks can be read in any order. Files
+are in one folder for each range of ids, and folders by name are in the order of ids.
 
 Layout of a block: magic ``FVB1``, then little-endian u32 documents, u64 tokens,
 u64 first position, u64 control bytes, u64 data bytes; per document i64 id, u8
 validity, u32 tokens; control bytes; data bytes; one newline.
 
-Cases: null or empty text is one end id; a null document id sorts first and reads
+Ids are whole numbers; other ids end the job. Cases: null or empty text is one end id; a null document id sorts first and reads
 back as null; equal ids keep both rows; an empty table gives files without blocks.
 """
 
@@ -32,6 +33,7 @@ from annolens.llm._chunks import ChunkEncoder, byte_chars
 from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
+GROUP_BYTES = 1 << 30
 ROOM = 48 << 20  # bytes of each of a worker's two tables
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
@@ -162,7 +164,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end
     """
     spark = docs.sparkSession
     held = shared_dir(spark)
-    blocks = cut(_sorted_blocks(docs, tokenizer_file, pattern, end_id, id_col, text_col), held)
+    # one row group a file, so that a range of ids is read by one task
+    _sorted_blocks(docs, tokenizer_file, pattern, end_id, id_col, text_col).write.options(**{"compression": "zstd", "parquet.block.size": GROUP_BYTES}).parquet(held)
+    blocks = spark.read.parquet(held)
     by_rank = sorted(((r.n, r.id) for r in _frequencies(blocks).collect()), key=lambda x: (-x[0], x[1]))
     ranks = np.zeros(max((i for _, i in by_rank), default=0) + 1, "<u4")
     for rank, (_, i) in enumerate(by_rank):
@@ -180,10 +184,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end
                 keys = row["doc_ids"]
                 head = struct.pack(HEADER, MAGIC, len(keys), sum(row["sizes"]), first[row["part"]] + row["before"], len(control), len(data))
                 docs = np.array([k or 0 for k in keys], "<i8").tobytes() + bytes(k is not None for k in keys) + np.array(row["sizes"], "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([head + docs + control + data], pa.binary())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([head + docs + control + data], pa.binary())], names=["part", "value"])
 
-    coded = blocks.sortWithinPartitions("part", "block").mapInArrow(run, "value binary")
-    coded.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/blocks")
+    coded = blocks.sortWithinPartitions("part", "block").mapInArrow(run, "part int, value binary")
+    named = coded.select(F.format_string("%08d", "part").alias("part"), F.col("value").cast("string"))
+    named.sortWithinPartitions("part").write.partitionBy("part").option("lineSep", "\n").text(f"{path}/blocks")
     spark.createDataFrame([(i, r) for r, (_, i) in enumerate(by_rank)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     remove(spark, held)
 
