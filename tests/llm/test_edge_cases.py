@@ -1,7 +1,11 @@
 """Nulls, empty tables, repeated rows, clashing columns, and the parts that a query does not show."""
 
 import base64
+import os
 import random
+import re
+import string
+import struct
 
 import numpy as np
 import public_tokenizers as P
@@ -58,8 +62,10 @@ def test_token_counts(docs, none):
 
 def test_decontamination(docs, none, bench, spark):
     out = {(r.doc_id, r.n_hit): r for r in suffix_match.matches(docs, bench).collect()}
-    assert out[1, 4]["items"] == [9] and out[1, 4].longest == 4
-    assert [(s["from"], s["to"]) for s in out[1, 4].spans] == [(10, 14)]
+    assert out[1, 18]["items"] == [9] and out[1, 18].longest == 18  # all are words of the item without an id
+    assert [(s["from"], s["to"]) for s in out[1, 18].spans] == [(0, 18)]
+    (own, *_) = suffix_match.matches(docs.where("text IS NOT NULL AND doc_id = 1"), bench.where("item_id = 9")).collect()
+    assert (own.n_hit, own.longest, [(s["from"], s["to"]) for s in own.spans]) == (4, 4, [(10, 14)])
     left = suffix_match.decontaminate(docs, bench)
     assert left.columns == docs.columns and keys(left) == sorted([2, None, 3, 4], key=repr)
     assert suffix_match.matches(none, bench).count() == 0
@@ -87,6 +93,36 @@ def test_near_dedup(docs, none):
     assert near_dedup.components(none).count() == 0
 
 
+def test_links_of_a_dense_cell_are_few(spark):
+    rng = random.Random(8)
+    base, spots = rng.getrandbits(64), rng.sample(range(64), 22)
+    fps = {base ^ sum(1 << b for b in rng.sample(spots, rng.randrange(9))) for _ in range(10_000)}
+    fps |= {f ^ 1 << 63 - b ^ 1 << 31 - b for f in rng.sample(sorted(fps), 500) for b in (rng.randrange(20),)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = near_dedup.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()
+    assert len(pairs) < 40 * len(fps)
+    up = {f: f for f in fps}
+    mine = dict(up)
+
+    def root(of, x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    flips = [0, *(1 << i for i in range(64)), *((1 << i) + (1 << j) for i in range(64) for j in range(i))]
+    for f in fps:
+        for m in flips:
+            if f ^ m in up:
+                up[root(up, f)] = root(up, f ^ m)
+    for r in pairs:
+        a, b = r.a & (2**64 - 1), r.b & (2**64 - 1)
+        assert (a ^ b).bit_count() <= 2
+        mine[root(mine, a)] = root(mine, b)
+    same = {}
+    assert all(same.setdefault(root(up, f), root(mine, f)) == root(mine, f) for f in fps) and len(set(same.values())) == len(same)
+
+
 @pytest.mark.parametrize("crowd", [64, 2])
 def test_links_join_every_near_pair(spark, monkeypatch, crowd):
     monkeypatch.setattr(near_dedup, "CELL_ROWS", crowd)
@@ -174,6 +210,38 @@ def test_class_lm(docs, none):
     assert all(r.n_known == 0 and r.base_score == 0 for r in class_lm.score(docs, model, counts).collect())
 
 
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(3)
+    for size, k in ((40, 4), (200, 9)):
+        a, b = np.divmod(rng.choice(size * size, size * 12, replace=False), size)
+        n = rng.integers(1, 50, len(a))
+        count = np.bincount(b, n, size)
+        classes, pair, seen = class_lm.exchange(a, b, n, count, k, tolerance=0)
+        assert all(x <= y + 1e-6 for x, y in zip(seen, seen[1:])) and seen[-1] > seen[0]
+        exact = np.zeros_like(pair)
+        np.add.at(exact, (classes[a], classes[b]), n)
+        assert np.allclose(pair, exact) and classes[-1] == k and (classes[:-1] < k).all()
+        assert np.isclose(seen[-1], class_lm.likelihood(exact))
+
+
+def test_class_lm_places_words_outside_the_core(spark):
+    rng = random.Random(4)
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    line = lambda: " ".join(x for _ in range(20) for x in (rng.choice(a), rng.choice(b)))
+    docs = spark.createDataFrame([(str(i), line()) for i in range(300)], "doc_id string, text string").repartition(7)
+    model, lexicon = class_lm.train(docs, core=20, head=30)
+    found = {bytes(r.word).decode(): (r.n, r["class"]) for r in lexicon.collect()}
+    assert 61 <= len(found) <= 80 and class_lm.END.decode() not in found
+    wanted = class_lm.Counter(w for r in docs.collect() for w in r.text.split())
+    assert all(wanted[w] == n for w, (n, _) in found.items())
+    shared = {c for w, (_, c) in found.items() if w[0] == "a"} & {c for w, (_, c) in found.items() if w[0] == "b"}
+    assert not shared
+    plain = sum(np.log10((wanted[w] + 1) / (model.total + model.distinct + 1)) for w in docs.first().text.split())
+    one = [r for r in class_lm.score(docs, model, lexicon).collect() if r.doc_id == docs.first().doc_id][0]
+    assert one.n_known == one.n_tokens == 41 and abs(one.base_score - plain - np.log10(301 / (model.total + model.distinct + 1))) < 1e-6
+    assert one.score > one.base_score + 6
+
+
 def test_class_lm_learns_order(spark):
     rng = random.Random(2)
     a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
@@ -192,6 +260,76 @@ def test_bpe_codec(docs, none):
     assert bpe_codec.encode(none, ranks, P.PATTERN).count() == 0
 
 
+def test_arc_faults_are_rejected(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "page " * 40 + str(i)) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/arc"
+    warc_convert.write_arc(pages, path)
+    (name,) = [p for p in os.listdir(path) if p.startswith("part-")]
+    content = open(f"{path}/{name}", "rb").read()
+    with open(f"{path}/broken.arc", "wb") as f:
+        f.write(content + warc_convert.member(b"http://x/ only three fields\n"))
+    bad = warc_convert.rejected_archives(spark, path).collect()
+    assert [(r.records, r.path.rsplit("/", 1)[1]) for r in bad] == [(6, "broken.arc")]
+    assert warc_convert.read_arc(spark, path).count() == 12
+
+
+def test_one_page_many_times(spark, monkeypatch):
+    monkeypatch.setattr(warc_convert, "LEAST_HOT", 20)
+    same = "all the same " * 20
+    arc = spark.createDataFrame([(i, same if i % 3 else f"{i} {same}") for i in range(90)], "page_id long, html string")
+    rows = arc.selectExpr("page_id", "sha2(html, 256) AS digest", "cast(length(html) AS long) AS payload_bytes", "html")
+    out = {r.page_id: r["first"] for r in warc_convert.convert(rows).collect()}
+    assert out == {i: 1 if i % 3 and i > 1 else None for i in range(90)}
+
+
+def test_id_files_by_name_are_in_order(spark, tmp_path):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(PLAIN.split()) for _ in range(50))) for i in rng.sample(range(10**6), 800)], "doc_id long, text string").repartition(6)
+    path = f"{tmp_path}/ids"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        varint_ids.write_ids(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    starts = []
+    for name in sorted(os.path.join(d, f) for d, _, files in os.walk(f"{path}/blocks") for f in files if f.startswith("part-")):
+        raw, at = open(name, "rb").read(), 0
+        while at < len(raw):
+            _, n, _, start, c, d = struct.unpack_from(varint_ids.HEADER, raw, at)
+            starts.append(start)
+            at += struct.calcsize(varint_ids.HEADER) + 13 * n + c + d + 1
+    assert len(starts) > 1 and starts == sorted(starts)
+
+
+def test_item_without_id_hits_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
+    (r,) = suffix_match.matches(docs, spark.createDataFrame([(None, "two three")], "item_id long, text string")).collect()
+    assert (r.n_hit, r["items"]) == (2, [])
+
+
+def test_spans_of_many_matches(spark):
+    text = " ".join(f"x{i} deadbeef{i:012x} y" for i in range(700))
+    (r,) = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    wanted = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert [(x.s, x.e) for x in r.base] == wanted
+
+
+def test_secrets_by_length(spark):
+    """Recall on held-out planted strings of three alphabets, by length, and what is added on ordinary identifiers."""
+    rng = random.Random(11)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    token = lambda n: "".join(rng.choice(rng.choice(alphabets)) for _ in range(n))
+    words = "connection manager default configuration handler internal process request response session builder value".split()
+    name = lambda: rng.choice(["_", "-", ""]).join(rng.choice(words) for _ in range(3))
+    rows = [(i, f"{name()} uses {name()} with password={token(18)} in {name()}") for i in range(400)]
+    planted = {1000 + k: (n, token(n)) for k, n in enumerate([12, 16, 20, 32] * 40)}
+    rows += [(i, f"see {t} here") for i, (_, t) in planted.items()] + [(5000 + i, f"the {name()} and {name()}") for i in range(300)]
+    found = {r.doc_id: [x for x in r.spans if x.k == len(secret_scan.KINDS)] for r in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {n: np.mean([bool(found[i]) for i, (m, _) in planted.items() if m == n]) for n in (12, 16, 20, 32)}
+    assert recall[32] > 0.98 and recall[20] > 0.9 and recall[16] > 0.8 and recall[12] > 0.6, recall
+    assert sum(bool(found[5000 + i]) for i in range(300)) <= 3
+
+
 def test_secret_scan(spark, docs, none):
     assert secret_scan.find(none).count() == 0
     assert keys(secret_scan.find(docs)) == sorted((k for k, _ in ROWS), key=repr)
@@ -222,5 +360,5 @@ def test_runs_merge_by_level(spark):
     runs = line_runs.LineRuns(spark, min_docs=3)
     for k in range(6):
         runs.add(spark.createDataFrame([(1, 1, 1), (2, k, 1), (3, k % 2, 1)], "h1 long, h2 long, n long"))
-    assert len(runs.levels) == 2
+    assert len(runs.levels) == 3
     assert sorted((r.h1, r.h2) for r in runs.frequent().collect()) == [(1, 1), (3, 0), (3, 1)]

@@ -33,7 +33,7 @@ def planted():
 
 def brute(docs):
     def grams(t):
-        w = (t or "").lower().split()
+        w = (t or "").encode().lower().split()
         return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
     sets, up = {k: grams(t) for k, t in docs}, {k: k for k, _ in docs}
