@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next one's docs.
+
+Cases: a null, empty or short text fails the quality rules and goes in the first stage; what reaches
+a later one all the same is a text of no words there: it keeps its one empty line, is a near copy of
+other blank texts, is not contaminated and has no ids. Rows are decided one by one, so repeated rows
+share their fate until the near-duplicate stage, where rows that share the kept id stay together and
+rows without an id stay. Columns beyond doc_id and text pass through up to the last stage; an empty
+table passes every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolens.llm import bpe_codec, line_runs, near_dedup, quality_rules, suffix_match
-from annolens.llm._common import cut, prepare, read_table
+from annolens.llm._common import cut, prepare, read_table, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go from every document; n_chars follows the text."""
+    """Frequent lines go from every document; n_chars, where there is one, follows the text."""
     prepare(spark)
     kept = line_runs.drop_frequent(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), codec="snappy")
+        path = shared_dir(spark)
+        docs, done = cut(stage(spark, docs, sf_dir), path, codec="snappy"), before
+        if done:
+            remove(spark, done)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
