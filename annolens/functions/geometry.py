@@ -123,55 +123,76 @@ def segment_box(points: Column, width: float, height: float) -> Column:
 
 
 def resample(points: Column, n: int) -> Column:
-    """``n`` points along the closed polygon at equal index steps, linearly interpolated."""
+    """``n`` points of the closed polygon, linearly interpolated at equal index steps.
+
+    A polygon of ``n`` points stays; one that has fewer, closed, keeps its vertices among the points.
+    """
     closed = F.concat(points, F.slice(points, 1, 1))
 
     def at(ring: Column) -> Column:
-        last = F.size(ring) - 1
+        m = F.size(ring)
+        even = lambda k: F.when(k == 1, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda i: i * (m - 1) / (k - 1)))
+        own = F.transform(F.sequence(F.lit(0), m - 1), lambda i: i.cast("double"))
+        steps = F.when(m == n, own).when(m < n, F.sort_array(F.concat(even(n - m), own))).otherwise(even(F.lit(n)))
 
-        def one(i: Column) -> Column:
-            pos = i * last / (n - 1)
-            k = F.least(F.floor(pos).cast("int"), last - 1)
+        def one(pos: Column) -> Column:
+            k = F.greatest(F.least(F.floor(pos).cast("int"), m - 2), F.lit(0))
             a, b, f = F.get(ring, k), F.get(ring, k + 1), pos - k
             return point(a["x"] + (b["x"] - a["x"]) * f, a["y"] + (b["y"] - a["y"]) * f)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+        return F.transform(steps, one)
+
+    return F.when(F.size(points) == n, points).otherwise(let(closed, at))
 
-    return let(closed, at)
 
+def _on_edge(px, py, ax, ay, bx, by) -> Column:
+    """Whether a point lies on the segment a-b, its ends included."""
+    level = (bx - ax) * (py - ay) == (by - ay) * (px - ax)
+    return level & (px >= F.least(ax, bx)) & (px <= F.greatest(ax, bx)) & (py >= F.least(ay, by)) & (py <= F.greatest(ay, by))
 
-def in_polygon(px, py, polygon: list[tuple[float, float]]) -> Column:
-    """Even-odd ray casting against a fixed polygon; points on its boundary may fall either way."""
-    crossings = F.lit(0)
+
+def in_polygon(px, py, polygon: list[tuple[float, float]], boundary: bool = False) -> Column:
+    """Even-odd ray casting against a fixed polygon; points on its boundary are inside only with ``boundary``."""
+    crossings, edge = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]]):
+        edge = edge | _on_edge(px, py, *(F.lit(float(v)) for v in (ax, ay, bx, by)))
         if ay == by:
             continue
         spans = (F.lit(float(ay)) > py) != (F.lit(float(by)) > py)
         crossings = crossings + (spans & (px < (bx - ax) * (py - ay) / (by - ay) + ax)).cast("int")
-    return crossings % 2 == 1
+    return edge | (crossings % 2 == 1) if boundary else ~edge & (crossings % 2 == 1)
 
 
-def in_points(px, py, points: Column) -> Column:
+def in_points(px, py, points: Column, boundary: bool = False) -> Column:
     """``in_polygon`` for a polygon held as an array of points."""
 
     def counted(ring: Column) -> Column:
-        def edge(total: Column, i: Column) -> Column:
-            a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        corners = lambda i: (F.get(ring, i), F.get(ring, (i + 1) % F.size(ring)))
+
+        def crossed(i: Column) -> Column:
+            a, b = corners(i)
             spans = (a["y"] > py) != (b["y"] > py)
             left = px < (b["x"] - a["x"]) * (py - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]
-            return total + F.coalesce(spans & left, F.lit(False)).cast("int")
+            return F.coalesce(spans & left, F.lit(False))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0), edge)
+        def touched(i: Column) -> Column:
+            a, b = corners(i)
+            return _on_edge(px, py, a["x"], a["y"], b["x"], b["y"])
 
-    return let(points, counted) % 2 == 1
+        at = F.sequence(F.lit(0), F.size(ring) - 1)
+        inside, edge = F.size(F.filter(at, crossed)) % 2 == 1, F.exists(at, touched)
+        return edge | inside if boundary else ~edge & inside
 
+    return let(points, counted)
 
-def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Whether segments a-b and c-d properly cross."""
+
+def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Whether segments a-b and c-d have a point in common; touching and overlapping count."""
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
     one = side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by)
     two = side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy)
-    return (one < 0) & (two < 0)
+    touch = _on_edge(ax, ay, cx, cy, dx, dy) | _on_edge(bx, by, cx, cy, dx, dy) | _on_edge(cx, cy, ax, ay, bx, by) | _on_edge(dx, dy, ax, ay, bx, by)
+    return ((one < 0) & (two < 0)) | touch
 
 
 def angle_at(ax, ay, bx, by, cx, cy) -> Column:
@@ -211,3 +232,68 @@ def distances_to_box(left, top, right, bottom, ax, ay) -> Box:
 def box_to_distances(x1, y1, x2, y2, ax, ay, most: float | None = None) -> Box:
     out = ax - x1, ay - y1, x2 - ax, y2 - ay
     return out if most is None else tuple(clamp(v, 0, most - 0.01) for v in out)
+
+
+def map_point(x, y, m: list[float]) -> tuple[Column, Column]:
+    """A point under the homography ``m`` (nine numbers, row by row)."""
+    w = m[6] * x + m[7] * y + m[8]
+    return (m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w
+
+
+def map_box(x1, y1, x2, y2, m: list[float]) -> Box:
+    """The box around the corners of a box under a homography."""
+    moved = [map_point(x, y, m) for x, y in ((x1, y1), (x2, y2), (x1, y2), (x2, y1))]
+    xs, ys = [p[0] for p in moved], [p[1] for p in moved]
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
+def map_keypoint(x, y, visible, m: list[float], width: float, height: float) -> tuple[Column, Column, Column]:
+    """A keypoint under a homography; outside the image it is no longer visible."""
+    u, v = map_point(x, y, m)
+    return u, v, F.when((u < 0) | (v < 0) | (u > width) | (v > height), 0).otherwise(visible)
+
+
+def padded(x1, y1, x2, y2, pad_w, pad_h) -> Box:
+    return x1 + pad_w, y1 + pad_h, x2 + pad_w, y2 + pad_h
+
+
+def scaled(x1, y1, x2, y2, by_w, by_h) -> Box:
+    return x1 * by_w, y1 * by_h, x2 * by_w, y2 * by_h
+
+
+def flipped(x1, y1, x2, y2, width=None, height=None) -> Box:
+    """Mirrored left to right within ``width``, or up to down within ``height``, where given."""
+    if width is not None:
+        x1, x2 = width - x2, width - x1
+    if height is not None:
+        y1, y2 = height - y2, height - y1
+    return x1, y1, x2, y2
+
+
+def grid_points(n: int) -> Column:
+    """Array of the n x n centres of a unit square's cells."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: point((i % n + 0.5) / n, (F.floor(i / n) + 0.5) / n))
+    return at
+
+
+def crop_boxes(width, height, layer: int, overlap_ratio: float) -> Column:
+    """Array of (x1, y1, x2, y2) of a layer's crops: one for layer 0, four times as many for each layer more."""
+    n = 2**layer
+    edge = F.floor(F.least(width, height) * (overlap_ratio * 2 / n)) if layer else F.lit(0)
+    size = lambda whole: F.ceil((edge * (n - 1) + whole) / n)
+
+    def crop(i: Column) -> Column:
+        x, y = (size(width) - edge) * F.floor(i / n), (size(height) - edge) * (i % n)
+        return F.struct(x.alias("x1"), y.alias("y1"), F.least(x + size(width), width).alias("x2"), F.least(y + size(height), height).alias("y2"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), crop)
+
+
+def margin_crop(x1, y1, x2, y2, width, height, percent: float) -> Box:
+    """The square around a box widened by ``percent`` of its sides, cut at the image; whole pixels."""
+    whole = lambda v: v.cast("long")
+    a, b, c, d = (whole(v) for v in (x1, y1, x2, y2))
+    mx, my = whole((c - a) * percent / 100), whole((d - b) * percent / 100)
+    a, b, c, d = F.greatest(a - mx, F.lit(0)), F.greatest(b - my, F.lit(0)), F.least(c + mx, width), F.least(d + my, height)
+    half, cx, cy = F.floor(F.greatest(c - a, d - b) / 2), F.floor((a + c) / 2), F.floor((b + d) / 2)
+    return F.greatest(cx - half, F.lit(0)), F.greatest(cy - half, F.lit(0)), F.least(cx + half, width), F.least(cy + half, height)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+#: Characters that labels may not hold (fixed values).
+SPECIAL = "[|@#!¡·$€%&()=?¿^*;:,¨`><+]"
+
 
 def clean(text: Column) -> Column:
     """Every character that labels may not hold becomes an underscore."""
-    return F.regexp_replace(text, r"[|@#!¡·$€%&()=?¿^*;:,¨´><+]", "_")
+    return F.regexp_replace(text, SPECIAL, "_")
 
 
 def threshold_of(path: Column) -> Column:
@@ -46,7 +49,20 @@ def label_path(image: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """Decimal text; halves go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
+def general(x: Column, digits: int = 6) -> Column:
+    """Shortest text of ``digits`` significant digits: no trailing zeros, an exponent below -4 or from ``digits`` on."""
+    text = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
+    short = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    places = F.greatest(digits - 1 - power, F.lit(0))
+    plain = F.call_function("format_string", F.concat(F.lit("%."), places.cast("string"), F.lit("f")), x.cast("double"))
+    sign = F.when(power < 0, "-").otherwise("+")
+    odd = F.concat(short(F.regexp_extract(text, "^(.*)e", 1)), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").when((power < -4) | (power >= digits), odd).otherwise(short(plain))
 
 
 def parsed_counts(items: Column) -> Column:

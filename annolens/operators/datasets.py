@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolens.functions.geometry import Box, xywh_to_xyxy, xyxy_to_xywh
+from annolens.functions.geometry import Box, flipped, xywh_to_xyxy, xyxy_to_xywh
+from annolens.functions.overlap import ioa
+
+CORNERS = ["x1", "y1", "x2", "y2"]
 
 
 def hash_unit(*parts) -> Column:
@@ -29,28 +34,104 @@ def dataset_stats(images: DataFrame, labels: DataFrame, classes: DataFrame) -> D
     return classes.join(seen, "cls", "left").na.fill(0, ["instances", "images"])
 
 
-def quota_split(rows: DataFrame, ratio: float, id_col: str, by: list[str] | None = None, seed: int = 0, floor: bool = False, least: int = 0) -> DataFrame:
-    """Add ``split``: the round (or floor) of ``ratio`` of each group's rows, at least ``least``, chosen by hash, are val.
+BUCKET_ROWS = 50_000
+
 
-    Whole-table splits count rows below each hash bucket first, so no single task ranks everything.
+def hash_rank(rows: DataFrame, id_col: str, by: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """Add ``__r`` and ``__n``: a row's place by hash in its group, from 1, and the group's rows.
+
+    Rows of a group are numbered within hash buckets, each after the rows of the buckets before it, so
+    no task ranks a whole group.
     """
-    u = hash_unit(F.lit(seed), F.col(id_col))
-    keyed = rows.withColumn("__u", u)
-    if by:
-        w = Window.partitionBy(*by)
-        n = F.count("*").over(w)
-        rank = F.row_number().over(w.orderBy("__u", id_col))
-        ranked = keyed.withColumns({"__n": n, "__r": rank})
-    else:
-        buckets = 256
-        keyed = keyed.withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
-        sizes = keyed.groupBy("__b").agg(F.count("*").alias("c"))
-        before = sizes.select("__b", (F.sum("c").over(Window.orderBy("__b")) - F.col("c")).alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__n"))
-        local = F.row_number().over(Window.partitionBy("__b").orderBy("__u", id_col))
-        ranked = keyed.join(F.broadcast(before), "__b").withColumn("__r", F.col("__before") + local)
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    group = [F.col(c) for c in by or []] or [F.lit(0)]
+    names = [f"__g{i}" for i in range(len(group))]
+    keyed = rows.withColumns(dict(zip(names, group))).withColumn("__u", hash_unit(F.lit(seed), F.col(id_col)))
+    keyed = keyed.withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
+    sizes = keyed.groupBy(*names, "__b").agg(F.count("*").alias("c"))
+    ahead, whole = Window.partitionBy(*names).orderBy("__b"), Window.partitionBy(*names)  # one row for each bucket
+    before = sizes.select(*names, "__b", (F.sum("c").over(ahead) - F.col("c")).alias("__before"), F.sum("c").over(whole).alias("__n"))
+    on = [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*names, "__b")]
+    local = F.row_number().over(Window.partitionBy(*(f"k.{c}" for c in (*names, "__b"))).orderBy("__u", F.col(f"k.{id_col}")))
+    placed = keyed.alias("k").join(before.alias("s"), reduce(lambda a, b: a & b, on)).withColumn("__r", F.col("__before") + local)
+    return placed.select(*(f"k.{c}" for c in rows.columns), "__r", "__n")
+
+
+def quota_split(rows: DataFrame, ratio: float, id_col: str, by: list[str] | None = None, seed: int = 0, floor: bool = False, least: int = 0) -> DataFrame:
+    """Add ``split``: the round (or floor) of ``ratio`` of each group's rows, at least ``least``, chosen by hash, are val."""
     size = F.floor(F.col("__n") * ratio) if floor else F.bround(F.col("__n") * ratio)
     val = F.col("__r") <= F.greatest(size, F.lit(least))
-    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).select(*rows.columns, "split")
+    return hash_rank(rows, id_col, by, seed).withColumn("split", F.when(val, "val").otherwise("train")).select(*rows.columns, "split")
+
+
+def recipes(rows: DataFrame, weights: list[tuple[str, float]], id_col: str, seed: int = 0) -> DataFrame:
+    """Add ``recipe``: each takes its rounded weight of all rows in hash order, the last what is left."""
+    chosen, edge = F.lit(weights[-1][0]), F.lit(0)
+    edges = []
+    for name, weight in weights[:-1]:
+        edge = edge + F.bround(F.col("__n") * weight)
+        edges.append((name, edge))
+    for name, edge in reversed(edges):
+        chosen = F.when(F.col("__r") <= edge, name).otherwise(chosen)
+    return hash_rank(rows, id_col, seed=seed).withColumn("recipe", chosen).select(*rows.columns, "recipe")
+
+
+def paired_donors(backgrounds: DataFrame, donors: DataFrame, seed: int = 0) -> DataFrame:
+    """(image_id, donor): backgrounds in hash order take donors in hash order, over and over."""
+    d = hash_rank(donors, "image_id", seed=seed + 1).select(F.col("image_id").alias("donor"), F.col("__r").alias("at"), F.col("__n").alias("donors"))
+    b = hash_rank(backgrounds, "image_id", seed=seed)
+    n = d.agg(F.max("donors").alias("n"))
+    return b.join(F.broadcast(n)).withColumn("at", F.pmod(F.col("__r") - 1, F.col("n")) + 1).join(d, "at").select("image_id", "donor")
+
+
+def copy_donors(labels: DataFrame, share: float, most: float = 0.3) -> DataFrame:
+    """(image_id, det_id) of mirrored instances to paste: those that cover less than ``most`` of every instance, ``share`` of them from the least covering on."""
+    mirror = labels.select("image_id", F.col("det_id").alias("m"), *[c.alias(f"m_{n}") for c, n in zip(flipped(*(F.col(c) for c in CORNERS), width=F.lit(1.0)), CORNERS)])
+    pairs = mirror.join(labels, "image_id").withColumn("ioa", ioa(tuple(F.col(f"m_{n}") for n in CORNERS), tuple(F.col(n) for n in CORNERS)))
+    worst = pairs.groupBy("image_id", F.col("m").alias("det_id")).agg(F.max("ioa").alias("worst")).where(F.col("worst") < most)
+    image = Window.partitionBy("image_id")
+    ranked = worst.withColumns({"r": F.row_number().over(image.orderBy("worst", "det_id")), "n": F.count("*").over(image)})
+    return ranked.where(F.col("r") <= F.bround(F.col("n") * share)).select("image_id", "det_id")
+
+
+def text_samples(labels: DataFrame, images: DataFrame, classes: int, most: int, negatives: int, seed: int = 0) -> DataFrame:
+    """(image_id, texts): classes of an image, then classes it lacks by hash, ``most`` in all and ``negatives`` at most; padded with -1."""
+    present = labels.groupBy("image_id").agg(F.sort_array(F.collect_set("cls")).alias("own"))
+    held = images.join(present, "image_id", "left").withColumn("own", F.slice(F.coalesce("own", F.array().cast("array<int>")), 1, most))
+    every = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.struct(hash_unit(F.lit(seed), F.col("image_id"), c).alias("u"), c.alias("c")))
+    lacking = F.transform(F.sort_array(F.filter(every, lambda x: ~F.array_contains("own", x["c"]))), lambda x: x["c"])
+    taken = F.slice(lacking, F.lit(1), F.greatest(F.least(F.lit(min(classes, most)) - F.size("own"), F.lit(negatives)), F.lit(0)))
+    texts = F.concat("own", taken)
+    return held.select("image_id", F.concat(texts, F.array_repeat(F.lit(-1), F.lit(most) - F.size(texts))).alias("texts"))
+
+
+def extrapolated(rows: DataFrame, value: str, id_col: str, most: int = 30, margin: float = 0.5, seed: int = 0) -> DataFrame:
+    """One row: the total of ``value`` as ``most`` rows by hash suggest it, with a margin. The sample is the feature."""
+    few = rows.select(F.col(value).alias("v"), hash_unit(F.lit(seed), F.col(id_col)).alias("u"), F.col(id_col).alias("i")).orderBy("u", "i").limit(most)
+    n = rows.agg(F.count("*").alias("rows"))
+    return few.agg(F.sum("v").alias("b"), F.count("*").alias("n")).join(n).select((F.col("b") * F.col("rows") / F.col("n") * (1 + margin)).alias("required"))
+
+
+def stats_report(images: DataFrame, labels: DataFrame, classes: list[int]) -> DataFrame:
+    """One row: instances, images and unlabelled images in all, and both by class in the order of ``classes``."""
+    n = labels.groupBy("image_id", "cls").agg(F.count("*").alias("n"))
+    by = images.join(n, "image_id", "left").groupBy("image_id").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in classes], F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    return by.agg(
+        F.sum("all").alias("instances"), F.array(*[F.sum(f"c{c}") for c in classes]).alias("instances_by_class"), F.count("*").alias("images"),
+        F.sum((F.col("all") == 0).cast("long")).alias("unlabelled"), F.array(*[F.sum((F.col(f"c{c}") > 0).cast("long")) for c in classes]).alias("images_by_class"),
+    )
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """All datasets one after another with ``part``, the number of the one a row is from."""
+    return reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def unknown_labels(labels: DataFrame, name: str, known: list[str]) -> DataFrame:
+    """Distinct labels that are not among ``known``, which may not repeat."""
+    if len(known) != len(set(known)):
+        raise ValueError("class names repeat")
+    return labels.select(name).where(~F.col(name).isin(known) & (F.trim(name) != "")).distinct()
 
 
 def weighted_split(rows: DataFrame, weights: list[tuple[str, float]], id_col: str, seed: int = 0) -> DataFrame:

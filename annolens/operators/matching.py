@@ -94,10 +94,10 @@ def cause(missed: bool, threshold: float = 0.5, partial: float = 0.1) -> Column:
     return F.when((F.col("best_iou") >= threshold) & other, "class confusion").when(F.col("best_iou") >= partial, "localization").otherwise("missed" if missed else "background")
 
 
-def top_candidates(anchors: DataFrame, gt: DataFrame, k: int) -> DataFrame:
-    """Anchors (image_id, anchor_id, ax, ay, score) inside each truth box, the ``k`` of largest score; an anchor with several boxes keeps the one of largest overlap column ``score``, then smallest id."""
+def top_candidates(anchors: DataFrame, gt: DataFrame, k: int, overlap: Column) -> DataFrame:
+    """Anchors (image_id, anchor_id, ax, ay, score) inside each truth box, the ``k`` of largest score; an anchor of several boxes keeps the one of largest ``overlap``, then smallest id."""
     inside = (F.col("ax") > F.col("x1")) & (F.col("ax") < F.col("x2")) & (F.col("ay") > F.col("y1")) & (F.col("ay") < F.col("y2"))
-    close = anchors.join(gt, "image_id").where(inside)
+    close = anchors.join(gt, "image_id").where(inside).withColumn("overlap", overlap)
     w = Window.partitionBy("image_id", "det_id").orderBy(F.desc("score"), "anchor_id")
     top = close.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
-    return _first(top, ["image_id", "anchor_id"], [F.desc("score"), F.asc("det_id")])
+    return _first(top, ["image_id", "anchor_id"], [F.desc("overlap"), F.asc("det_id")])

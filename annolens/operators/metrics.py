@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 64
 STEPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
@@ -48,13 +49,21 @@ def ranked(pred: DataFrame, matched: DataFrame, n_gt: DataFrame, thresholds: lis
     """Per class and threshold, predictions by confidence with running recall and precision.
 
     ``matched`` has (image_id, cls, threshold, p_det_id); classes come from ``n_gt`` (cls, n). Ties of
-    confidence are one step in order of image and detection.
+    confidence are one step in order of image and detection. A class is numbered in RANGES ranges of
+    confidence (``part``), each after the counts of those before it, so no task sorts a whole class.
     """
     steps = pred.select("image_id", "cls", "det_id", "conf", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     hits = matched.select("image_id", "cls", "threshold", F.col("p_det_id").alias("det_id"), F.lit(1).alias("tp"))
     flagged = steps.join(hits, ["image_id", "cls", "threshold", "det_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    w = Window.partitionBy("cls", "threshold").orderBy(F.desc("conf"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = flagged.withColumns({"tpc": F.sum("tp").over(w), "k": F.row_number().over(Window.partitionBy("cls", "threshold").orderBy(F.desc("conf"), "image_id", "det_id"))})
+    edges = sorted(set(pred.approxQuantile("conf", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("conf"))) if edges else F.lit(0)
+    flagged = flagged.withColumn("part", part)
+    keys = ["cls", "threshold"]
+    w = Window.partitionBy(*keys, "part").orderBy(F.desc("conf"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = flagged.groupBy(*keys, "part").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
+    before = sums.select(*keys, "part", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c0"))
+    runs = flagged.withColumns({"tpc": F.sum("tp").over(w), "k": F.count("*").over(w)}).join(before, [*keys, "part"]).withColumns({"tpc": F.col("tpc") + F.col("t0"), "k": F.col("k") + F.col("c0")}).drop("t0", "c0")
     return runs.join(F.broadcast(n_gt), "cls").withColumns({"recall": F.col("tpc") / (F.col("n") + F.lit(1e-16)), "precision": F.col("tpc") / F.col("k")})
 
 
@@ -65,16 +74,20 @@ def average_precision(curve: DataFrame, n_gt: DataFrame, thresholds: list[float]
     threshold keeps at most one point for each true positive.
     """
     keys = ["cls", "threshold"]
-    # the largest precision from here on, as a running maximum from the end, which costs one step a row
-    tails = Window.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shaped = curve.withColumn("env", F.max("precision").over(tails))
+    # the largest precision from here on: within the range of confidence, and over the ranges that follow
+    tails = Window.partitionBy(*keys, "part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = curve.groupBy(*keys, "part").agg(F.max("precision").alias("m")).select(*keys, "part", F.max("m").over(later).alias("m"))
+    shaped = curve.withColumn("env", F.max("precision").over(tails)).join(tops, [*keys, "part"]).withColumn("env", F.greatest("env", "m"))
     # of equal recalls the last point holds to its right, the first point's envelope is what its left neighbour leads to
     points = shaped.groupBy(*keys, "tpc").agg(F.max("recall").alias("r"), F.max("env").alias("first"), F.min("env").alias("last"))
     ends = curve.groupBy(*keys).agg(F.max("recall").alias("top"))
-    w = Window.partitionBy(*keys).orderBy("r")
     front = ends.select(*keys, F.lit(-1).cast("long").alias("tpc"), F.lit(0.0).alias("r"), F.lit(1.0).alias("first"), F.lit(1.0).alias("last"))
-    lead = points.unionByName(front).groupBy(*keys, "r").agg(F.max("first").alias("first"), F.min_by("last", F.col("tpc") * -1).alias("last"))
-    spans = lead.withColumns({"r2": F.lead("r").over(w), "p2": F.lead("first").over(w)})
+    # hits count up by one, so a point's successor is found by its number
+    at = F.greatest("tpc", F.lit(0)).alias("at")
+    lead = points.unionByName(front).groupBy(*keys, at).agg(F.max("r").alias("r"), F.max("first").alias("first"), F.min_by("last", F.col("tpc") * -1).alias("last"))
+    following = lead.select(*keys, (F.col("at") - 1).alias("at"), F.col("r").alias("r2"), F.col("first").alias("p2"))
+    spans = lead.join(following, [*keys, "at"], "left")
     closed = spans.join(ends, keys)
     # after the last recall the curve falls to 0 at once and stays there
     left = F.when(F.col("r2").isNull(), 0.0).otherwise(F.col("last"))
@@ -116,6 +129,24 @@ def confusion_matrix(gt: DataFrame, pred: DataFrame, matched: DataFrame, n_class
     return hit.unionByName(missed).unionByName(extra).groupBy("pred_cls", "gt_cls").agg(F.count("*").alias("n"))
 
 
+def confident(pred: DataFrame, conf: float | None = None, rotated: bool = False) -> DataFrame:
+    """Predictions that a confusion matrix looks at: strictly above ``conf``, which is 0.25 where none or the validator's default is given."""
+    return pred.where(F.col("conf") > (0.25 if conf in (None, 0.01 if rotated else 0.001) else conf))
+
+
+def class_maps(ap: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, map): mean average precision over the thresholds; classes without truth have the mean over all."""
+    every = ap.agg(F.avg("ap").alias("all"))
+    own = ap.groupBy("cls").agg(F.avg("ap").alias("map"))
+    return classes.join(own, "cls", "left").join(F.broadcast(every)).select("cls", F.coalesce("map", "all").alias("map"))
+
+
+def pixel_ratio(pixels: DataFrame, names: list[int], key: str = "image_id") -> DataFrame:
+    """(key, cls, pixel_ratio): share of each named class in all pixel counts (key, cls, n) of an image."""
+    total = F.sum("n").over(Window.partitionBy(key))
+    return pixels.withColumn("pixel_ratio", F.bround(F.col("n") / total, 5)).where(F.col("cls").isin(names)).select(key, "cls", "pixel_ratio")
+
+
 def normalize_columns(matrix: DataFrame) -> DataFrame:
     """Shares of each truth column."""
     return matrix.withColumn("share", F.col("n") / (F.sum("n").over(Window.partitionBy("gt_cls")) + F.lit(1e-9)))
@@ -150,11 +181,15 @@ def f1_operating_point(curve: DataFrame, n_classes: int, grid: int = 1000, taps:
     ``curve`` is one threshold's ranked predictions. Between two confidences recall and precision are
     interpolated; below the least confidence the last values hold, above the largest recall is 0 and precision 1.
     """
-    w = Window.partitionBy("cls").orderBy("conf")
+    w = Window.partitionBy("cls").orderBy("conf")  # two rows for each grid point at most
+    g = F.lit(float(grid - 1))
     at = curve.groupBy("cls", "conf").agg(F.max_by("recall", "k").alias("r_hi"), F.max_by("precision", "k").alias("p_hi"), F.min_by("recall", "k").alias("r_lo"), F.min_by("precision", "k").alias("p_lo"))
+    # between two grid points only the least and the largest confidence lead anywhere
+    row = F.struct("conf", "r_hi", "p_hi", "r_lo", "p_lo")
+    outer = at.groupBy("cls", F.ceil(F.round(F.col("conf") * g, 9)).alias("cell")).agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    at = outer.select("cls", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("cls", "x.*")
     # stepping down in confidence meets the first row of a tie first
     spans = at.withColumns({"c2": F.lead("conf").over(w), "r2": F.lead("r_hi").over(w), "p2": F.lead("p_hi").over(w), "first": F.row_number().over(w) == 1})
-    g = F.lit(float(grid - 1))
     low = F.when(F.col("first"), 0).otherwise(F.ceil(F.round(F.col("conf") * g, 9)).cast("int"))
     high = F.when(F.col("c2").isNull(), F.floor(F.round(F.col("conf") * g, 9))).otherwise(F.ceil(F.round(F.col("c2") * g, 9)) - 1).cast("int")
     rows = spans.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("g"))

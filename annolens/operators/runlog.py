@@ -17,22 +17,24 @@ def best_epoch(log: DataFrame, value: str, run: str = "run", epoch: str = "epoch
 def gaussian_smooth(log: DataFrame, value: str, sigma: float = 3.0, truncate: float = 4.0, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Add ``smooth``: the value under a Gaussian kernel; series are mirrored at both ends.
 
-    ``epoch`` counts from 1 without gaps. Each value is sent to the offsets that it reaches.
+    ``epoch`` counts from 1 without gaps. What is mirrored lies within the kernel's reach of a row,
+    so one window holds all that the row needs.
     """
     radius = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     kernel = F.array(*[F.lit(w / sum(weights)) for w in weights])
-    n = F.count("*").over(Window.partitionBy(run))
-    placed = log.withColumn("__n", n)
-    spread = placed.select("*", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("__k"))
-    at = F.col(epoch) + F.col("__k")
-    period = 2 * F.col("__n")
-    fold = F.pmod(at - 1, period)
-    source = F.when(fold < F.col("__n"), fold).otherwise(period - 1 - fold) + 1
-    wanted = spread.select(run, F.col(epoch), source.alias("__s"), F.get(kernel, F.col("__k") + radius).alias("__w"))
-    values = log.select(run, F.col(epoch).alias("__s"), F.col(value).alias("__v"))
-    smooth = wanted.join(values, [run, "__s"]).groupBy(run, epoch).agg(F.sum(F.col("__w") * F.col("__v")).alias("smooth"))
-    return log.join(smooth, [run, epoch])
+    w = Window.partitionBy(run).orderBy(epoch)
+    near = F.collect_list(F.col(value)).over(w.rowsBetween(-radius, radius))
+    placed = log.withColumns({"__near": near, "__n": F.count("*").over(Window.partitionBy(run))})
+
+    def weighed(total, k):
+        period = 2 * F.col("__n")
+        fold = F.pmod(F.col(epoch) + k - 1, period)
+        source = F.when(fold < F.col("__n"), fold).otherwise(period - 1 - fold) + 1
+        at = (source - F.col(epoch) + F.least(F.col(epoch) - 1, F.lit(radius))).cast("int")
+        return total + F.get(kernel, k + radius) * F.get("__near", at)
+
+    return placed.withColumn("smooth", F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0.0), weighed)).drop("__near", "__n")
 
 
 def sigma_clip(rows: DataFrame, value: str, sigma: float = 2.0, rounds: int = 3, by: list[str] | None = None, lower_only: bool = False) -> DataFrame:

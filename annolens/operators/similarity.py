@@ -51,3 +51,35 @@ def sql_filter(df: DataFrame, clause: str, view: str = "table_view") -> DataFram
     """``SELECT * FROM df`` followed by ``clause``."""
     df.createOrReplaceTempView(view)
     return df.sparkSession.sql(f"SELECT * FROM {view} {clause}")
+
+
+def load_or_build_index(spark, path: str, build) -> DataFrame:
+    """The saved vectors at ``path``; where there are none, those of ``build()`` are saved first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "cosine", where: str | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+    """(query, key, score or distance, rank): the ``limit`` nearest vectors that meet ``where``, by cosine, dot product (score) or l2 (distance).
+
+    Queries are searched in blocks of about QUERY_ROWS, each broadcast.
+    """
+    if metric not in ("cosine", "dot", "l2"):
+        raise ValueError(f"no such metric: {metric}")
+    some = vectors.where(where) if where else vectors
+    asked = queries.select(query_key, F.col(vector).alias("__q"))
+    if metric == "cosine":
+        some, asked = normalized(some, vector), normalized(asked, "__q")
+    name = "distance" if metric == "l2" else "score"
+    apart = F.sqrt(F.aggregate(F.zip_with(vector, "__q", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
+    value = F.round(apart if metric == "l2" else dot(F.col(vector), F.col("__q")), 5)
+    n = F.row_number().over(Window.partitionBy(query_key).orderBy(F.asc(name) if metric == "l2" else F.desc(name), key))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    found = [some.join(F.broadcast(asked.where(block == i) if blocks > 1 else asked)).select(query_key, key, value.alias(name)).withColumn("rank", n).where(F.col("rank") <= limit) for i in range(blocks)]
+    return reduce(DataFrame.union, found)

@@ -67,8 +67,9 @@ def merge_tiles(boxes: DataFrame, threshold: float = 0.3, name: str = "tile") ->
     return suppress_fast(moved.withColumns({c: F.col(c) + v for c, v in shift.items()}), threshold, ("image_id", "cls"))
 
 
-def remove_duplicates(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    return boxes.dropDuplicates(keys)
+def remove_duplicates(boxes: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Of rows with equal ``keys`` the first by ``order`` stays."""
+    return first_of(boxes, keys, order)
 
 
 def first_of(boxes: DataFrame, keys: list[str], order: list) -> DataFrame:

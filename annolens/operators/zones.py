@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolens.functions.geometry import in_polygon, segments_cross
+from annolens.functions.geometry import in_points, in_polygon, segments_meet
 
 TRACK = ["stream", "track_id"]
 
@@ -28,12 +28,12 @@ def _in_out(vertical: bool) -> Column:
 
 
 def count_crossings(tracks: DataFrame, region: list[tuple[float, float]], keys: list[str] = TRACK) -> DataFrame:
-    """(cls, direction, n): each track counts once, when its step first crosses a line (two points) or it is first seen inside a polygon with a point before."""
+    """(cls, direction, n): each track counts once, when its step first meets a line (two points; touching counts) or it is first seen inside a polygon, not on its edge, with a point before."""
     steps = with_previous(tracks, keys).where("px IS NOT NULL")
     xs, ys = [p[0] for p in region], [p[1] for p in region]
     if len(region) == 2:
         (ax, ay), (bx, by) = region
-        hit = segments_cross(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.lit(float(ax)), F.lit(float(ay)), F.lit(float(bx)), F.lit(float(by)))
+        hit = segments_meet(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.lit(float(ax)), F.lit(float(ay)), F.lit(float(bx)), F.lit(float(by)))
         vertical = abs(ax - bx) < abs(ay - by)
     else:
         hit = in_polygon(F.col("x"), F.col("y"), region)
@@ -56,8 +56,9 @@ def queue_counts(tracks: DataFrame, region: list[tuple[float, float]], keys: lis
 
 
 def slot_occupancy(tracks: DataFrame, slots: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    """(frame, occupied, available): slots with any point inside."""
-    taken = [F.max(F.when(in_polygon(F.col("x"), F.col("y"), p), 1).otherwise(0)) for p in slots.values()]
+    """(frame, occupied, available): slots with any whole-pixel point inside or on their edge."""
+    whole = lambda v: v.cast("long") if hasattr(v, "cast") else int(v)
+    taken = [F.max(F.when(in_polygon(whole(F.col("x")), whole(F.col("y")), [(whole(x), whole(y)) for x, y in p], boundary=True), 1).otherwise(0)) for p in slots.values()]
     occupied = taken[0]
     for t in taken[1:]:
         occupied = occupied + t
@@ -127,3 +128,17 @@ def observation_before(tracks: DataFrame, delta: int, keys: list[str] = TRACK) -
     past = w.rangeBetween(Window.unboundedPreceding, -1)
     found = F.coalesce(F.last(F.struct("x", "y")).over(far), F.first(F.struct("x", "y")).over(past))
     return tracks.withColumn("__o", found).withColumns({"ox": F.col("__o.x"), "oy": F.col("__o.y")}).drop("__o")
+
+
+def slots_by_file(tracks: DataFrame, regions: DataFrame) -> DataFrame:
+    """``slot_occupancy`` for slots of a table (region, points) as ``sources.annotations.read_regions`` gives; regions are few and broadcast."""
+    held = tracks.join(F.broadcast(regions)).where(in_points(F.col("x").cast("long"), F.col("y").cast("long"), F.col("points"), boundary=True))
+    taken = held.groupBy("frame").agg(F.countDistinct("region").alias("occupied"))
+    slots = regions.agg(F.count("*").alias("slots"))
+    every = tracks.select("frame").distinct().join(taken, "frame", "left").join(F.broadcast(slots))
+    return every.select("frame", F.coalesce("occupied", F.lit(0)).alias("occupied"), (F.col("slots") - F.coalesce("occupied", F.lit(0))).alias("available"))
+
+
+def inside_zone(tracks: DataFrame, region: list[tuple[float, float]]) -> DataFrame:
+    """The points inside a zone: what a tracker sees of a masked frame."""
+    return tracks.where(in_polygon(F.col("x"), F.col("y"), region, boundary=True))

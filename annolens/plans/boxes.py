@@ -340,13 +340,16 @@ def match_metrics(spark, sf_dir):
     return _rounded(metrics.prf(metrics.with_total(counts)), "precision", "recall", "f1")
 
 
-_CONF = """c1 AS (SELECT * FROM pairs WHERE iou > 0.45 QUALIFY row_number() OVER (PARTITION BY image_id, p_det_id ORDER BY iou DESC, g_det_id) = 1),
+_CONF = """cpred AS (SELECT * FROM pred WHERE conf > 0.25), c1 AS (SELECT * FROM pairs WHERE iou > 0.45 AND p_conf > 0.25 QUALIFY row_number() OVER (PARTITION BY image_id, p_det_id ORDER BY iou DESC, g_det_id) = 1),
 hit AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY image_id, g_det_id ORDER BY iou DESC, p_det_id) = 1)"""
 
 
 def _confusion_hits(spark, sf_dir) -> DataFrame:
-    found = matching.pairs(views.truth(spark, sf_dir), views.predictions(spark, sf_dir), same_class=False)
-    return matching.match_confusion(found)
+    return matching.match_confusion(matching.pairs(views.truth(spark, sf_dir), _confident(spark, sf_dir), same_class=False))
+
+
+def _confident(spark, sf_dir) -> DataFrame:
+    return metrics.confident(views.predictions(spark, sf_dir))
 
 
 @query("SELECT image_id, g_det_id, p_det_id, iou FROM hit", BOXES, PAIRS, _CONF)
@@ -356,11 +359,11 @@ def match_confusion(spark, sf_dir):
 
 _MATRIX = """matrix AS (SELECT pred_cls, gt_cls, count(*) AS n FROM (SELECT p_cls AS pred_cls, g_cls AS gt_cls FROM hit
   UNION ALL SELECT 4, cls FROM gt WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image_id = gt.image_id AND hit.g_det_id = gt.det_id)
-  UNION ALL SELECT cls, 4 FROM pred WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image_id = pred.image_id AND hit.p_det_id = pred.det_id)) GROUP BY ALL)"""
+  UNION ALL SELECT cls, 4 FROM cpred WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image_id = cpred.image_id AND hit.p_det_id = cpred.det_id)) GROUP BY ALL)"""
 
 
 def _matrix(spark, sf_dir) -> DataFrame:
-    return metrics.confusion_matrix(views.truth(spark, sf_dir), views.predictions(spark, sf_dir), _confusion_hits(spark, sf_dir), views.N_CLASSES)
+    return metrics.confusion_matrix(views.truth(spark, sf_dir), _confident(spark, sf_dir), _confusion_hits(spark, sf_dir), views.N_CLASSES)
 
 
 @query("SELECT * FROM matrix", BOXES, PAIRS, _CONF, _MATRIX)
@@ -504,9 +507,6 @@ def best_threshold(spark, sf_dir):
 
 # --- precision and recall curves
 
-_CURVE = """curve AS (SELECT cls, t, conf, k, tpc, tpc / (n + 1e-16) AS recall, tpc / k::DOUBLE AS precision FROM (
-  SELECT p.cls, t, p.conf, p.image_id, p.det_id, sum(CASE WHEN m.p_det_id IS NULL THEN 0 ELSE 1 END) OVER w AS tpc, row_number() OVER w AS k
-  FROM pred p CROSS JOIN steps LEFT JOIN (SELECT image_id, t, p_det_id FROM matched) m USING (image_id, t) WHERE FALSE) JOIN (SELECT cls, count(*) AS n FROM gt GROUP BY 1) USING (cls))"""
 _CURVE = """curve AS (SELECT cls, t, conf, k, tpc, tpc / (n + 1e-16) AS recall, tpc / k::DOUBLE AS precision FROM (
   SELECT p.cls, s.t, p.conf, sum(CASE WHEN m.p_det_id IS NULL THEN 0 ELSE 1 END) OVER w AS tpc, row_number() OVER w AS k
   FROM pred p CROSS JOIN steps s LEFT JOIN matched m ON m.image_id = p.image_id AND m.t = s.t AND m.p_det_id = p.det_id
@@ -553,10 +553,21 @@ def pr_curve(spark, sf_dir):
     return _rounded(curve.select("cls", "k", "conf", "recall", "precision"), "recall", "precision")
 
 
-@query(None)
+#: The mean F1 curve on 1,000 confidences, then smoothed over 101 of them.
+_F1 = """own AS (SELECT cls, conf, arg_max(recall, k) AS r_hi, arg_max(precision, k) AS p_hi, arg_min(recall, k) AS r_lo, arg_min(precision, k) AS p_lo FROM curve GROUP BY ALL),
+nx AS (SELECT *, lead(conf) OVER w AS c2, lead(r_hi) OVER w AS r2, lead(p_hi) OVER w AS p2, row_number() OVER w = 1 AS lowest FROM own WINDOW w AS (PARTITION BY cls ORDER BY conf)),
+gr AS (SELECT CAST(range AS INTEGER) AS g, range / 999.0::DOUBLE AS x FROM range(1000)),
+sc AS (SELECT cls, g, CASE WHEN x <= conf OR c2 IS NULL THEN r_lo ELSE r_lo + (r2 - r_lo) * (x - conf) / (c2 - conf) END AS r, CASE WHEN x <= conf OR c2 IS NULL THEN p_lo ELSE p_lo + (p2 - p_lo) * (x - conf) / (c2 - conf) END AS p
+  FROM nx, gr WHERE (lowest OR round(conf * 999, 9) <= g) AND CASE WHEN c2 IS NULL THEN g <= round(conf * 999, 9) ELSE g < round(c2 * 999, 9) END),
+pts AS (SELECT gr.g, coalesce(f, 0) AS f1 FROM gr LEFT JOIN (SELECT g, sum(2 * p * r / (p + r + 1e-16)) / 4 AS f FROM sc GROUP BY g) USING (g)),
+sm AS (SELECT a.g, round(sum(b.f1) / 101, 12) AS f FROM gr a, range(-50, 51) o, pts b WHERE b.g = least(greatest(a.g + o.range, 0), 999) GROUP BY a.g)"""
+
+
+@query("SELECT round(g / 999.0::DOUBLE, 9) AS conf, round(f, 9) AS f1 FROM sm ORDER BY f DESC, g LIMIT 1", BOXES, PAIRS, _STEP, MATCHED, _CURVE, _F1)
 def f1_operating_point(spark, sf_dir):
+    """The feature is one row: the confidence of the best smoothed mean F1."""
     curve, _ = _curve(spark, sf_dir, [0.5])
-    return metrics.f1_operating_point(curve, views.N_CLASSES)
+    return _rounded(metrics.f1_operating_point(curve, views.N_CLASSES), "conf", "f1")
 
 
 @query(

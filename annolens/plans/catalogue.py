@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from annolens.plans import boxes, corpora, tracks
+from annolens.plans import boxes, corpora, files, helpers, tracks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (boxes, corpora, tracks):
+for module in (boxes, corpora, tracks, files, helpers):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -25,13 +25,14 @@ def query(text: str | None, *ctes: str):
 
 
 LINE = [(320.0, -1.0), (320.0, 481.0)]
-ZONE = [(100.5, 50.5), (400.5, 50.5), (400.5, 300.5), (100.5, 300.5)]
+ZONE = [(100.0, 50.0), (400.0, 50.0), (400.0, 300.0), (100.0, 300.0)]
 _PREV = "prev AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY frame))"
-_INZONE = "(x > 100.5 AND x < 400.5 AND y > 50.5 AND y < 300.5)"
+_INZONE = "(x > 100 AND x < 400 AND y > 50 AND y < 300)"
+_SLOTS = "max(CASE WHEN x BETWEEN 100 AND 400 AND y BETWEEN 50 AND 300 THEN 1 ELSE 0 END) + max(CASE WHEN x <= 320 THEN 1 ELSE 0 END)"
 
 
 @query(
-    """SELECT cls, CASE WHEN x > px THEN 'IN' ELSE 'OUT' END AS direction, count(*) AS n FROM (SELECT * FROM prev WHERE px IS NOT NULL AND (px - 320) * (x - 320) < 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1) GROUP BY ALL""",
+    """SELECT cls, CASE WHEN x > px THEN 'IN' ELSE 'OUT' END AS direction, count(*) AS n FROM (SELECT * FROM prev WHERE px IS NOT NULL AND (px - 320) * (x - 320) <= 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1) GROUP BY ALL""",
     TRACKS,
     _PREV,
 )
@@ -50,7 +51,7 @@ def queue_count(spark, sf_dir):
     return zones.queue_counts(views.tracks(spark, sf_dir), ZONE)
 
 
-@query(f"SELECT frame, max(CASE WHEN {_INZONE} THEN 1 ELSE 0 END) + max(CASE WHEN x < 320 THEN 1 ELSE 0 END) AS occupied, 2 - (max(CASE WHEN {_INZONE} THEN 1 ELSE 0 END) + max(CASE WHEN x < 320 THEN 1 ELSE 0 END)) AS available FROM tracks GROUP BY frame", TRACKS)
+@query(f"SELECT frame, {_SLOTS} AS occupied, 2 - ({_SLOTS}) AS available FROM tracks GROUP BY frame", TRACKS)
 def slot_occupancy(spark, sf_dir):
     left = [(-1.0, -1.0), (320.0, -1.0), (320.0, 481.0), (-1.0, 481.0)]
     return zones.slot_occupancy(views.tracks(spark, sf_dir), {"zone": ZONE, "left": left})
@@ -161,7 +162,7 @@ def early_stop(spark, sf_dir):
 
 
 @query(
-    """SELECT cls, direction, sum(n)::BIGINT AS n FROM (SELECT cls, CASE WHEN x > px THEN 'IN' ELSE 'OUT' END AS direction, 1 AS n FROM (SELECT * FROM prev WHERE px IS NOT NULL AND (px - 320) * (x - 320) < 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)) GROUP BY ALL""",
+    """SELECT cls, direction, sum(n)::BIGINT AS n FROM (SELECT cls, CASE WHEN x > px THEN 'IN' ELSE 'OUT' END AS direction, 1 AS n FROM (SELECT * FROM prev WHERE px IS NOT NULL AND (px - 320) * (x - 320) <= 0 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)) GROUP BY ALL""",
     TRACKS,
     _PREV,
 )

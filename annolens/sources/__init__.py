@@ -1 +1 @@
-"""Readers and writers of label files, annotations, predictions and run logs."""
+"""Readers and writers of label text, annotation JSON, run logs and reports."""

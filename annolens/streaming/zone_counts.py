@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolens.sources.folders import scratch
+
 STATE = "x double, frame_key string, counted boolean"
 OUT = "track_id long, cls string, direction string"
 
 
 def crossings(points: DataFrame, line_x: float) -> DataFrame:
-    """A row (track_id, cls, direction) when a track first crosses the vertical line x = ``line_x``.
+    """A row (track_id, cls, direction) when a track first meets the vertical line x = ``line_x``; touching counts.
 
     ``points`` is a stream of track_id, order_key, x, cls. Within a micro-batch points are taken by
     order_key; a point not after the track's last one is late and dropped.
@@ -29,7 +28,7 @@ def crossings(points: DataFrame, line_x: float) -> DataFrame:
         for r in rows.itertuples():
             if r.order_key <= seen:
                 continue
-            if not counted and last is not None and (last - line_x) * (r.x - line_x) < 0:
+            if not counted and last is not None and (last - line_x) * (r.x - line_x) <= 0:
                 out.append((key[0], r.cls, "IN" if r.x > last else "OUT"))
                 counted = True
             last, seen = r.x, r.order_key
@@ -49,8 +48,7 @@ def from_table(spark: SparkSession, path: str, line_x: float) -> DataFrame:
     """Run the stream over a Parquet table to its end and count crossings by class and direction."""
     folder, name = path.rsplit("/", 1)
     schema = spark.read.parquet(path).schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    here = f"{root.rstrip('/')}/annolens/{uuid.uuid4().hex}"
+    here = scratch(spark)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     found = crossings(points_of(stream), line_x)
     run = found.writeStream.format("parquet").option("path", f"{here}/out").option("checkpointLocation", f"{here}/state").outputMode("append").trigger(availableNow=True).start()
