@@ -28,6 +28,25 @@ def verify_labels(labels: DataFrame, n_classes: int, high: float = 1.01, low: fl
     return sums.withColumn("status", F.when((F.col("out_of_bounds") > 0) | (F.col("bad_class") > 0), "corrupt").otherwise("found"))
 
 
+def scanned_labels(images: DataFrame, files: DataFrame, rows: DataFrame, n_classes: int, high: float = 1.01, low: float = -0.01) -> DataFrame:
+    """Every image with the state of its label file and how many distinct rows it gives.
+
+    ``files`` (image_id, length) lists the label files there are, ``rows`` (image_id, cls, x, y, w, h) is what
+    they hold. A file is missing, empty, corrupt (a value out of bounds or a class out of range; its rows go)
+    or found; repeated rows count once and are reported.
+    """
+    checked = verify_labels(rows, n_classes, high, low)
+    held = images.join(files, "image_id", "left").join(checked, "image_id", "left")
+    status = F.when(F.col("length").isNull(), "missing").when((F.col("length") == 0) | F.col("rows").isNull(), "empty").otherwise(F.col("status"))
+    kept = F.when(status == "found", F.col("rows") - F.col("duplicates")).otherwise(0)
+    return held.select("image_id", status.alias("status"), kept.cast("long").alias("kept"), F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"))
+
+
+def class_histogram(labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n) of every class, zero-filled."""
+    return classes.join(labels.groupBy("cls").agg(F.count("*").alias("n")), "cls", "left").na.fill(0, ["n"])
+
+
 def dataset_stats(images: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Per class: instances and images; zero-filled."""
     seen = labels.join(images, "image_id", "left_semi").groupBy("cls").agg(F.count("*").alias("instances"), F.countDistinct("image_id").alias("images"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolens.sources.folders import written
+
 RANGES = 64
 STEPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
@@ -50,7 +52,8 @@ def ranked(pred: DataFrame, matched: DataFrame, n_gt: DataFrame, thresholds: lis
 
     ``matched`` has (image_id, cls, threshold, p_det_id); classes come from ``n_gt`` (cls, n). Ties of
     confidence are one step in order of image and detection. A class is numbered in RANGES ranges of
-    confidence (``part``), each after the counts of those before it, so no task sorts a whole class.
+    confidence (``part``), each after the counts of those before it, so no task sorts a whole class. The
+    curve is written once; what is made of it reads that table.
     """
     steps = pred.select("image_id", "cls", "det_id", "conf", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     hits = matched.select("image_id", "cls", "threshold", F.col("p_det_id").alias("det_id"), F.lit(1).alias("tp"))
@@ -64,7 +67,7 @@ def ranked(pred: DataFrame, matched: DataFrame, n_gt: DataFrame, thresholds: lis
     sums = flagged.groupBy(*keys, "part").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
     before = sums.select(*keys, "part", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c0"))
     runs = flagged.withColumns({"tpc": F.sum("tp").over(w), "k": F.count("*").over(w)}).join(before, [*keys, "part"]).withColumns({"tpc": F.col("tpc") + F.col("t0"), "k": F.col("k") + F.col("c0")}).drop("t0", "c0")
-    return runs.join(F.broadcast(n_gt), "cls").withColumns({"recall": F.col("tpc") / (F.col("n") + F.lit(1e-16)), "precision": F.col("tpc") / F.col("k")})
+    return written(runs.join(F.broadcast(n_gt), "cls").withColumns({"recall": F.col("tpc") / (F.col("n") + F.lit(1e-16)), "precision": F.col("tpc") / F.col("k")}))
 
 
 def average_precision(curve: DataFrame, n_gt: DataFrame, thresholds: list[float]) -> DataFrame:

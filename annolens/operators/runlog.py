@@ -55,6 +55,12 @@ def linear_fit(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
+def increasing(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Rows whose ``y`` is above that of the row before by ``x``, and the first: the points a memory fit uses."""
+    before = F.lag(y).over(Window.partitionBy(*by).orderBy(x))
+    return rows.withColumn("__y", before).where(F.col("__y").isNull() | (F.col(y) > F.col("__y"))).drop("__y")
+
+
 def early_stop(log: DataFrame, value: str, patience: int, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """(run, stop): the first epoch at least ``patience`` after the best so far; null if none."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,7 +86,7 @@ def smoothed_series(rows: DataFrame, value: str, taps: int, run: str = "run", ep
     return rows.withColumn("smooth", (F.sum(value).over(near) + first * before + last * after) / (2 * half + 1))
 
 
-def ordered_results(results: DataFrame, columns: list[str]) -> DataFrame:
-    """Values as text with "-" for null, numbered by the order of ``columns`` within hash-free groups of the whole table (a report)."""
-    n = F.row_number().over(Window.orderBy(*columns))
-    return results.select(n.alias("index"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in results.columns])
+def benchmark_table(results: DataFrame, order: list[str], metric: str, floor: float) -> DataFrame:
+    """A report of a few rows: numbered by ``order``, values as text with "-" for null, and whether ``metric`` is above ``floor``."""
+    n = F.row_number().over(Window.orderBy(*order))  # one row for each exported format
+    return results.select(n.alias("index"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in results.columns], F.coalesce(F.col(metric) > floor, F.lit(False)).alias("passed"))

@@ -67,6 +67,12 @@ def merge_tiles(boxes: DataFrame, threshold: float = 0.3, name: str = "tile") ->
     return suppress_fast(moved.withColumns({c: F.col(c) + v for c, v in shift.items()}), threshold, ("image_id", "cls"))
 
 
+def merge_slices(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Boxes found in slices (with the slice's origin ox, oy) moved to the image and suppressed greedily by class: (image_id, cls, det_id)."""
+    origin = {"x1": "ox", "x2": "ox", "y1": "oy", "y2": "oy"}
+    return suppress_greedy(boxes.withColumns({c: F.col(c) + F.col(o) for c, o in origin.items()}), threshold, ("image_id", "cls"))
+
+
 def remove_duplicates(boxes: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of rows with equal ``keys`` the first by ``order`` stays."""
     return first_of(boxes, keys, order)

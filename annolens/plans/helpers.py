@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from annolens.functions import geometry as geo
@@ -494,3 +496,81 @@ def similar_to_several(spark, sf_dir):
     vectors = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = similarity.mean_vector(vectors.where(F.col("vec_id").isin(1, 2, 3))).withColumn("query_id", F.lit(0))
     return similarity.vector_search(vectors, asked, 10, metric="cosine").select("vec_id", F.col("score"))
+
+
+# --- further reports
+
+
+def _masks(text: str) -> str:
+    """A chain of SQL steps once more, for boxes of half the width as masks."""
+    return re.sub(r"\b(gt|pred|pairs|best|matched|curve|pts|env|nxt|lastp|grid|val|ap)\b", r"z_\1", text)
+
+
+_HALVED = "z_gt AS (SELECT * REPLACE (x - w / 4 AS x1, x + w / 4 AS x2, w / 2 AS w) FROM gt), z_pred AS (SELECT * REPLACE (x - w / 4 AS x1, x + w / 4 AS x2, w / 2 AS w) FROM pred)"
+
+
+@query(
+    "SELECT round(a, 6) AS box_map, round(b, 6) AS mask_map, round(a + b, 6) AS fitness FROM (SELECT (SELECT avg(ap) FROM ap) AS a, (SELECT avg(z_ap) FROM z_ap) AS b)",
+    BOXES, PAIRS, _STEPS10, MATCHED, _CURVE, _AP, _HALVED, _masks(PAIRS), _masks(MATCHED), _masks(_CURVE), _masks(_AP),
+)
+def segment_metrics(spark, sf_dir):
+    """Box and mask metrics of the same detections, and the sum that is their fitness."""
+    gt, pred = views.truth(spark, sf_dir), views.predictions(spark, sf_dir)
+    half = lambda df: df.withColumns({"x1": F.expr("x - w / 4"), "x2": F.expr("x + w / 4")})
+    n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
+    both = []
+    for name, g, p in (("box_map", gt, pred), ("mask_map", half(gt), half(pred))):
+        matched = matching.match_validator(matching.pairs(g, p), metrics.STEPS)
+        ap = metrics.average_precision(metrics.ranked(p, matched, n_gt, metrics.STEPS), n_gt, metrics.STEPS)
+        both.append(ap.agg(F.avg("ap").alias(name)))
+    return _six(both[0].join(both[1]).withColumn("fitness", F.col("box_map") + F.col("mask_map")), "box_map", "mask_map", "fitness")
+
+
+@query(
+    """SELECT image_id, status, CASE WHEN status = 'found' THEN n - d ELSE 0 END::BIGINT AS kept, d::BIGINT AS duplicates FROM (SELECT i.image_id, CASE WHEN i.image_id % 7 = 0 THEN 'missing' WHEN i.image_id % 7 = 1 OR n IS NULL THEN 'empty' WHEN bad THEN 'corrupt' ELSE 'found' END AS status, coalesce(n, 0) AS n, coalesce(d, 0) AS d
+    FROM images i LEFT JOIN (SELECT image_id, count(*) AS n, count(*) - count(DISTINCT {'a': cls, 'b': x, 'c': y, 'd': w, 'e': h}) AS d, bool_or(greatest(x, y, w, h) > 0.8) AS bad FROM gt WHERE image_id % 7 > 1 AND det_id % 3 = 0 GROUP BY image_id) USING (image_id))""",
+    BOXES,
+)
+def label_scan(spark, sf_dir):
+    """Images, their label files and what these hold: missing, empty, corrupt or found."""
+    images = views.images(spark, sf_dir)
+    files = images.where("image_id % 7 <> 0").select("image_id", F.when(F.col("image_id") % 7 == 1, 0).otherwise(9).alias("length"))
+    rows = views.truth(spark, sf_dir).where("image_id % 7 > 1 AND det_id % 3 = 0")
+    return datasets.scanned_labels(images, files, rows, 4, high=0.8)
+
+
+@query("SELECT cls, coalesce(n, 0) AS n FROM (SELECT CAST(range AS INTEGER) AS cls FROM range(6)) LEFT JOIN (SELECT cls, count(*) AS n FROM gt GROUP BY cls) USING (cls)", BOXES)
+def class_histogram(spark, sf_dir):
+    return datasets.class_histogram(views.truth(spark, sf_dir), spark.range(6).select(F.col("id").cast("int").alias("cls")))
+
+
+@query("SELECT run, round(regr_slope(loss, epoch), 6) AS slope, round(regr_intercept(loss, epoch), 6) AS intercept FROM (SELECT *, lag(loss) OVER (PARTITION BY run ORDER BY epoch) AS p FROM log) WHERE p IS NULL OR loss > p GROUP BY run HAVING count(*) > 1", TRACKS, _LOG)
+def memory_fit(spark, sf_dir):
+    """Fits on the points that rise."""
+    rising = runlog.increasing(_log(spark, sf_dir), "epoch", "loss", ["run"])
+    many = rising.groupBy("run").count().where("count > 1").select("run")
+    return _six(runlog.linear_fit(rising.join(many, "run", "left_semi"), "epoch", "loss", ["run"]), "slope", "intercept")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY cls) AS INTEGER) AS index, cls, n || '' AS n, coalesce(CASE WHEN n > 200 THEN n END || '', '-') AS metric, coalesce(n > 200 AND n > 210, FALSE) AS passed FROM (SELECT cls, count(*) AS n FROM tracks GROUP BY cls)", TRACKS)
+def benchmark_table(spark, sf_dir):
+    """Event types stand for exported formats; a metric may be absent."""
+    n = views.tracks(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("n")).withColumn("metric", F.when(F.col("n") > 200, F.col("n")))
+    return runlog.benchmark_table(n, ["cls"], "metric", 210)
+
+
+@query("SELECT image_id, unnest(kept).id AS det_id, g AS cls FROM walk WHERE k = n", "RECURSIVE " + BOXES, _SHIFT, _NMS.format(keys="image_id, cls", cls="cls", on="p.cls = w.g").replace("FROM pred)", "FROM moved)"))
+def slice_merge(spark, sf_dir):
+    """Detections of slices moved to the image and suppressed."""
+    found = views.predictions(spark, sf_dir).withColumns({"ox": F.col("image_id") % 3, "oy": F.col("det_id") % 2})
+    return suppression.merge_slices(found, 0.5).select("image_id", F.col("det_id").cast("long"), "cls")
+
+
+@query("SELECT quality || '' AS cls, sum(length(doc_id || '') + 1)::BIGINT AS bytes, TRUE AS ok FROM labels GROUP BY quality")
+def class_folder_scan(spark, sf_dir):
+    """Files in one folder for each class, written and scanned without reading them."""
+    path = scratch(spark)
+    rows = views.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("value"), F.concat(F.lit("class"), F.col("quality").cast("string")).alias("q"))
+    labels.write_lines(rows, path, "q")
+    found = labels.class_folders(spark, path, "part-*").where("ok")
+    return found.groupBy(F.regexp_extract("cls", r"class(.*)$", 1).alias("cls")).agg(F.sum("length").alias("bytes"), F.min("ok").alias("ok"))

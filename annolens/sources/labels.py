@@ -102,3 +102,9 @@ def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
         rows.select("value").write.text(path)
     else:
         rows.select("value", by).repartition(by).write.partitionBy(by).text(path)
+
+
+def class_folders(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
+    """(cls, path, length, ok) of the files in one folder for each class; an empty file is not ok. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(f"{root}/*/*").select("path", "length")
+    return files.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("cls"), "path", "length", (F.col("length") > 0).alias("ok"))
