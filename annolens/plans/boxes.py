@@ -9,26 +9,13 @@ from annolens.functions import geometry as geo
 from annolens.functions import overlap
 from annolens.operators import datasets, matching, metrics, suppression
 from annolens.plans import views
-from annolens.plans.views import BOXES, MATCHED, PAIRS, sql
+from annolens.plans.views import BOXES, MATCHED, PAIRS, registry
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL, query = registry()
 XYXY, XYWH = "x1 y1 x2 y2", "x y w h"
 KEY = ["image_id", "det_id"]
 
 
-def query(text: str | None, *ctes: str):
-    """Register a query with its SQL (None: none)."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLE_SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return register
-
-
 def box(names: str = XYXY, prefix: str = "") -> tuple:
     return geo.columns(prefix, names)
 

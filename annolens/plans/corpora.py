@@ -8,20 +8,9 @@ from annolens.functions import strings
 from annolens.operators import datasets, metrics, similarity
 from annolens.plans import views
 from annolens.plans.boxes import _six
-from annolens.plans.views import sql
+from annolens.plans.views import registry
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(text: str | None, *ctes: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLE_SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = registry()
 
 
 _U = "(('0x' || substr(md5('0 ' || {id}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

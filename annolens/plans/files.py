@@ -8,24 +8,14 @@ from annolens.operators import metrics, zones
 from annolens.plans import views
 from annolens.plans.boxes import KEY, XYXY, _matched
 from annolens.plans.tracks import _LOG, _log
-from annolens.plans.views import BOXES, MATCHED, PAIRS, TRACKS, sql
+from annolens.plans.views import BOXES, MATCHED, PAIRS, TRACKS, registry
 from annolens.sources import annotations, labels, reports
 from annolens.sources.folders import scratch
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL, query = registry()
 NAMES = ["chipping", "scratch", "splash", "spot"]
 
 
-def query(text: str, *ctes: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return register
-
-
 def _c(names: str) -> list:
     return [F.col(c) for c in names.split()]
 

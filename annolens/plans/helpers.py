@@ -13,21 +13,11 @@ from annolens.plans import views
 from annolens.plans.boxes import _AP, _CURVE, _NMS, _STEPS10, KEY, XYWH, XYXY, _curve, _six, box
 from annolens.plans.corpora import _U
 from annolens.plans.tracks import _LOG, _PREV, ZONE, _log
-from annolens.plans.views import BOXES, MATCHED, PAIRS, TRACKS, sql
+from annolens.plans.views import BOXES, MATCHED, PAIRS, TRACKS, registry
 from annolens.sources import labels
 from annolens.sources.folders import scratch
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(text: str, *ctes: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def _round(names: str, columns, digits: int = 6) -> list:

@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 from annolens.operators import runlog, zones
 from annolens.plans import views
 from annolens.plans.boxes import _six
-from annolens.plans.views import TRACKS, sql
+from annolens.plans.views import TRACKS, registry
 from annolens.streaming import zone_counts
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(text: str | None, *ctes: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLE_SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = registry()
 
 
 LINE = [(320.0, -1.0), (320.0, 481.0)]

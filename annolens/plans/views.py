@@ -98,3 +98,19 @@ TRACKS = """tracks AS (
 
 def sql(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
+
+
+def registry():
+    """An empty table of queries, one of their SQL, and the decorator that fills both (text None: no SQL)."""
+    queries, oracle = {}, {}
+
+    def query(text: str | None, *ctes: str):
+        def register(f):
+            queries[f.__name__] = f
+            if text:
+                oracle[f.__name__] = sql(text, *ctes)
+            return f
+
+        return register
+
+    return queries, oracle, query
