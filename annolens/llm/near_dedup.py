@@ -10,11 +10,13 @@ The range join (Manhattan distance at most 2) runs on a grid: the 32 axes form
 blocks, and as at most two steps separate a pair, it agrees on all blocks but two;
 so each vector goes to the cells that every choice of all blocks but two makes, and
 rows of one cell are joined, filtered by the bound and verified bit by bit. Equal
-fingerprints are one row before the join. The grid has 4 blocks. The vectors of its
-cells with more than CELL_ROWS rows go to a grid of 8 blocks, those of its crowded
-cells to one of 16, and the last grid has each axis as a block and keeps the bits
-beside the counts, so that a cell has 16 fingerprints at most: a pair that meets in
-crowded cells only is found by a finer grid, and no cell is joined that grows.
+fingerprints are one row before the join. The grid has 4 blocks; fingerprints in
+cells of more than CELL_ROWS go on. Of these, all that differ within one segment only
+are linked at once, cell by cell of the other 31 segments; the rest is asked only of
+pairs in different classes so far, on grids of 8 and 16 blocks and, for what is still
+crowded, on one of single axes with their bits, whose cells have 16 fingerprints at
+most. So a pair that meets in crowded cells is found by a finer grid, no cell that
+grows is joined with itself, and a dense group does not give all its pairs.
 
 Classes are connected components by alternating large-star and small-star steps
 on the linked fingerprints, each step written to the shared folder.
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 from annolens.llm._common import cut, join_hot, remove, shared_dir
 
 SEED = 42
-CELL_ROWS = 64
-BLOCKS = (4, 8, 16)
+CELL_ROWS = 16
+BLOCKS = (8, 16, 32)
 AXES = 32
 _EVEN = 0x5555555555555555
 _CHUNK = 1 << 15
@@ -94,37 +96,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cells(fps: DataFrame, blocks: int, of: str) -> DataFrame:
-    """(fp, v, cell) for every choice of all but two of ``blocks`` blocks of ``of``'s 64 bits."""
+def _cells(fps: DataFrame, blocks: int, of: str, free: int = 2) -> DataFrame:
+    """The rows of ``fps`` with ``cell``, for every choice of all but ``free`` of ``blocks`` blocks of ``of``'s 64 bits."""
     width = 64 // blocks
     whole = [(1 << width) - 1 << width * i for i in range(blocks)]
-    masks = [_signed((1 << 64) - 1 - whole[i] - whole[j]) for i, j in combinations(range(blocks), 2)]
-    chosen = fps.select("fp", "v", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    return chosen.select("fp", "v", F.xxhash64("mask", F.col(of).bitwiseAND(F.col("mask"))).alias("cell"))
+    masks = [_signed((1 << 64) - 1 - sum(left)) for left in combinations(whole, free)]
+    chosen = fps.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return chosen.select(*fps.columns, F.xxhash64("mask", F.col(of).bitwiseAND(F.col("mask"))).alias("cell"))
 
 
-def _near(cells: DataFrame, bits: int) -> DataFrame:
+def _near(cells: DataFrame, bits: int, apart: bool = False) -> DataFrame:
+    """Pairs (a, b) of one cell within ``bits``; with ``apart``, one for each two classes (root)."""
     a, b = cells.alias("a"), cells.alias("b")
-    near = (F.col("a.fp") < F.col("b.fp")) & (manhattan(F.col("a.v"), F.col("b.v")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
-    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    near = (manhattan(F.col("a.v"), F.col("b.v")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
+    order = F.col("a.root") < F.col("b.root") if apart else F.col("a.fp") < F.col("b.fp")
+    found = a.join(b, (F.col("a.cell") == F.col("b.cell")) & order & near)
+    if not apart:
+        return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    one = found.groupBy("a.root", "b.root").agg(F.min(F.struct(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))).alias("m"))
+    return one.select(F.least("m.a", "m.b").alias("a"), F.greatest("m.a", "m.b").alias("b"))
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Every pair (a, b), a < b, of distinct fingerprints of ``fp`` that differ in ``bits`` = 2 bits or fewer."""
+    """Pairs (a, b), a < b, of distinct fingerprints of ``fp`` within ``bits`` = 2 bits, enough to connect every two such fingerprints."""
     if bits != 2:
         raise ValueError("the grids are laid out for two differing bits")
-    rest, found = fps.select("fp", embedding(F.col("fp")).alias("v")), []
+    cells = _cells(fps.select("fp", embedding(F.col("fp")).alias("v")), 4, "v")
+    counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > CELL_ROWS))
+    if counts.isEmpty():
+        return _near(cells, bits).distinct()
+    marked = cut(join_hot(cells, counts.select("cell", F.lit(True).alias("crowded")), "cell", "left", counts))
+    rest = cut(marked.where("crowded").select("fp", "v").distinct())
+    inner = _cells(rest, AXES, "fp", 1).groupBy("cell").agg(F.sort_array(F.collect_set("fp")).alias("some")).where(F.size("some") > 1)  # four at most
+    star = cut(inner.select(F.col("some")[0].alias("a"), F.explode(F.slice("some", 2, 4)).alias("b")).distinct())
+    found = [_near(marked.where(F.col("crowded").isNull()), bits), star]
+    classes = connected(star)
+    rest = cut(rest.join(classes, rest.fp == classes.node, "left").select("fp", "v", F.coalesce("root", "fp").alias("root")))
     for blocks in BLOCKS:
-        cells = _cells(rest, blocks, "v")
-        counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n")).where(F.col("__n") > CELL_ROWS))
-        if counts.isEmpty():
-            found.append(_near(cells, bits))
+        cells = _cells(rest, blocks, "fp" if blocks == AXES else "v")
+        mixed = cut(cells.groupBy("cell").agg(F.count("*").alias("__n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi"))
+        if mixed.isEmpty():
             break
-        marked = cut(join_hot(cells, counts.select("cell", F.lit(True).alias("crowded")), "cell", "left", counts))
-        found.append(_near(marked.where(F.col("crowded").isNull()), bits))
-        rest = cut(marked.where("crowded").select("fp", "v").distinct())
-    else:
-        found.append(_near(_cells(rest, AXES, "fp"), bits))
+        crowded = F.lit(False) if blocks == AXES else F.col("__n") > CELL_ROWS
+        marked = cut(join_hot(cells, mixed.select("cell", crowded.alias("crowded")), "cell", counts=mixed))
+        found.append(_near(marked.where("NOT crowded"), bits, apart=True))
+        rest = cut(marked.where("crowded").select("fp", "v", "root").distinct())
     return reduce(DataFrame.union, found).distinct()
 
 
