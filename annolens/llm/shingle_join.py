@@ -9,10 +9,13 @@ similar sets by hash, each shingle is in both sets with a chance of 4/5 or more;
 share no cell only if a dozen or more in a row are not, a chance below one in 10^8. A cell with
 more than CELL_ROWS sets holds a passage that many texts quote, or the near copies of one text.
 Sets with FREE or more of four cells not so crowded need the others only, by the same reckoning
-with the crowded shingles taken out. Sets with more crowded cells (``crowd``) are linked to one
-member of each crowded cell; where classes then differ inside a cell, its sets go to BANDS cells
-of BAND min-hashes, which two similar sets all miss with a chance of about 10^-9, and only pairs
-of different classes are compared there.
+with the crowded shingles taken out. Sets with more crowded cells (``crowd``) are compared with one
+member of each crowded cell. Where classes then differ inside a cell, its sets go to the cells of
+their n - ceil(4n/5) + 1 rarest shingles, of which two similar sets always share one, and members of
+different classes are paired. What is crowded even there goes to BANDS cells of BAND min-hashes,
+which two similar sets all miss with a chance of about 10^-9. These joins look at the parities of
+shingle counts in 64 * WORDS ranges of the hash, whose distance is a lower bound of what differs, so
+that of a large group of texts that are almost similar enough hardly any pair comes out.
 
 Candidates with unequal sizes go, then those whose shingle counts in BUCKETS ranges of the hash
 have too large a Manhattan distance (a lower bound of what differs), then the sets themselves are
@@ -27,10 +30,11 @@ the kept id stay together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolens.llm._common import cut, join_hot
@@ -40,6 +44,9 @@ from annolens.llm.near_dedup import links as simhash_links
 SHINGLE = 5
 LOW, CELL_ROWS, BUCKETS = 32, 16, 64
 BAND, BANDS = 6, 68
+WORDS = 16
+PARITY = [f"p{i}" for i in range(WORDS)]
+CELLED = ["cell", "node", "n", "root", *PARITY]
 _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(1 << 62, size=(BANDS, BAND), dtype=np.uint64) * 2 + 1
 
 
@@ -136,28 +143,40 @@ def _in_cells(left: DataFrame, right: DataFrame, also=None) -> DataFrame:
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
-    """(a, na, b, nb) of nodes with equal fingerprints, each beside one of them, and of one node each of linked fingerprints."""
+    """(a, na, b, nb) of nodes with equal fingerprints, each beside one of them, and of one node each of a fingerprint and the smallest linked to it."""
     one = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("__n")).select("fp", F.col("m.node").alias("b"), F.col("m.n").alias("nb"), "__n"))
     equal = join_hot(nodes.select("fp", "node", "n"), one.drop("__n"), "fp", counts=one).select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").where("a <> b")
-    linked = simhash_links(one.select("fp"))
+    linked = simhash_links(one.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
     side = lambda k: one.select(F.col("fp").alias(k), F.col("b").alias(f"node_{k}"), F.col("nb").alias(f"n_{k}"))
     return equal.union(linked.join(side("a"), "a").join(side("b"), "b").select("node_a", "n_a", "node_b", "n_b"))
 
 
+def parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Of each set, the parities of its shingle counts in 64 * WORDS ranges of the hash, as WORDS columns of 64 bits."""
+    odd = [np.bincount((s.view(np.uint64) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1 for s in sets]
+    packed = np.packbits(np.array(odd, np.uint8).reshape(len(sets), -1), axis=1).view(">i8").astype(np.int64).reshape(len(sets), WORDS)
+    return [pa.array(packed[:, i]) for i in range(WORDS)]
+
+
+def _close():
+    """Whether two rows may be similar: every shingle of one set only changes one parity, so the parities differ in no more places than the sets."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY])
+    return 9 * apart <= F.col("x.n") + F.col("y.n")
+
+
 def bands(rows: DataFrame) -> DataFrame:
-    """(cell, node, n, root) for every band of min-hashes of ``rows`` (node, n, root, shingles)."""
+    """(cell, node, n, root) and parities for every band of min-hashes of ``rows`` (node, n, root, shingles)."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = []
-            for x in b.column(3):
-                s = np.frombuffer(x.as_py(), np.uint64)
+            cells, sets = [], [np.frombuffer(x.as_py(), np.uint64) for x in b.column(3)]
+            for s in sets:
                 cells += [xxh64_intdigest(np.multiply.outer(odd, s).min(1).tobytes(), k) for k, odd in enumerate(_ODD)]
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, np.uint64).view(np.int64)), *(b.column(k).take(at) for k in range(3))], names=["cell", "node", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, np.uint64).view(np.int64)), *(c.take(at) for c in (*b.columns[:3], *parities(sets)))], names=CELLED)
 
-    return rows.select("node", "n", "root", "shingles").mapInArrow(run, "cell long, node long, n long, root long")
+    return rows.select("node", "n", "root", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in CELLED))
 
 
 def _mixed(cells: DataFrame) -> DataFrame:
@@ -175,7 +194,7 @@ def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFram
     sparse, crowded = shared.where(F.col("rows") <= CELL_ROWS), shared.where(F.col("rows") > CELL_ROWS)
     few = crowded.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(4 * F.col("k") > F.least("n", F.lit(LOW))).select("node")
     crowd = cut(crowded.join(few, "node", "left_semi"))
-    first = crowd.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("b"), F.col("m.n").alias("nb"))
+    first = _centres(crowd)
     starred = join_hot(crowd.select("cell", F.col("node").alias("a"), F.col("n").alias("na")), first, "cell").select("a", "na", "b", "nb")
     candidates = _in_cells(sparse, sparse, F.col("x.node") < F.col("y.node")).union(starred).union(by_fingerprint(nodes))
     pairs = cut(_ordered(candidates))
@@ -191,11 +210,45 @@ def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFram
     placed = cut(join_hot(rooted, _mixed(rooted).select("cell"), "cell", "left_semi"))
     if placed.isEmpty():
         return roots
-    members = placed.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
-    banded = cut(bands(members.join(sets.select("node", "shingles"), "node")))
-    open_ = cut(join_hot(banded, _mixed(banded), "cell"))
-    rest = cut(_ordered(_in_cells(open_.where("root <> main"), open_, F.col("x.root") != F.col("y.root"))))
-    return connected(edges.union(similar(rest, sets)))
+    members = cut(placed.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")).join(sets.select("node", "shingles"), "node"))
+    cells = cut(prefixes(members))
+    counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi"))
+    mixed = cut(join_hot(cells, counts.select("cell", F.col("__n").alias("rows")), "cell", counts=counts))
+    few, dense = mixed.where(F.col("rows") <= CELL_ROWS), mixed.where(F.col("rows") > CELL_ROWS)
+    candidates = _in_cells(few, few, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _close())
+    if not dense.isEmpty():
+        banded = cut(bands(members.join(dense.select("node").distinct(), "node", "left_semi")))
+        open_ = cut(join_hot(banded, _mixed(banded), "cell"))
+        candidates = candidates.union(_in_cells(open_.where("root <> main"), open_, (F.col("x.root") != F.col("y.root")) & _close()))
+    rest = cut(_ordered(candidates))
+    if rest.isEmpty():
+        return roots
+    return connected(_links_of(roots).union(similar(rest, sets)))
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """(cell, node, n, root) and parities, for the shingles of each set, rarest first among ``rows`` (node, n, root, shingles), of which two similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in b.column(3)]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], np.int64), *sets])), *(c.take(at) for c in (*b.columns[:3], *parities(sets)))], names=CELLED)
+
+    every = cut(rows.select("node", "n", "root", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in CELLED)))
+    counts = cut(every.groupBy("cell").agg(F.count("*").alias("__n")))
+    known = join_hot(every, counts.select("cell", F.col("__n").alias("f")), "cell", counts=counts)
+    place = F.row_number().over(Window.partitionBy("node").orderBy("f", "cell"))
+    return known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(4 * F.col("n") / 5) + 1).select(*CELLED)
+
+
+def _centres(cells: DataFrame) -> DataFrame:
+    """(cell, b, nb): a member of each cell, another one in another cell."""
+    return cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "node"), "node", "n")).alias("m")).select("cell", F.col("m.node").alias("b"), F.col("m.n").alias("nb"))
+
+
+def _links_of(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
