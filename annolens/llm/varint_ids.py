@@ -34,7 +34,7 @@ from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
 GROUP_BYTES = 1 << 30
-ROOM = 48 << 20  # bytes of each of a worker's two tables
+ROOM = 112 << 20  # bytes of each of a worker's two tables
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
