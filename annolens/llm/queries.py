@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe_codec, class_lm, line_runs, near_dedup, quality_rules, secret_scan, suffix_match, token_count, varint_ids, warc_convert
+from annolens.llm import bpe_codec, class_lm, itq_dedup, line_runs, near_dedup, quality_rules, secret_scan, spelling_variants, suffix_match, token_count, varint_ids, warc_convert, whitening
 from annolens.llm._common import cut, read_table, shared_dir
 
 
@@ -73,6 +73,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.components(read_table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, "embedding", 1024, 100_000), 8)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.runs(read_table(spark, sf_dir, "documents"), 7)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    h, size = F.crc32(key.cast("binary")), F.length("run")
+    at = F.pmod(F.col("h"), size).cast("int")
+    without = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, size))
+    words = found.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, without).otherwise(F.col("run")).alias("word"))
+    return spelling_variants.group(spelling_variants.vocabulary(words, 7, 2), 10)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +103,20 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of vectors, and the smallest id that links reach.
+ORACLE_SQL: dict[str, str] = {
+    "op11_embedding_dedup": """WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT vec_id, b FROM reached JOIN edges ON a = other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+linked AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN linked ON a = e.vec_id""",
+}
