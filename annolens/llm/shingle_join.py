@@ -219,7 +219,8 @@ def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFram
     if not dense.isEmpty():
         banded = cut(bands(members.join(dense.select("node").distinct(), "node", "left_semi")))
         open_ = cut(join_hot(banded, _mixed(banded), "cell"))
-        candidates = candidates.union(_in_cells(open_.where("root <> main"), open_, (F.col("x.root") != F.col("y.root")) & _close()))
+        once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))  # where neither is of the main class
+        candidates = candidates.union(_in_cells(open_.where("root <> main"), open_, (F.col("x.root") != F.col("y.root")) & once & _close()))
     rest = cut(_ordered(candidates))
     if rest.isEmpty():
         return roots
