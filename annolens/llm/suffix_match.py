@@ -5,7 +5,8 @@ occur in the benchmark become integers, all others separators; positions from
 which no window can fit before a separator are left out, the rest are sorted by
 the words that follow: the shard's suffix array. Every benchmark suffix is then
 binary-searched in it, all at once in numpy; the matching interval gives the
-locations, and matches are extended word by word to the longest common length.
+locations. The longest match comes from one more suffix array, to full depth, of the parts of shard and
+benchmark that lie in windows found: it is the prefix shared with the nearest benchmark suffix.
 A window is ``window`` consecutive words of an item; an item of fewer words is
 one window. Documents are affected by the share of their words inside a window.
 
@@ -15,7 +16,7 @@ several blocks a worker holds one at a time.
 
 Cases: null, empty or wordless text has no words and no hits; an item without an id
 hits words and is not listed; repeated items and documents give repeated rows; an empty benchmark
-hits nothing; extra columns are passed through.
+hits nothing; item ids are whole numbers or texts; extra columns are passed through.
 """
 
 from __future__ import annotations
@@ -45,20 +46,27 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window, self.vocabulary = window, {}
         suffixes: dict[tuple[int, ...], set[int]] = {}
-        self.texts: list[np.ndarray] = []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        texts: dict[tuple[int, ...], int] = {}
+        places: dict[tuple[int, ...], list[int]] = {}
+        end = 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
             if not ids:
                 continue
-            self.texts.append(np.array(ids, np.int32))
+            new = ids not in texts  # copies add their item only
+            first = texts.setdefault(ids, end)
             for i in range(max(1, len(ids) - window + 1)):
-                key = tuple(ids[i : i + window])
+                key = ids[i : i + window]
                 suffixes.setdefault(key, set()).update([item] if item is not None else ())
-                places.setdefault(key, []).append((len(self.texts) - 1, i))
+                if new:
+                    places.setdefault(key, []).append(first + i)
+            end += (len(ids) + 1) * new
+        self.text = np.zeros(end, np.int32)  # distinct texts, a 0 after each
+        for ids, first in texts.items():
+            self.text[first : first + len(ids)] = ids
         self.keys = list(suffixes)
         self.items = [sorted(suffixes[k]) for k in self.keys]
-        self.places = [places[k] for k in self.keys]
+        self.places = [np.array(places[k], np.int64) for k in self.keys]
         self.sizes = np.array([len(k) for k in self.keys], np.int64)
         self.matrix = np.zeros((len(self.keys), window), np.int32)
         for row, k in zip(self.matrix, self.keys):
@@ -79,17 +87,69 @@ class TestSuffixes:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
         return order[at], which
 
-    def longest(self, ids: np.ndarray, position: int, which: int) -> int:
-        """Words of the longest verbatim match that starts at ``position`` with this window; 0 if each goes on from the word before."""
-        best = 0
-        for text, i in self.places[which]:
-            if i and position and ids[position - 1] == self.texts[text][i - 1]:
-                continue  # the match is found, longer, at an earlier position
-            a, b = ids[position:], self.texts[text][i:]
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
-            best = max(best, int(differ[0]) if len(differ) else n)
-        return best
+    def longest(self, ids: np.ndarray, position: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Words of the longest verbatim match from each occurrence on.
+
+        A whole short item is as long as it is. Else the parts of ``ids`` and of the texts that lie in windows found go
+        into one suffix array, where a match's text is the nearest before or after it.
+        """
+        out = self.sizes[which].copy()
+        full = np.flatnonzero(out == self.window)
+        if len(full):
+            mine = _spans(position[full], self.window, len(ids))
+            theirs = _spans(np.concatenate([self.places[k] for k in np.unique(which[full])]), self.window, len(self.text))
+            inside, starts = np.concatenate(mine), np.array([x[0] for x in mine])
+            at = np.searchsorted(inside, position[full]) + np.searchsorted(starts, position[full], side="right") - 1
+            out[full] = common_prefixes(_joined(ids, mine), _joined(self.text, theirs), at)
+        return out
+
+
+def _spans(starts: np.ndarray, size: int, n: int) -> list[np.ndarray]:
+    """The runs of positions below ``n`` that lie within ``size`` from some start, in order."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + size, n), -1)
+    inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    return np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1)
+
+
+def _joined(ids: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
+    """The words of spans, a 0 after each."""
+    return np.concatenate([np.append(ids[s], 0) for s in spans]).astype(np.int64)
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words that the suffix of ``a`` at each place shares with the suffix of ``b`` that shares most; 0 ends a suffix.
+
+    Ranks by 1, 2, 4, ... words are kept, so that the prefix of two suffixes is measured by falling powers.
+    """
+    both = np.concatenate([a, b])
+    n, ends = len(both), np.flatnonzero(both == 0)
+    rank = both.copy()
+    rank[ends] = -1 - np.arange(len(ends))  # no separator equals another
+    levels = [np.unique(rank, return_inverse=True)[1]]
+    while 1 << len(levels) - 1 < np.diff(ends, prepend=-1).max() and levels[-1].max() < n - 1:
+        done = 1 << len(levels) - 1
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - done] = levels[-1][done:] + 1
+        levels.append(np.unique(levels[-1].astype(np.int64) * (n + 1) + ahead, return_inverse=True)[1])
+    order = np.argsort(levels[-1], kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    other = order >= len(a)
+    before = np.maximum.accumulate(np.where(other, np.arange(n), -1))
+    after = np.minimum.accumulate(np.where(other, np.arange(n), n)[::-1])[::-1]
+    best = np.zeros(len(at), np.int64)
+    for near in (before[place[at]], after[place[at]]):
+        there = np.flatnonzero((near >= 0) & (near < n))
+        p, q = at[there].copy(), order[near[there]]
+        size = np.zeros(len(there), np.int64)
+        for k in reversed(range(len(levels))):
+            ok = (np.maximum(p, q) + (1 << k) <= n) & (levels[k][np.minimum(p, n - 1)] == levels[k][np.minimum(q, n - 1)])
+            step = ok.astype(np.int64) << k
+            p, q, size = p + step, q + step, size + step
+        best[there] = np.maximum(best[there], size)
+    return best
 
 
 def suffix_array(ids: np.ndarray, least: int, depth: int) -> tuple[np.ndarray, int]:
@@ -210,8 +270,10 @@ def _search(held: list, blocks: list, window: int):
         pairs = np.unique(owner * len(test.keys) + which)
         for d, k in zip((pairs // len(test.keys)).tolist(), (pairs % len(test.keys)).tolist()):
             items.setdefault(d, set()).update(test.items[k])
-        for d, p, k in zip(owner.tolist(), position.tolist(), which.tolist()):
-            longest[d] = max(longest.get(d, 0), test.longest(ids[: first[d + 1] - 1], p, k))
+        most = np.zeros(len(docs), np.int64)
+        np.maximum.at(most, owner, test.longest(ids, position, which))
+        for d in np.flatnonzero(most).tolist():
+            longest[d] = max(longest.get(d, 0), int(most[d]))
     hit = np.cumsum(edge[:-1]) > 0
     at = 0
     for b, tokens in held:
@@ -227,6 +289,7 @@ def _search(held: list, blocks: list, window: int):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, n_hit, spans (word ranges inside windows), items, longest (words of the longest match)."""
     blocks = list(_blocks(benchmark, item_col, item_text, window))
+    item_kind = "string" if benchmark.schema[item_col].dataType.simpleString() == "string" else "long"
 
     def run(batches):
         for b, rows in _shards(batches, 1, blocks, window):
@@ -235,13 +298,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([sum(j - i for i, j in r[1]) for r in rows], pa.int64()),
                 pa.array([[{"from": i, "to": j} for i, j in r[1]] for r in rows], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                pa.array([r[2] for r in rows], pa.list_(pa.string() if item_kind == "string" else pa.int64())),
                 pa.array([r[3] for r in rows], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "n_hit", "spans", "items", "longest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, spans array<struct<from: long, to: long>>, items array<long>, longest long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, spans array<struct<from: long, to: long>>, items array<{item_kind}>, longest long")
 
 
 def is_contaminated(n_words, n_hit):

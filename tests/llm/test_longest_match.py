@@ -29,3 +29,25 @@ def test_longest_of_items_that_share_windows(spark):
         out = {r.doc_id: r.longest for r in suffix_match.matches(docs, bench, window=window).collect()}
         assert out == {i: brute(t, items, window) for i, t in enumerate(texts)}
         assert out[0] == 59
+
+
+def test_repeated_words_and_copies_of_an_item(spark):
+    import time
+
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    items = ["echo " * 2000, *[" ".join(words)] * 1000]
+    texts = ["echo " * 8000, *[" ".join(["start", *words, "end"])] * 300]
+    test = suffix_match.TestSuffixes(list(enumerate(items)), 13)
+    began = time.perf_counter()
+    ids = [0]
+    for t in texts:
+        ids += [test.vocabulary.get(w, 0) for w in t.encode().split()] + [0]
+    import numpy as np
+
+    ids = np.array(ids, np.int32)
+    position, which = test.search(ids)
+    longest = test.longest(ids, position, which)
+    assert time.perf_counter() - began < 5
+    assert longest[position == 1] == 2000 and longest.max() == 2000
+    assert sorted(longest[position > 8001])[-300:] == [200] * 300
