@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm._common import remove, shared_dir
+from annolens.llm._common import cut, remove, shared_dir
 
 FAN_OUT = 2
 BATCHES = 8
 BROADCAST_KEYS = 100_000  # about 10 MB in a worker
 KEYS = ["h1", "h2"]
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -78,7 +79,18 @@ class LineRuns:
         self.name, self.made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = []
         self.settled: str | None = None
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket is one sorted file
+        self.before = spark.conf.get(ORDERED, None)
+        spark.conf.set(ORDERED, "true")  # a bucket is one sorted file
+
+    def close(self) -> None:
+        """Take all runs out of the catalogue and of the folder, and set the session as it was."""
+        for run in [*(r for level in self.levels for r in level), *([self.settled] if self.settled else [])]:
+            self._drop(run)
+        self.levels, self.settled = [], None
+        if self.before is None:
+            self.spark.conf.unset(ORDERED)
+        else:
+            self.spark.conf.set(ORDERED, self.before)
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
@@ -145,7 +157,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text")
     arrived = spark.read.schema("h1 long, h2 long, n long, batch int").parquet(incoming)
     for k in range(BATCHES):
         runs.add(arrived.where(F.col("batch") == k).drop("batch"))
-    found = runs.frequent()
+    found = cut(runs.frequent())
+    runs.close()
     remove(spark, incoming)
     return found
 
@@ -180,8 +193,8 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, text_col: str = "text", b
 
         return docs.mapInArrow(run, schema)
 
-    # rows are named by two hashes of all they hold, so that equal names have equal lines
-    row = [F.xxhash64(*names).alias("__r1"), F.xxhash64(F.lit(1), *reversed(names)).alias("__r2")]
+    # rows are named by two hashes of the text, which alone decides on its lines
+    row = [F.xxhash64(text_col).alias("__r1"), F.xxhash64(F.lit(1), text_col).alias("__r2")]
     named = docs.select("*", *row)
     hits = line_keys(named.select("__r1", "__r2", text_col), ["__r1", "__r2"], text_col).join(frequent, KEYS, "left_semi")
     per_row = hits.groupBy("__r1", "__r2").agg(F.collect_set(F.struct(*KEYS)).alias("__keys"))
