@@ -297,3 +297,93 @@ def margin_crop(x1, y1, x2, y2, width, height, percent: float) -> Box:
     a, b, c, d = F.greatest(a - mx, F.lit(0)), F.greatest(b - my, F.lit(0)), F.least(c + mx, width), F.least(d + my, height)
     half, cx, cy = F.floor(F.greatest(c - a, d - b) / 2), F.floor((a + c) / 2), F.floor((b + d) / 2)
     return F.greatest(cx - half, F.lit(0)), F.greatest(cy - half, F.lit(0)), F.least(cx + half, width), F.least(cy + half, height)
+
+
+def polygon_area(points: Column) -> Column:
+    """Area of a closed polygon; 0 for fewer than three points."""
+
+    def summed(ring: Column) -> Column:
+        n = F.size(ring)
+        part = lambda s, i: s + F.get(ring, i)["x"] * F.get(ring, (i + 1) % n)["y"] - F.get(ring, (i + 1) % n)["x"] * F.get(ring, i)["y"]
+        return F.when(n < 3, 0.0).otherwise(F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), part)) / 2)
+
+    return let(points, summed)
+
+
+def clip_polygon(points: Column, x1, y1, x2, y2) -> Column:
+    """A polygon cut at a box, one side after the other; where a concave polygon falls apart, its parts stay joined along the sides."""
+
+    def cut(inside: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def body(ring: Column) -> Column:
+            def edge(p: Column, i: Column) -> Column:
+                q = F.get(ring, (i + F.size(ring) - 1) % F.size(ring))
+                a, b = inside(q), inside(p)
+                f = a / (a - b)
+                crossing = F.when((a >= 0) != (b >= 0), F.array(point(q["x"] + (p["x"] - q["x"]) * f, q["y"] + (p["y"] - q["y"]) * f)))
+                both = F.array(crossing, F.when(b >= 0, F.array(p)))
+                return F.flatten(F.filter(both, lambda s: s.isNotNull()))
+
+            return F.flatten(F.transform(ring, edge))
+
+        return body
+
+    for inside in (lambda p: p["x"] - x1, lambda p: x2 - p["x"], lambda p: p["y"] - y1, lambda p: y2 - p["y"]):
+        points = let(points, cut(inside))
+    return points
+
+
+def hull(points: Column) -> Column:
+    """The convex hull of an array of points, counter-clockwise where y goes up, without points on its edges."""
+    turn = lambda o, a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+    def chain(ordered: Column, empty: Column) -> Column:
+        def push(held: Column, p: Column) -> Column:
+            # how many of the last points stay: the longest front whose last turn with p is to the left
+            n = F.size(held)
+            stays = F.filter(F.sequence(F.lit(0), n), lambda k: (k < 2) | (turn(F.get(held, k - 2), F.get(held, k - 1), p) > 0))
+            return F.concat(F.slice(held, F.lit(1), F.array_max(stays)), F.array(p))
+
+        return F.aggregate(ordered, empty, push)
+
+    def both(ordered: Column) -> Column:
+        empty = F.slice(ordered, F.lit(1), F.lit(0))
+        lower, upper = chain(ordered, empty), chain(F.reverse(ordered), empty)
+        ends = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+        return F.when(F.size(ordered) < 3, ordered).otherwise(F.concat(ends(lower), ends(upper)))
+
+    return let(F.array_distinct(F.array_sort(points)), both)
+
+
+def smallest_rectangle(points: Column) -> Column:
+    """The rectangle of least area around points, one side along an edge of their hull: struct (x, y, w, h, r), w >= h, r from -pi/4 below 3 pi/4.
+
+    Of equal areas the one of the smallest angle is taken; a point or a line gives sides of 0.
+    """
+
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def one(i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+            length = F.sqrt(dx * dx + dy * dy)
+
+            def along(d: Column) -> Column:
+                u = F.transform(ring, lambda p: p["x"] * d["c"] + p["y"] * d["s"])
+                v = F.transform(ring, lambda p: p["y"] * d["c"] - p["x"] * d["s"])
+                ends = F.struct(*[f(x).alias(k) for k, f, x in (("u0", F.array_min, u), ("u1", F.array_max, u), ("v0", F.array_min, v), ("v1", F.array_max, v))])
+
+                def rectangle(e: Column) -> Column:
+                    w, h, cu, cv = e["u1"] - e["u0"], e["v1"] - e["v0"], (e["u0"] + e["u1"]) / 2, (e["v0"] + e["v1"]) / 2
+                    angle = F.atan2(d["s"], d["c"]) + F.when(w < h, F.pi() / 2).otherwise(0.0)
+                    r = angle - F.pi() * F.floor((angle + F.pi() / 4) / F.pi())
+                    return F.struct(F.round(w * h, 9).alias("area"), r.alias("r"), (cu * d["c"] - cv * d["s"]).alias("x"), (cu * d["s"] + cv * d["c"]).alias("y"), F.greatest(w, h).alias("w"), F.least(w, h).alias("h"))
+
+                return let(ends, rectangle)
+
+            return let(F.struct(F.when(length > 0, dx / length).otherwise(1.0).alias("c"), F.when(length > 0, dy / length).otherwise(0.0).alias("s")), along)
+
+        best = F.array_min(F.transform(F.sequence(F.lit(0), n - 1), one))
+        return let(best, lambda m: F.struct(*[m[k].alias(k) for k in ("x", "y", "w", "h", "r")]))
+
+    return let(hull(points), of)

@@ -275,8 +275,8 @@ def stratified_split(labels: DataFrame, images: DataFrame, ratio: float, least:
         return pdf.assign(quota=quota)[["kind", "quota"]]
 
     quotas = dealt.groupBy("shard").applyInPandas(choose, "kind string, quota long")
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(hash_unit(F.lit(seed), F.col("image_id")), "image_id"))
-    return every.withColumn("r", rank).join(quotas, "kind").select("image_id", F.when(F.col("r") <= F.col("quota"), "val").otherwise("train").alias("split"))
+    ranked = hash_rank(every, "image_id", ["kind"], seed)
+    return ranked.join(quotas, "kind").select("image_id", F.when(F.col("__r") <= F.col("quota"), "val").otherwise("train").alias("split"))
 
 
 def minority_images(labels: DataFrame, wanted: int, excluded: list[int]) -> DataFrame:
@@ -341,17 +341,31 @@ def histogram_2d(rows: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return rows.where((F.col(x).between(0, 1)) & (F.col(y).between(0, 1))).groupBy(b(x).alias("bx"), b(y).alias("by")).agg(F.count("*").alias("n"))
 
 
-def shape_batches(images: DataFrame, size: int, id_col: str = "image_id") -> DataFrame:
-    """Images by aspect ratio within hash shards, in batches of ``size``, with each batch's least and largest ratio."""
-    ratio = images.withColumn("ratio", F.col("height") / F.col("width"))
-    return _batched(ratio, size, id_col)
+def value_rank(rows: DataFrame, value: str, id_col: str, seed: int = 0) -> DataFrame:
+    """Add ``__r``: a row's place among all by ``value``, then hash, from 1.
 
+    Rows are numbered within ranges of the value, each after the rows of the ranges before it; a value
+    that fills several ranges is parted by the hash, so no task ranks more than about BUCKET_ROWS.
+    """
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    edges = rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
+    times = {e: edges.count(e) for e in sorted(set(edges))}
+    known, repeated = F.array(*map(F.lit, times)).cast("array<double>"), F.array(*map(F.lit, times.values())).cast("array<int>")
+    at = F.size(F.filter(known, lambda e: e <= F.col(value)))
+    keyed = rows.withColumns({"__u": hash_unit(F.lit(seed), F.col(id_col)), "__a": at})
+    same = F.get(known, F.col("__a") - 1) == F.col(value)
+    keyed = keyed.withColumn("__s", F.when(same, F.floor(F.col("__u") * F.get(repeated, F.col("__a") - 1))).otherwise(buckets))
+    sizes = keyed.groupBy("__a", "__s").agg(F.count("*").alias("c"))
+    before = sizes.select("__a", "__s", (F.sum("c").over(Window.orderBy("__a", "__s")) - F.col("c")).alias("__before"))  # one row for each range
+    local = F.row_number().over(Window.partitionBy("__a", "__s").orderBy(value, "__u", id_col))
+    return keyed.join(F.broadcast(before), ["__a", "__s"]).withColumn("__r", F.col("__before") + local).select(*rows.columns, "__r")
 
-def _batched(ratio: DataFrame, size: int, id_col: str, shards: int = 16) -> DataFrame:
-    shard = F.floor(hash_unit(F.lit(0), F.col(id_col)) * shards).cast("int")
-    n = F.row_number().over(Window.partitionBy("shard").orderBy("ratio", id_col))
-    placed = ratio.withColumn("shard", shard).withColumn("batch", F.floor((n - 1) / size))
-    return placed.groupBy("shard", "batch").agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+
+def shape_batches(images: DataFrame, size: int, id_col: str = "image_id") -> DataFrame:
+    """Images by aspect ratio in batches of ``size``, with each batch's least and largest ratio."""
+    ratio = images.withColumn("ratio", F.col("height") / F.col("width"))
+    placed = value_rank(ratio, "ratio", id_col).withColumn("batch", F.floor((F.col("__r") - 1) / size))
+    return placed.groupBy("batch").agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
 
 
 def box_columns(b: Box, names: str = "x1 y1 x2 y2") -> list[Column]:

@@ -179,7 +179,26 @@ def semantic_scores(matrix: DataFrame, ignore: int = 255) -> DataFrame:
 
 
 def f1_operating_point(curve: DataFrame, n_classes: int, grid: int = 1000, taps: int = 101) -> DataFrame:
-    """(conf, f1): the confidence where the mean F1 over classes, smoothed over ``taps`` grid points, is largest; the first on ties.
+    """(conf, f1): the confidence where the mean F1 over classes, smoothed over ``taps`` grid points, is largest; the first on ties."""
+    mean = rate_curves(curve, grid).groupBy("g").agg((F.sum(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + F.lit(1e-16))) / n_classes).alias("f1"))
+    points = curve.sparkSession.range(grid).select(F.col("id").cast("int").alias("g")).join(mean, "g", "left").na.fill(0.0, ["f1"])
+    half = taps // 2
+    spread = points.select("f1", F.explode(F.sequence(F.when(F.col("g") == 0, -half).otherwise(F.col("g")), F.when(F.col("g") == grid - 1, grid - 1 + half).otherwise(F.col("g")))).alias("g"))
+    reach = spread.select("f1", F.explode(F.sequence(F.col("g") - half, F.col("g") + half)).alias("g")).where(F.col("g").between(0, grid - 1))
+    smooth = reach.groupBy("g").agg((F.sum("f1") / taps).alias("f1"))
+    best = smooth.agg(F.max(F.struct(F.round("f1", 12).alias("f"), (-F.col("g")).alias("g"))).alias("b"))
+    return best.select((-F.col("b.g") / F.lit(float(grid - 1))).alias("conf"), F.col("b.f").alias("f1"))
+
+
+def mean_rates(curve: DataFrame, n_classes: int, grid: int = 1000, taps: int = 101) -> DataFrame:
+    """(conf, precision, recall): means over classes at the confidence of ``f1_operating_point``; a class without predictions has 0 for both."""
+    best = f1_operating_point(curve, n_classes, grid, taps).select("conf", F.round(F.col("conf") * (grid - 1)).cast("int").alias("g"))
+    at = F.broadcast(best).join(rate_curves(curve, grid), "g", "left")
+    return at.groupBy("conf").agg(*[(F.coalesce(F.sum(c), F.lit(0.0)) / n_classes).alias(n) for c, n in (("p", "precision"), ("r", "recall"))])
+
+
+def rate_curves(curve: DataFrame, grid: int = 1000) -> DataFrame:
+    """(cls, g, r, p): recall and precision of each class at the confidences g / (grid - 1), where there are predictions of it at or above.
 
     ``curve`` is one threshold's ranked predictions. Between two confidences recall and precision are
     interpolated; below the least confidence the last values hold, above the largest recall is 0 and precision 1.
@@ -198,11 +217,4 @@ def f1_operating_point(curve: DataFrame, n_classes: int, grid: int = 1000, taps:
     rows = spans.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("g"))
     x = F.col("g") / g
     part = lambda a, b: F.when((x <= F.col("conf")) | F.col("c2").isNull(), F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * (x - F.col("conf")) / (F.col("c2") - F.col("conf")))
-    scored = rows.select("cls", "g", part("r_lo", "r2").alias("r"), part("p_lo", "p2").alias("p"))
-    mean = scored.groupBy("g").agg((F.sum(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + F.lit(1e-16))) / n_classes).alias("f1"))
-    points = curve.sparkSession.range(grid).select(F.col("id").cast("int").alias("g")).join(mean, "g", "left").na.fill(0.0, ["f1"])
-    half = taps // 2
-    spread = points.select("f1", F.explode(F.sequence(F.when(F.col("g") == 0, -half).otherwise(F.col("g")), F.when(F.col("g") == grid - 1, grid - 1 + half).otherwise(F.col("g")))).alias("g"))
-    reach = spread.select("f1", F.explode(F.sequence(F.col("g") - half, F.col("g") + half)).alias("g")).where(F.col("g").between(0, grid - 1))
-    smooth = reach.groupBy("g").agg((F.sum("f1") / taps).alias("f1"))
-    return smooth.agg(F.max(F.struct(F.round("f1", 12).alias("f"), (-F.col("g")).alias("g"))).alias("b")).select((-F.col("b.g") / g).alias("conf"), F.col("b.f").alias("f1"))
+    return rows.select("cls", "g", part("r_lo", "r2").alias("r"), part("p_lo", "p2").alias("p"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolens.operators.datasets import hash_unit
+
 
 def best_epoch(log: DataFrame, value: str, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Each run's epoch of largest value, the first on ties."""
@@ -74,6 +76,43 @@ def top_results(results: DataFrame, n: int, fitness: str = "fitness") -> DataFra
     return results.orderBy(F.desc(fitness), *[c for c in results.columns if c != fitness]).limit(n)
 
 
+def crossover(parents: DataFrame, genes: list[str], k: int = 9, alpha: float = 0.2, seed: int = 0, fitness: str = "fitness") -> DataFrame:
+    """(gene, value): a child of ``k`` parents drawn by fitness, each gene uniform over their range widened by ``alpha`` of it on both sides.
+
+    ``parents`` is a report of a few rows, as of ``top_results``. A parent's weight is its fitness less the
+    least, plus 1e-6; draws are numbers from the hash of seed and draw, looked up in the running sum of weights
+    by falling fitness. A gene that all drawn parents share gets a range between 0.01 and 0.1.
+    """
+    order = Window.orderBy(F.desc(fitness), *genes)  # a few rows
+    weight = F.col(fitness) - F.min(fitness).over(Window.partitionBy()) + 1e-6
+    held = parents.select(fitness, *genes, weight.alias("__w")).withColumn("__high", F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = held.withColumns({"__low": F.col("__high") - F.col("__w"), "__all": F.sum("__w").over(Window.partitionBy())})
+    draws = parents.sparkSession.range(k).select(hash_unit(F.lit(seed), F.lit("draw"), F.col("id")).alias("__u"))
+    at = F.col("__u") * F.col("__all")
+    drawn = held.join(F.broadcast(draws), (at >= F.col("__low")) & (at < F.col("__high")))
+    each = drawn.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.col(g).cast("double").alias("v")) for g in genes])).alias("x")).select("x.*")
+    ends = each.groupBy("gene").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    number = lambda what: hash_unit(F.lit(seed), F.lit(what), F.col("gene"))
+    span = F.when(F.col("high") == F.col("low"), 0.01 + 0.09 * number("span")).otherwise(F.col("high") - F.col("low"))
+    least, most = F.col("low") - alpha * F.col("span"), F.col("high") + alpha * F.col("span")
+    return ends.withColumn("span", span).select("gene", (least + number("gene") * (most - least)).alias("value"))
+
+
+def mutated(child: DataFrame, bounds: dict[str, tuple[float, ...]], chance: float = 0.5, sigma: float = 0.2, seed: int = 0, tries: int = 64) -> DataFrame:
+    """(gene, value) of ``child`` with some genes scaled by a log-normal factor between 1/4 and 4, kept within ``bounds`` (low, high, and perhaps a gain), to five digits.
+
+    Of ``tries`` draws by hash the first that changes a gene is taken.
+    """
+    spaces = child.sparkSession.createDataFrame([(g, float(b[0]), float(b[1]), float(b[2]) if len(b) == 3 else 1.0) for g, b in bounds.items()], "gene string, low double, high double, gain double")
+    number = lambda what: hash_unit(F.lit(seed), F.lit(what), F.col("try"), F.col("gene"))
+    normal = F.sqrt(-2 * F.ln(1 - number("size"))) * F.cos(2 * F.pi() * number("turn"))
+    factor = F.when(number("mask") < chance, F.least(F.greatest(F.exp(normal * sigma * F.col("gain")), F.lit(0.25)), F.lit(4.0))).otherwise(1.0)
+    draws = child.join(F.broadcast(spaces), "gene").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("factor", factor)
+    used = draws.where("factor <> 1").agg(F.coalesce(F.min("try"), F.lit(0)).alias("used"))
+    kept = draws.join(F.broadcast(used)).where("try = used")
+    return kept.select("gene", F.round(F.least(F.greatest(F.col("value") * F.col("factor"), "low"), "high"), 5).alias("value"))
+
+
 def smoothed_series(rows: DataFrame, value: str, taps: int, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Add ``smooth``: centred moving average over ``taps`` rows, the ends repeated."""
     half = taps // 2

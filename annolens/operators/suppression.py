@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annolens.functions.geometry import columns
 from annolens.functions.overlap import iou, overlaps
+from annolens.operators.grid import grid_pairs
 from annolens.operators.matching import CORNERS, named
 
 
@@ -88,10 +89,13 @@ def union_by_id(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.unionByName(b.join(a, key, "left_anti"))
 
 
-def remove_duplicate_tracks(a: DataFrame, b: DataFrame, distance: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    """Of track pairs with IoU distance below ``distance`` the younger goes (ties: the one of ``b``); rows have stream, track_id, frames, corners."""
-    x, y = named(a, "a_", ("stream",)), named(b, "b_", ("stream",))
-    close = x.join(y, "stream").where(1 - iou(columns("a_", CORNERS), columns("b_", CORNERS)) < distance)
+def remove_duplicate_tracks(a: DataFrame, b: DataFrame, distance: float = 0.15, cell: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Of track pairs with IoU distance below ``distance`` (1 at most) the younger goes (ties: the one of ``b``); rows have stream, track_id, frames, corners.
+
+    Tracks meet in cells of side ``cell``, about that of a box, so only those that overlap are compared.
+    """
+    near = grid_pairs(a, b, ["stream"], cell)
+    close = near.where(1 - iou(columns("a_", CORNERS), columns("b_", CORNERS)) < distance)
     older = F.col("a_frames") > F.col("b_frames")
     drop_b = close.where(older | (F.col("a_frames") == F.col("b_frames"))).select("stream", F.col("b_track_id").alias("track_id"))
     drop_a = close.where(F.col("a_frames") < F.col("b_frames")).select("stream", F.col("a_track_id").alias("track_id"))

@@ -557,6 +557,21 @@ def f1_operating_point(spark, sf_dir):
     return _rounded(metrics.f1_operating_point(curve, views.N_CLASSES), "conf", "f1")
 
 
+@query(
+    "SELECT round(b.g / 999.0::DOUBLE, 9) AS conf, round(coalesce(sum(p), 0) / 4, 6) AS precision, round(coalesce(sum(r), 0) / 4, 6) AS recall FROM (SELECT g FROM sm ORDER BY f DESC, g LIMIT 1) b LEFT JOIN sc USING (g) GROUP BY b.g",
+    BOXES,
+    PAIRS,
+    _STEP,
+    MATCHED,
+    _CURVE,
+    _F1,
+)
+def mean_precision_recall(spark, sf_dir):
+    """The feature is one row: mean precision and recall over classes at the best smoothed mean F1."""
+    curve, _ = _curve(spark, sf_dir, [0.5])
+    return _six(_rounded(metrics.mean_rates(curve, views.N_CLASSES), "conf"), "precision", "recall")
+
+
 @query(
     """SELECT image_id, tp, fp, fn, CASE WHEN e THEN 1.0 ELSE round(coalesce(tp / nullif(tp + fp, 0), 0), 9) END::DOUBLE AS precision, CASE WHEN e THEN 1.0 ELSE round(coalesce(tp / nullif(tp + fn, 0), 0), 9) END::DOUBLE AS recall,
     CASE WHEN e THEN 1.0 ELSE round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 9) END::DOUBLE AS f1 FROM (

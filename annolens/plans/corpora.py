@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolens.functions import strings
-from annolens.operators import datasets, metrics, similarity
+from annolens.operators import datasets, metrics, pivots, similarity
 from annolens.plans import views
 from annolens.plans.boxes import _six
 from annolens.plans.views import registry
+from annolens.sources.folders import scratch
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -63,6 +64,16 @@ def similarity_topk(spark, sf_dir):
     return similarity.search(*_search(spark, sf_dir), k=30, least=0.1)
 
 
+@query("SELECT query_id, vec_id, score, rank FROM top WHERE score >= 0.1", _SCORED)
+def similarity_pivots(spark, sf_dir):
+    """The same through an index that leaves vectors out by the triangle inequality."""
+    vectors, queries = _search(spark, sf_dir)
+    path = scratch(spark)
+    pivots.build(vectors, path)
+    found, _ = pivots.search(pivots.opened(spark, path), queries, 30)
+    return found.where("score >= 0.1")
+
+
 @query("SELECT query_id, count(*) FILTER (1 - score < 0.8) AS count, coalesce(list(vec_id ORDER BY rank) FILTER (1 - score < 0.8), []) AS neighbours FROM top GROUP BY query_id", _SCORED)
 def similarity_index(spark, sf_dir):
     return similarity.similarity_index(similarity.search(*_search(spark, sf_dir), k=30), 0.8)

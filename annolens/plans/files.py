@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annolens.functions import geometry as geo
 from annolens.operators import metrics, zones
 from annolens.plans import views
 from annolens.plans.boxes import KEY, XYXY, _matched
@@ -106,14 +107,68 @@ def oriented_round_trip(spark, sf_dir):
     return read.select("image_id", "cls", "x1", "y1", "x3", "y3")
 
 
-@query("SELECT cls, count(*) AS n, sum(length(printf('%d', image_id)))::BIGINT AS digits FROM pred GROUP BY cls", BOXES)
+@query(
+    """SELECT image_id, cls, round_even(conf, 5) AS conf, round_even(100 * x - 100 * w / 2 * cos(r) + 100 * h / 2 * sin(r), 3) AS x3, round_even(100 * y - 100 * w / 2 * sin(r) + 100 * h / 2 * cos(r), 3) AS y4, count(*) AS n
+    FROM (SELECT *, (det_id % 7) * 0.2::DOUBLE + 0.05::DOUBLE AS r FROM pred) GROUP BY ALL""",
+    BOXES,
+)
 def oriented_export(spark, sf_dir):
-    """Rotated predictions as text, one folder a class."""
+    """Rotated predictions as text, one folder a class, and their third and fourth corner as read back."""
     path = scratch(spark)
-    found = views.predictions(spark, sf_dir).withColumn("r", F.lit(0.0))
+    turn = (F.col("det_id") % 7) * 0.2 + 0.05
+    found = views.predictions(spark, sf_dir).withColumns({"r": turn, **{c: F.col(c) * 100 for c in "xywh"}})
     labels.write_lines(reports.oriented_lines(found, F.col("image_id").cast("string")), path, "cls")
-    read = spark.read.text(path)
-    return read.groupBy("cls").agg(F.count("*").alias("n"), F.sum(F.length(F.substring_index("value", " ", 1)).cast("long")).alias("digits"))
+    f = F.split("value", " ")
+    at = lambda k: f[k].cast("double")
+    read = spark.read.text(path).select(f[0].cast("long").alias("image_id"), "cls", at(1).alias("conf"), at(6).alias("x3"), at(9).alias("y4"))
+    return read.groupBy("image_id", "cls", "conf", "x3", "y4").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT image_id || '' AS image_id, cls + 1 AS category_id, round_even(conf, 5) AS score, [round_even(100 * x, 3), round_even(100 * y, 3), round_even(100 * w, 3), round_even(100 * h, 3), round_even(r, 3)] AS rbox,
+    round_even(100 * x + 100 * w / 2 * cos(r) - 100 * h / 2 * sin(r), 3) AS px FROM (SELECT *, (det_id % 7) * 0.2::DOUBLE + 0.05::DOUBLE AS r FROM pred)""",
+    BOXES,
+)
+def rotated_json(spark, sf_dir):
+    """Rotated predictions as JSON records, read back, with the first corner's x."""
+    path = scratch(spark)
+    turn = (F.col("det_id") % 7) * 0.2 + 0.05
+    found = views.predictions(spark, sf_dir).withColumns({"r": turn, **{c: F.col(c) * 100 for c in "xywh"}})
+    out = reports.rotated_records(found, F.concat(F.col("image_id").cast("string"), F.lit(".jpg")), F.col("cls") + 1)
+    out.write.json(path)
+    return spark.read.schema(out.schema).json(path).select("image_id", "category_id", "score", "rbox", F.col("poly")[0].alias("px"))
+
+
+@query(
+    """SELECT image_id || '' AS image_id, image_id || '.jpg' AS file_name, cls + 1 AS category_id, [x1, y1, x2 - x1, y2 - y1] AS bbox, round_even(conf, 5) AS score, [x1, y1, 2, x2, y2, 1] AS keypoints FROM (
+    SELECT image_id, cls, conf, 64 * x1 AS x1, 64 * y1 AS y1, 64 * x2 AS x2, 64 * y2 AS y2 FROM pred)""",
+    BOXES,
+)
+def keypoint_json(spark, sf_dir):
+    """Predictions with two keypoints as JSON records, read back."""
+    path = scratch(spark)
+    found = views.predictions(spark, sf_dir).withColumns({c: F.col(c) * 64 for c in XYXY.split()})
+    points = F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.lit(v).alias("v")) for a, b, v in (("x1", "y1", 2), ("x2", "y2", 1))])
+    out = reports.keypoint_records(found, F.concat(F.col("image_id").cast("string"), F.lit(".jpg")), F.col("cls") + 1, points)
+    out.write.json(path)
+    return spark.read.schema(out.schema).json(path)
+
+
+@query(
+    """SELECT image_id, kind, status, cls, x, y, w, h, n FROM (
+    SELECT image_id, CASE image_id % 3 WHEN 0 THEN 'boxes' ELSE 'polygons' END AS kind, CASE WHEN image_id % 5 = 0 THEN 'corrupt' ELSE 'found' END AS status, cls, x / 4 + 0.25 AS x, y / 4 + 0.25 AS y, w / 4 AS w, h / 4 AS h, CASE WHEN image_id % 3 = 0 THEN -1 ELSE 4 END AS n FROM gt WHERE image_id % 5 <> 0
+    UNION SELECT image_id, CASE image_id % 3 WHEN 0 THEN 'boxes' ELSE 'polygons' END, 'corrupt', NULL, NULL, NULL, NULL, NULL, -1 FROM gt WHERE image_id % 5 = 0)""",
+    BOXES,
+)
+def labels_sniffed(spark, sf_dir):
+    """Label lines of boxes or of outlines, an image a file; those of every fifth image have a class out of range."""
+    sides = [F.col("x") / 4 + 0.25, F.col("y") / 4 + 0.25, F.col("w") / 4, F.col("h") / 4]
+    x1, y1, x2, y2 = geo.xywh_to_xyxy(*sides)
+    cls = F.when(F.col("image_id") % 5 == 0, 9).otherwise(F.col("cls")).cast("string")
+    words = lambda *v: F.concat_ws(" ", cls, *[c.cast("string") for c in v])
+    line = F.when(F.col("image_id") % 3 == 0, words(*sides)).otherwise(words(x1, y1, x2, y1, x2, y2, x1, y2))
+    found = labels.sniffed(views.truth(spark, sf_dir).select("image_id", line.alias("value")), views.N_CLASSES, by="image_id")
+    return found.select("image_id", "kind", "status", "cls", *"xywh", F.coalesce(F.size("points"), F.lit(-1)).alias("n"))
 
 
 # --- annotation JSON
@@ -137,13 +192,16 @@ def box_annotations(spark, sf_dir):
     return annotations.read_boxes(spark, path)
 
 
-@query("SELECT c AS category, CASE WHEN c NOT IN (12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91) THEN c - 1 - len(list_filter([12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91], lambda u: u < c)) END::INTEGER AS cls FROM (SELECT CAST(range AS INTEGER) AS c FROM range(1, 92))")
+@query(
+    """SELECT c AS category, CASE WHEN c NOT IN (12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91) THEN c - 1 - len(list_filter([12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91], lambda u: u < c)) END::INTEGER AS cls, count(*) AS n
+    FROM (SELECT CAST(p_partkey % 91 + 1 AS INTEGER) AS c FROM part) GROUP BY c"""
+)
 def class_id_maps(spark, sf_dir):
-    """Category ids to the 80 classes; the way back must give the id again."""
-    ids = spark.range(1, 92).select(F.col("id").cast("int").alias("category"))
+    """Category ids of parts to the 80 classes, counted; a row whose way back does not give its id is not."""
+    ids = views.table(spark, sf_dir, "part").select((F.col("p_partkey") % 91 + 1).cast("int").alias("category"))
     cls = annotations.compact_class(F.col("category"))
     back = F.coalesce(annotations.category_of(cls) == F.col("category"), F.lit(True))
-    return ids.where(back).select("category", cls.cast("int").alias("cls"))
+    return ids.where(back).groupBy("category", cls.cast("int").alias("cls")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -89,10 +89,12 @@ def perspective_moves(spark, sf_dir):
     return views.boxes(spark, sf_dir).select(*KEY, *_round(XYXY, geo.map_box(*box(), m)), *_round("kx ky", (kx, ky)), kv.alias("kv"))
 
 
-@query("SELECT layer, CAST(i AS INTEGER) AS i, (i % n + 0.5) / n AS x, (i // n + 0.5) / n AS y FROM (SELECT layer, n, unnest(range(n * n)) AS i FROM (VALUES (0, 8), (1, 4)) t(layer, n))")
+@query("SELECT image_id, layer, CAST(i AS INTEGER) AS i, (i % n + 0.5::DOUBLE) / n * (32 + image_id % 200) AS x, (i // n + 0.5::DOUBLE) / n * (40 + image_id % 120) AS y FROM (SELECT image_id, layer, n, unnest(range(n * n)) AS i FROM images, (VALUES (0, 4), (1, 2)) t(layer, n))", BOXES)
 def point_grids(spark, sf_dir):
-    grids = [spark.range(1).select(F.lit(layer).alias("layer"), F.posexplode(geo.grid_points(n)).alias("i", "p")) for layer, n in ((0, 8), (1, 4))]
-    return datasets.concatenated(grids).select("layer", "i", "p.x", "p.y")
+    """Grids of points over every image, coarser for the second layer."""
+    shapes = views.images(spark, sf_dir).select("image_id", (32 + F.col("image_id") % 200).alias("width"), (40 + F.col("image_id") % 120).alias("height"))
+    grids = [shapes.select("*", F.lit(layer).alias("layer"), F.posexplode(geo.grid_points(n)).alias("i", "p")) for layer, n in ((0, 4), (1, 2))]
+    return datasets.concatenated(grids).select("image_id", "layer", "i", (F.col("p.x") * F.col("width")).alias("x"), (F.col("p.y") * F.col("height")).alias("y"))
 
 
 @query(
@@ -393,8 +395,8 @@ def unknown_labels(spark, sf_dir):
 
 
 @query(
-    """SELECT shard, batch, count(*) AS n, min(ratio) AS least, max(ratio) AS most FROM (SELECT shard, ratio, CAST(floor((row_number() OVER (PARTITION BY shard ORDER BY ratio, image_id) - 1) / 8) AS BIGINT) AS batch FROM (
-    SELECT image_id, floor((('0x' || substr(md5('0 ' || image_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 16)::INTEGER AS shard, (40 + image_id % 120) / (32 + image_id % 200)::DOUBLE AS ratio FROM images)) GROUP BY ALL""",
+    """SELECT batch, count(*) AS n, min(ratio) AS least, max(ratio) AS most FROM (SELECT ratio, CAST(floor((row_number() OVER (ORDER BY ratio, u, image_id) - 1) / 8) AS BIGINT) AS batch FROM (
+    SELECT image_id, ('0x' || substr(md5('0 ' || image_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, (40 + image_id % 120) / (32 + image_id % 200)::DOUBLE AS ratio FROM images)) GROUP BY ALL""",
     BOXES,
 )
 def shape_batches(spark, sf_dir):

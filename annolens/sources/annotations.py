@@ -34,12 +34,23 @@ def category_of(cls: Column) -> Column:
 
 
 def _boxes(document: DataFrame) -> DataFrame:
-    """Images and their annotations of each document, joined within it: normalized boxes that are no crowd and have an area, in order."""
-    images = F.map_from_entries(F.transform("images", lambda i: F.struct(i["id"], i)))
-    a = document.select(images.alias("m"), F.posexplode("annotations").alias("at", "a")).select("at", "a", F.element_at("m", F.col("a.image_id")).alias("i"))
+    """Annotations of each document with their image: normalized boxes that are no crowd and have an area, in order.
+
+    Images and annotations are exploded together and meet by document and image id, so work is linear in a
+    document's length. Of several images of one id the last is taken; annotations of no image are left out.
+    """
+    types = {c: document.schema[c].dataType.elementType.simpleString() for c in ("images", "annotations")}
+    none = {c: F.lit(None).cast(t) for c, t in types.items()}
+    entry = lambda key, at, i, a: F.struct(key.alias("image_id"), at.alias("at"), i.alias("i"), a.alias("a"))
+    images = F.transform("images", lambda i, at: entry(i["id"], at, i, none["annotations"]))
+    boxes = F.transform("annotations", lambda a, at: entry(a["image_id"], at, none["images"], a))
+    entries = F.flatten(F.filter(F.array(images, boxes), lambda x: x.isNotNull()))
+    rows = document.select(F.monotonically_increasing_id().alias("document"), entries.alias("e")).select("document", F.explode("e").alias("e")).select("document", "e.*")
+    image = F.max_by("i", F.when(F.col("i").isNotNull(), F.col("at"))).over(Window.partitionBy("document", "image_id"))
+    met = rows.where(F.col("image_id").isNotNull()).withColumn("i", image)
     b = lambda k: F.get("a.bbox", F.lit(k))
-    shaped = a.where(F.col("i").isNotNull() & ~F.coalesce("a.iscrowd", F.lit(False))).select(
-        "at", F.col("a.image_id").alias("image_id"), "i.file_name", "i.caption", "a.category_id", "a.tokens_positive",
+    shaped = met.where(F.col("a").isNotNull() & F.col("i").isNotNull() & ~F.coalesce("a.iscrowd", F.lit(False))).select(
+        "at", "image_id", "i.file_name", "i.caption", "a.category_id", "a.tokens_positive",
         ((b(0) + b(2) / 2) / F.col("i.width")).alias("x"), ((b(1) + b(3) / 2) / F.col("i.height")).alias("y"), (b(2) / F.col("i.width")).alias("w"), (b(3) / F.col("i.height")).alias("h"),
     )
     return shaped.where("w > 0 AND h > 0")

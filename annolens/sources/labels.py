@@ -6,7 +6,7 @@ Writers make the lines as a column and leave files to Spark: one folder for each
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annolens.functions import strings
@@ -66,6 +66,44 @@ def five_fields(lines: DataFrame) -> DataFrame:
     return _rows(_fields(lines).where(F.size("f") == 5).withColumn("n", _numbers()), False)
 
 
+def sniffed(lines: DataFrame, n_classes: int, keypoints: tuple[int, int] | None = None, by: str = "path") -> DataFrame:
+    """Rows of label files of unknown kind: ``by``, kind, status, and cls, x, y, w, h, points of each distinct row of a sound file.
+
+    A file with a line of more than six fields holds polygons, given as points with the box around them, else boxes;
+    beside a polygon, four numbers are two points.
+    With ``keypoints`` (number, 2 or 3 values each) every line is a box and its points, which have v = 0 where
+    two values are given and one of them is below 0. One line of another length, a word that is no number, a
+    class that is not among ``n_classes``, or a value below -0.01 or a coordinate above 1.01 makes the whole file corrupt,
+    which then has one row without values.
+    """
+    whole = Window.partitionBy(by)
+    f = _fields(lines).where(F.size("f") > 0)
+    number = F.transform("f", lambda x: x.try_cast("double"))
+    f = f.withColumn("n", number).withColumn("polygons", F.max(F.size("f")).over(whole) > 6 if keypoints is None else F.lit(False))
+    size, cls = F.size("n"), F.get("n", F.lit(0))
+    values = F.slice("n", F.lit(2), F.greatest(size - 1, F.lit(0)))
+    if keypoints:
+        count, width = keypoints
+        fits, coordinates = size == 5 + count * width, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.slice(values, 5 + i * width, F.lit(2))))
+    else:
+        fits, coordinates = F.when(F.col("polygons"), (size >= 3) & (size % 2 == 1)).otherwise(size == 5), values
+    sound = fits & ~F.exists("n", lambda x: x.isNull()) & (cls >= 0) & (cls < n_classes) & ~F.exists("n", lambda x: x < -0.01) & ~F.exists(coordinates, lambda x: x > 1.01)
+    checked = f.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("status", F.when(F.min("ok").over(whole), "found").otherwise("corrupt"))
+    kind = F.lit("keypoints") if keypoints else F.when(F.col("polygons"), "polygons").otherwise("boxes")
+    none = F.lit(None).cast("array<struct<x: double, y: double, v: int>>")
+    if keypoints:
+        at = lambda i, k: F.get(values, 4 + i * width + k)
+        seen = lambda i: at(i, 2).cast("int") if width == 3 else F.when((at(i, 0) < 0) | (at(i, 1) < 0), 0).otherwise(1)
+        points = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(at(i, 0).alias("x"), at(i, 1).alias("y"), seen(i).alias("v")))
+        box = _box(F.slice(values, 1, 4))
+    else:
+        points = F.when(F.col("polygons"), F.transform(F.sequence(F.lit(0), ((size - 1) / 2).cast("int") - 1), lambda i: F.struct(F.get(values, 2 * i).alias("x"), F.get(values, 2 * i + 1).alias("y"), F.lit(1).alias("v")))).otherwise(none)
+        box = F.when(F.col("polygons"), _box(F.concat(values, values))).otherwise(_box(values))  # twice, so that two points are no box
+    held = checked.where("status = 'found'").select(by, kind.alias("kind"), "status", cls.cast("int").alias("cls"), box.alias("b"), points.alias("points")).select(by, "kind", "status", "cls", "b.*", "points").distinct()
+    empty = [F.lit(None).cast("int").alias("cls"), *[F.lit(None).cast("double").alias(c) for c in "xywh"], none.alias("points")]
+    return held.unionByName(checked.where("status = 'corrupt'").select(by, kind.alias("kind"), "status", *empty).distinct())
+
+
 def class_totals(lines: DataFrame) -> DataFrame:
     """(cls, n) over lines that are not blank; one that has not five fields ends the job."""
     held = _fields(lines).where(F.size("f") > 0)

@@ -34,11 +34,28 @@ def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-def prediction_records(found: DataFrame, file: Column, category: Column) -> DataFrame:
+def prediction_records(found: DataFrame, file: Column, category: Column, **more: Column) -> DataFrame:
     """image_id (whole-number stems as numbers), file_name, category_id, bbox (left, top, width, height to 3 decimals) and score (to 5)."""
     stem = F.regexp_extract(file, r"^(.*?)(?:\.[^.]*)?$", 1)
     sides = (F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    return found.select(strings.image_key(stem).alias("image_id"), file.alias("file_name"), category.alias("category_id"), F.array(*[F.bround(v, 3) for v in sides]).alias("bbox"), F.bround("conf", 5).alias("score"))
+    return found.select(strings.image_key(stem).alias("image_id"), file.alias("file_name"), category.alias("category_id"), F.array(*[F.bround(v, 3) for v in sides]).alias("bbox"), F.bround("conf", 5).alias("score"), *[c.alias(n) for n, c in more.items()])
+
+
+def keypoint_records(found: DataFrame, file: Column, category: Column, keypoints: Column) -> DataFrame:
+    """``prediction_records`` with ``keypoints``: x, y and visibility (or score) of every point of an array, one after another."""
+    flat = F.flatten(F.transform(keypoints, lambda k: F.array(k["x"], k["y"], k["v"].cast("double"))))
+    held = found.withColumn("__k", flat)
+    return prediction_records(held, file, category, keypoints=F.col("__k"))
+
+
+def rotated_records(found: DataFrame, file: Column, category: Column) -> DataFrame:
+    """image_id, file_name, category_id, score, rbox (x, y, w, h, angle) and poly (four corners) to 3 decimals, of rotated boxes (x, y, w, h, r)."""
+    from annolens.functions.geometry import rotated_corners
+
+    five = [F.col(c) for c in ("x", "y", "w", "h", "r")]
+    stem = F.regexp_extract(file, r"^(.*?)(?:\.[^.]*)?$", 1)
+    poly = F.flatten(F.transform(rotated_corners(*five), lambda p: F.array(F.bround(p["x"], 3), F.bround(p["y"], 3))))
+    return found.select(strings.image_key(stem).alias("image_id"), file.alias("file_name"), category.alias("category_id"), F.bround("conf", 5).alias("score"), F.array(*[F.bround(v, 3) for v in five]).alias("rbox"), poly.alias("poly"))
 
 
 def run_lengths(pixels: DataFrame, keys: list[str], at: str = "at", on: str = "on") -> DataFrame:
