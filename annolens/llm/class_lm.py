@@ -11,8 +11,9 @@ square root of the core words.
 Every other word of LEAST or more occurrences gets its class in Spark, by the exchange gain of its
 counts before and after each class to first order (one move of each word, against the classes of
 the core words); their number has no cap. Words seen less often share one more class, in which an
-unseen word counts as one more word. Class bigrams are counted where one side is a core word; those
-of two other words are taken in proportion to what each class gives and takes there.
+unseen word counts as one more word. Once every word has its class, the class bigrams of all tokens are
+counted, from the documents' classes in order, which scoring then uses too. Where more words are equally
+frequent than a number of words leaves room for, those of the least hashes are taken.
 
 A text's probability is the product of class transitions and words within classes, both smoothed.
 Scoring looks words up in the broadcast head of the vocabulary (HEAD words at most) and joins the
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import isqrt
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm._common import cut
+from annolens.llm._common import cut, remove, shared_dir
 
 CORE, HEAD, LEAST, MOST_CLASSES, ROUNDS, TOLERANCE, SMOOTH = 3000, 100_000, 3, 120, 30, 1e-4, 0.1
 FLUSH = 300_000
@@ -70,19 +71,33 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def reaching(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` words reach."""
-    kept, least = 0, 1 << 62
+def frequent(counts: DataFrame, most: int) -> tuple[int, int | None]:
+    """(n, hash): the ``most`` most frequent words are those with a larger count, and of those with that count the ones up to that hash; see ``among``."""
+    kept = 0
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # the most frequent levels only
-        if kept + r["count"] > most:
-            break
-        kept, least = kept + r["count"], r.n
-    return least
+        room, size = most - kept, r["count"]
+        if size > room:
+            if not room:
+                return r.n, None
+            share = min(1.0, (room + 6 * room**0.5 + 10) / size)
+            below = int(-(2**63) + share * (2**64 - 1))
+            h = F.xxhash64("word")
+            first = sorted(x.h for x in counts.where((F.col("n") == r.n) & (h <= max(min(below, 2**63 - 1), -(2**63)))).select(h.alias("h")).collect())  # about ``room``
+            return r.n, first[min(room, len(first)) - 1] if first else None
+        kept += size
+    return 0, None
+
+
+def among(edge: tuple[int, int | None]) -> Column:
+    """Whether a word (word, n) is one of ``frequent``."""
+    n, limit = edge
+    more = F.col("n") > n
+    return more if limit is None else more | ((F.col("n") == n) & (F.xxhash64("word") <= limit))
 
 
 def core_words(counts: DataFrame, most: int = CORE) -> tuple[list[bytes], np.ndarray]:
     """The most frequent words with their counts, END among them, and the count of all others last."""
-    top = sorted(((r.n, bytes(r.word)) for r in counts.where(F.col("n") >= reaching(counts, most)).collect()), key=lambda x: (-x[0], x[1]))
+    top = sorted(((r.n, bytes(r.word)) for r in counts.where(among(frequent(counts, most))).collect()), key=lambda x: (-x[0], x[1]))
     words, n = [w for _, w in top], [n for n, _ in top]
     if END not in words:
         words.append(END)
@@ -213,7 +228,7 @@ def contexts(docs: DataFrame, core, text_col: str = "text") -> DataFrame:
 
 
 def place_words(found: DataFrame, pair: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(word, n, class) of every word of ``contexts``, and with a null word (class, slot, n) sums, to be added up.
+    """(word, n, class) of every word of ``contexts``.
 
     The rows of a word follow one another, however many tasks sent it, and are added as they come.
     """
@@ -221,17 +236,14 @@ def place_words(found: DataFrame, pair: np.ndarray, least: int = LEAST) -> DataF
     width = 2 * (k + 1)
     logs = np.log(pair + SMOOTH)
     into, out_of = logs - np.log(pair.sum(0) + SMOOTH * (k + 1)), logs.T - np.log(pair.sum(1) + SMOOTH * (k + 1))
-    kinds = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32()), ("slot", pa.int32())])
+    kinds = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32())])
 
     def run(batches):
-        sums = np.zeros((k + 1, width), np.int64)
-
         def placed(words, dense):
             n = dense[:, : k + 1].sum(1)
             gain = dense[:, : k + 1] @ into + dense[:, k + 1 :] @ out_of
             classes = np.where(n >= least, np.argmax(gain[:, :k], 1), k)
-            np.add.at(sums, classes, dense.astype(np.int64))
-            return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), pa.array(classes.astype(np.int32)), pa.nulls(len(words), pa.int32())], schema=kinds)
+            return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), pa.array(classes.astype(np.int32))], schema=kinds)
 
         word, carried = None, np.zeros((1, width))
         for b in batches:
@@ -251,10 +263,8 @@ def place_words(found: DataFrame, pair: np.ndarray, least: int = LEAST) -> DataF
             word, carried = words[-1].as_py(), dense[-1:]
         if word is not None:
             yield placed(pa.array([word], pa.binary()), carried)
-        c, s = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.binary()), pa.array(sums[c, s]), pa.array(c.astype(np.int32)), pa.array(s.astype(np.int32))], schema=kinds)
 
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int, slot int")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
 
 
 @dataclass
@@ -264,12 +274,12 @@ class Model:
     at: dict[bytes, int]  # head word -> place in n and class_of
     n: np.ndarray
     class_of: np.ndarray
-    transition: np.ndarray  # log10
+    transition: np.ndarray | None  # log10
     within: np.ndarray  # log10 of what a word's count, plus one, is divided by in its class
     start: int  # class of END
     total: int
     distinct: int
-    least: int  # the head's least count
+    edge: tuple[int, int | None]  # of the head, for ``among``
     seen: list[float]
 
     @property
@@ -281,8 +291,8 @@ class Model:
         return len(self.within) - 1
 
 
-def train(docs: DataFrame, text_col: str = "text", core: int = CORE, head: int = HEAD, least: int = LEAST) -> tuple[Model, DataFrame]:
-    """The model and the written table (word, n, class) of all words outside the core, from all rows of ``docs``."""
+def classes_of_words(docs: DataFrame, text_col: str = "text", core: int = CORE, head: int = HEAD, least: int = LEAST) -> tuple[Model, DataFrame]:
+    """The model but for its transitions, and the written table (word, n, class) of all words outside the core, from all rows of ``docs``."""
     sc = docs.sparkSession.sparkContext
     counts = cut(word_counts(docs, text_col))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -292,30 +302,54 @@ def train(docs: DataFrame, text_col: str = "text", core: int = CORE, head: int =
     pairs = core_bigrams(docs, shared, text_col).toArrow()  # core words squared at most
     k = max(2, min(MOST_CLASSES, isqrt(len(words))))
     classes, pair, seen = exchange(*(pairs.column(c).to_numpy() for c in ("a", "b", "n")), n, k)
-    placed = cut(place_words(contexts(docs, sc.broadcast((at, end, classes, k)), text_col), pair, least))
-    lexicon = placed.where(F.col("word").isNotNull()).drop("slot")
-    sums = np.zeros((k + 1, 2 * (k + 1)))
-    for r in placed.where(F.col("word").isNull()).groupBy("class", "slot").agg(F.sum("n").alias("n")).collect():  # classes squared at most
-        sums[r["class"], r["slot"]] = r.n
-    before, after = sums[:, : k + 1], sums[:, k + 1 :]
-    joint = np.zeros((k + 1, k + 1))
-    joint[:k, :k] = pair[:k, :k]
-    joint[:k] += before[:, :k].T
-    joint[:, :k] += after[:, :k]
-    joint += np.outer(after[:, k], before[:, k]) / max(1.0, before[:, k].sum())
-    transition = np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * (k + 1)))
+    lexicon = cut(place_words(contexts(docs, sc.broadcast((at, end, classes, k)), text_col), pair, least))
     per_class = {r["class"]: (r.n, r.words) for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     mass = np.bincount(classes[:-1], n[:-1] + 1, k + 1) + [sum(per_class.get(c, (0, 0))) for c in range(k + 1)]
     mass[k] += 1  # an unseen word
-    limit = reaching(counts, head)
-    top = sorted((bytes(r.word), r.n, r["class"]) for r in lexicon.where(F.col("n") >= limit).collect())
+    edge = frequent(counts, head)
+    top = sorted((bytes(r.word), r.n, r["class"]) for r in lexicon.where(among(edge)).collect())
     place = {**at, **{w: len(at) + i for i, (w, _, _) in enumerate(top)}}
-    model = Model(place, np.array([*n[:-1], *(x[1] for x in top)]), np.array([*classes[:-1], *(x[2] for x in top)], np.uint8), transition, np.log10(np.maximum(mass, 1)), int(classes[end]), total, distinct, limit, seen)
+    model = Model(place, np.array([*n[:-1], *(x[1] for x in top)]), np.array([*classes[:-1], *(x[2] for x in top)], np.uint8), None, np.log10(np.maximum(mass, 1)), int(classes[end]), total, distinct, edge, seen)
     return model, lexicon
 
 
-def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, base_score and score of every row."""
+def train(docs: DataFrame, text_col: str = "text", core: int = CORE, head: int = HEAD, least: int = LEAST) -> tuple[Model, DataFrame]:
+    """The model and the written table (word, n, class) of all words outside the core, from all rows of ``docs``."""
+    model, lexicon = classes_of_words(docs, text_col, core, head, least)
+    rows = classed(docs.select(F.lit(0).alias("__id"), text_col), model, lexicon, "__id", text_col)
+    return replace(model, transition=transitions(rows, model)), lexicon
+
+
+def transitions(rows: DataFrame, model: Model) -> np.ndarray:
+    """Smoothed log10 of the class bigrams of ``rows`` of ``classed``, END before each document."""
+    return smoothed(class_bigrams(rows, model))
+
+
+def class_bigrams(rows: DataFrame, model: Model) -> np.ndarray:
+    """How often a class follows another in ``rows``, all tokens counted."""
+    size, start = model.rare + 1, model.start
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            for classes in b.column(0):
+                cls = np.frombuffer(classes.as_buffer(), np.uint8).astype(np.int64)
+                total += np.bincount(np.concatenate([[start], cls[:-1]]) * size + cls, minlength=size * size)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    counted = np.zeros(size * size)
+    for r in rows.select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+        counted[r.cell] = r.n
+    return counted.reshape(size, size)
+
+
+def smoothed(joint: np.ndarray) -> np.ndarray:
+    return np.log10((joint + SMOOTH) / (joint.sum(1, keepdims=True) + SMOOTH * len(joint)))
+
+
+def classed(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, n_known, base_score, emitted (log10 of the words within their classes) and classes (a byte a token) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
 
@@ -344,18 +378,19 @@ def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_
             types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()] * 2 + [pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types))], names=[id_col, *rows])
 
-    def summed(batches):
+    def resolved(batches):
         m = shared.value
         for b in batches:
-            cols = {name: b.column(name).to_pylist() for name in ("n_tokens", "in_head", "base", "model", "classes", "places", "found")}
-            known, base, total = [], [], []
-            for tokens_, in_head, b_, m_, classes, places, found in zip(*cols.values()):
-                cls, place = np.frombuffer(classes, np.uint8).copy(), np.frombuffer(places, "<u4")
+            cols = {name: b.column(name).to_pylist() for name in ("in_head", "base", "model", "classes", "places", "found")}
+            known, base, emitted, whole = [], [], [], []
+            for in_head, b_, m_, classes, places, found in zip(*cols.values()):
+                cls, place = np.frombuffer(classes, np.uint8), np.frombuffer(places, "<u4")
                 if len(place):
                     size = int(place.max()) + 1
                     n, of = np.zeros(size), np.full(size, m.rare)
                     for f in found or ():
                         n[f["at"]], of[f["at"]] = f["n"], f["class"]
+                    cls = cls.copy()
                     cls[cls == ELSEWHERE] = of[place]
                     logs = np.log10(n + 1)
                     in_head += int((n[place] > 0).sum())
@@ -363,15 +398,51 @@ def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_
                     m_ += float((logs - m.within[of])[place].sum())
                 known.append(in_head)
                 base.append(b_)
-                total.append(m_ + float(m.transition[np.concatenate([[m.start], cls[:-1]]), cls].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())], names=[id_col, "n_tokens", "n_known", "base_score", "score"])
-
-    held = cut(docs.select(id_col, text_col).mapInArrow(looked_up, f"`{id_col}` {kind.simpleString()}, row long, n_tokens long, in_head long, base double, model double, classes binary, places binary, rest array<binary>"))
+                emitted.append(m_)
+                whole.append(cls.tobytes())
+            made = [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(emitted, pa.float64()), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("n_tokens"), *made], names=[id_col, "n_tokens", "n_known", "base_score", "emitted", "classes"])
+
+    spark = docs.sparkSession
+    first, joined = shared_dir(spark), shared_dir(spark)
+    held = cut(docs.select(id_col, text_col).mapInArrow(looked_up, f"`{id_col}` {kind.simpleString()}, row long, n_tokens long, in_head long, base double, model double, classes binary, places binary, rest array<binary>"), first)
     rest = held.select("row", F.posexplode("rest").alias("at", "word"))
-    tail = lexicon.where(F.col("n") < model.least)
+    tail = lexicon.where(~among(model.edge))
     found = rest.join(tail, "word").groupBy("row").agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))  # a document's own words
-    joined = held.drop("rest").join(found, "row", "left").drop("row")
-    return joined.mapInArrow(summed, f"`{id_col}` {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    both = held.drop("rest").join(found, "row", "left").drop("row")
+    out = cut(both.mapInArrow(resolved, f"`{id_col}` {kind.simpleString()}, n_tokens long, n_known long, base_score double, emitted double, classes binary"), joined)
+    remove(spark, first)
+    return out
+
+
+def scored(rows: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens, n_known, base_score and score of ``rows`` of ``classed``."""
+    start, transition = model.start, model.transition
+    names = [id_col, "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches):
+        for b in batches:
+            total = []
+            for emitted, classes in zip(b.column(4).to_pylist(), b.column(5)):
+                cls = np.frombuffer(classes.as_buffer(), np.uint8)
+                total.append(emitted + float(transition[np.concatenate([[start], cls[:-1]]), cls].sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(total, pa.float64())], names=names)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, "n_tokens", "n_known", "base_score", "emitted", "classes").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: Model, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, n_known, base_score and score of every row."""
+    return scored(classed(docs, model, lexicon, id_col, text_col), model, id_col)
+
+
+def train_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model learned from the rows where ``training`` (of the id) holds, and the scores of all rows, whose words are looked up once for both."""
+    model, lexicon = classes_of_words(docs.where(training), text_col)
+    rows = classed(docs, model, lexicon, id_col, text_col)
+    model = replace(model, transition=transitions(rows.where(training), model))
+    return model, scored(rows, model, id_col)
 
 
 def is_held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:

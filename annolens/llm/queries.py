@@ -49,8 +49,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = class_lm.train(docs.where(~class_lm.is_held_out(F.col("doc_id"))))
-    scored = class_lm.score(docs, model, counts)
+    model, scored = class_lm.train_and_score(docs, ~class_lm.is_held_out(F.col("doc_id")))
     return scored.select(
         "doc_id", class_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score",
     )
