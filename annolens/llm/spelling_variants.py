@@ -50,14 +50,32 @@ def prefixes(words: DataFrame) -> DataFrame:
     return ranked.select("word", "n", F.length("word").alias("size"), F.explode(F.slice("g", 1, PREFIX)).alias("g")).select("word", "n", "size", "g.gram", "g.at")
 
 
+def _intact(size: Column, at: Column, least: Column) -> Column:
+    """What an edit leaves of a word beside a bigram that it leaves, by the half of the side it is on; as hashes.
+
+    ``least`` is the length of the shorter word of a pair. An edit behind the bigram, which then has the same place ``at`` in both
+    words, leaves the part up to the bigram and one half of the rest; one before it leaves what the bigram begins
+    and one half of the start.
+    """
+    word, tail = F.col("word"), size - at + 1
+    behind, place = least - at - 1, least - tail + 1
+    half = lambda x: F.floor(x / 2).cast("int")
+    key = lambda kind, where, *parts: F.xxhash64(F.lit(kind), least, where, *parts)
+    after = F.array(key(1, at, F.left(word, at + 1 + half(behind))), key(2, at, F.left(word, at + 1), F.right(word, behind - half(behind))))
+    before = F.array(key(3, place, F.right(word, tail + half(place - 1))), key(4, place, F.left(word, place - 1 - half(place - 1)), F.right(word, tail)))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when(behind >= 0, after).otherwise(none), F.when(place >= 1, before).otherwise(none))
+
+
 def near(first: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n) of every two words at distance one, once, b the longer or else the later one; ``first`` is a written table of prefixes."""
-    a = first.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("size").alias("a_size"), "size", "gram", "at")
-    equal, same, next_ = F.struct("size", "at"), F.struct((F.col("size") - 1).alias("size"), "at"), F.struct((F.col("size") - 1).alias("size"), (F.col("at") - 1).alias("at"))
-    b = first.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("size").alias("b_size"), "gram", F.explode(F.array(equal, same, next_)).alias("k")).select("b", "b_n", "b_size", "gram", "k.size", "k.at")
+    size, at = F.col("size"), F.col("at")
+    keyed = lambda keys, name: first.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"), size.alias(f"{name}_size"), F.explode(keys).alias("key"))
+    a = keyed(_intact(size, at, size), "a")
+    b = keyed(F.concat(_intact(size, at, size), _intact(size, at, size - 1)), "b")
     apart = (F.col("b_size") > F.col("a_size")) | (F.col("a") < F.col("b"))
     close = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
-    return a.join(b, ["gram", "at", "size"]).where(apart & close).select("a", "a_n", "b", "b_n").distinct()
+    return a.join(b, "key").where(apart & close).select("a", "a_n", "b", "b_n").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
