@@ -114,14 +114,29 @@ def auction(edges: DataFrame, keys: list[str], finest: float = 1.0) -> DataFrame
     return sold.join(edges, [*keys, "a", "b"])
 
 
+def parted(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges`` with __part, the smallest a that pairs lead to: what is in different parts of a group has no pair in common.
+
+    Every round takes the smallest over each b, then over each a, until nothing changes.
+    """
+    now, changed = edges.withColumn("__part", F.col("a")), True
+    while changed:
+        b = F.min("__part").over(Window.partitionBy(*keys, "b"))
+        a = F.min("__b").over(Window.partitionBy(*keys, "a"))
+        step = written(now.withColumn("__b", b).withColumn("__a", a).withColumn("__new", F.col("__a") < F.col("__part")))
+        changed = not step.where("__new").isEmpty()
+        now = step.select(*edges.columns, F.col("__a").alias("__part"))
+    return now
+
+
 def assign(edges: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(keys, a, b, benefit): pairs of the largest total, nothing twice; ``benefit`` is a whole number, and only those above 0 count.
 
-    Groups with at most EXACT of b, or of a, go set by set; larger ones by auction, which is exact too as long
-    as benefits are whole (epsilon is below one over the group's size).
+    Groups fall into parts without pairs between them. Parts with at most EXACT of b, or of a, go set by set; larger
+    ones by auction, which is exact too as long as benefits are whole (epsilon is below one over the part's size).
     """
-    keys = list(keys)
-    edges = written(edges.where("benefit > 0").select(*keys, "a", "b", F.col("benefit").cast("long").alias("benefit")))
+    names, keys = list(keys), [*keys, "__part"]
+    edges = parted(edges.where("benefit > 0").select(*names, "a", "b", F.col("benefit").cast("long").alias("benefit")), names)
     sizes = edges.groupBy(*keys).agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
     dealt = written(edges.join(sizes, keys))
     few_b, few_a = F.col("nb") <= EXACT, F.col("na") <= EXACT
@@ -132,7 +147,7 @@ def assign(edges: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame
     widest = large.agg(F.max(F.col("na") + F.col("nb"))).first()[0]
     if widest:
         out = out.union(auction(large, keys, 0.9 / (2 * widest)).select(*keys, "a", "b", F.col("benefit").cast("long")))
-    return out
+    return out.drop("__part")
 
 
 def unmatched(rows: DataFrame, pairs: DataFrame, keys: tuple[str, ...], name: str, side: str) -> DataFrame:

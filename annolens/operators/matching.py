@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolens.functions.geometry import columns
-from annolens.functions.overlap import iou, overlaps
+from annolens.functions.overlap import iou, keypoint_similarity, overlaps
 
 CORNERS = "x1 y1 x2 y2"
 
@@ -28,6 +28,17 @@ def pairs(gt: DataFrame, pred: DataFrame, same_class: bool = True) -> DataFrame:
     return joined.withColumn("iou", iou(a, b))
 
 
+def keypoint_pairs(gt: DataFrame, pred: DataFrame, sigmas: list[float], least: float, share: float = 0.53, keypoints: str = "keypoints") -> DataFrame:
+    """Pairs of one image and class whose keypoints (arrays of x, y, v) are at least ``least`` alike, the likeness as their iou.
+
+    The truth's box (w, h) times ``share`` is the area that distances are measured by.
+    """
+    keys = ("image_id", "cls")
+    joined = named(gt, "g_", keys).join(named(pred, "p_", keys), list(keys))
+    alike = keypoint_similarity(F.col(f"g_{keypoints}"), F.col(f"p_{keypoints}"), sigmas, F.col("g_w") * F.col("g_h") * share)
+    return joined.withColumn("iou", F.round(alike, 9)).where(F.col("iou") >= least)
+
+
 def _first(df: DataFrame, by: list, order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 

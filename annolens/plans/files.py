@@ -292,6 +292,19 @@ def detection_summary(spark, sf_dir):
     return spark.read.schema(out.schema).json(path).select("image_id", "name", "class", "confidence", "box.*")
 
 
+@query(
+    """SELECT vec_id AS image_id, CAST(n AS INTEGER) AS rank, 'name ' || cls AS name, cls AS class, round_even(score, 5) AS confidence FROM (SELECT vec_id, cls, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS n FROM (
+    SELECT vec_id, CAST(i.range AS INTEGER) AS cls, embedding[i.range + 1]::DOUBLE AS score FROM embeddings, range(64) i)) WHERE n <= 5"""
+)
+def class_summaries(spark, sf_dir):
+    """The five best classes of every vector, its coordinates as scores, written as CSV with a byte order mark and read back."""
+    path = scratch(spark)
+    scores = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("cls", "s")).withColumn("score", F.col("s").cast("double")).drop("s")
+    out = reports.class_summary(scores, [f"name {i}" for i in range(64)])
+    reports.write_csv(out, path, mark=True)
+    return reports.read_csv(spark, path).select(*[F.col(f.name).cast(f.dataType) for f in out.schema])
+
+
 @query("SELECT image_id || '' AS image_id, image_id || '.jpg' AS file_name, cls + 1 AS category_id, [round_even(640 * x1 / 3, 3), round_even(480 * y1 / 7, 3), round_even(640 * x2 / 3 - 640 * x1 / 3, 3), round_even(480 * y2 / 7 - 480 * y1 / 7, 3)] AS bbox, round_even(conf, 5) AS score FROM pred", BOXES)
 def prediction_json(spark, sf_dir):
     path = scratch(spark)

@@ -518,6 +518,28 @@ def segment_metrics(spark, sf_dir):
     return _six(both[0].join(both[1]).withColumn("fitness", F.col("box_map") + F.col("mask_map")), "box_map", "mask_map", "fitness")
 
 
+_POSES = """z_gt AS (SELECT * FROM gt), z_pred AS (SELECT * FROM pred), z_pairs AS (SELECT g.image_id, g.cls AS g_cls, p.cls AS p_cls, g.det_id AS g_det_id, p.det_id AS p_det_id, p.conf AS p_conf,
+  round((exp(-(pow(g.x1 - p.x1, 2) + pow(g.y1 - p.y1, 2)) / (0.04 * (g.w * g.h * 0.53 + 1e-7) * 2)) + exp(-(pow(g.x2 - p.x2, 2) + pow(g.y2 - p.y2, 2)) / (0.16 * (g.w * g.h * 0.53 + 1e-7) * 2))) / (2 + 1e-7), 9) AS iou
+  FROM gt g JOIN pred p ON g.image_id = p.image_id AND g.cls = p.cls)"""
+
+
+@query(
+    "SELECT round(a, 6) AS box_map, round(b, 6) AS pose_map, round(a + b, 6) AS fitness FROM (SELECT (SELECT avg(ap) FROM ap) AS a, (SELECT avg(z_ap) FROM z_ap) AS b)",
+    BOXES, PAIRS, _STEPS10, MATCHED, _CURVE, _AP, _POSES, _masks(MATCHED), _masks(_CURVE), _masks(_AP),
+)
+def pose_metrics(spark, sf_dir):
+    """Box and pose metrics of the same detections, two corners as keypoints, and the sum that is their fitness."""
+    corners = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.lit(1).alias("v")) for i in (1, 2)])
+    gt, pred = (f(spark, sf_dir).withColumn("keypoints", corners) for f in (views.truth, views.predictions))
+    n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
+    both = []
+    for name, near in (("box_map", matching.pairs(gt, pred)), ("pose_map", matching.keypoint_pairs(gt, pred, [0.1, 0.2], metrics.STEPS[0]))):
+        matched = matching.match_validator(near, metrics.STEPS)
+        ap = metrics.average_precision(metrics.ranked(pred, matched, n_gt, metrics.STEPS), n_gt, metrics.STEPS)
+        both.append(ap.agg(F.avg("ap").alias(name)))
+    return _six(both[0].join(both[1]).withColumn("fitness", F.col("box_map") + F.col("pose_map")), "box_map", "pose_map", "fitness")
+
+
 @query(
     """SELECT image_id, status, CASE WHEN status = 'found' THEN n - d ELSE 0 END::BIGINT AS kept, d::BIGINT AS duplicates FROM (SELECT i.image_id, CASE WHEN i.image_id % 7 = 0 THEN 'missing' WHEN i.image_id % 7 = 1 OR n IS NULL THEN 'empty' WHEN bad THEN 'corrupt' ELSE 'found' END AS status, coalesce(n, 0) AS n, coalesce(d, 0) AS d
     FROM images i LEFT JOIN (SELECT image_id, count(*) AS n, count(*) - count(DISTINCT {'a': cls, 'b': x, 'c': y, 'd': w, 'e': h}) AS d, bool_or(greatest(x, y, w, h) > 0.8) AS bad FROM gt WHERE image_id % 7 > 1 AND det_id % 3 = 0 GROUP BY image_id) USING (image_id))""",

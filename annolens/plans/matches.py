@@ -204,36 +204,36 @@ def linear_assignment(spark, sf_dir):
     return found.join(views.truth(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("n_truth")), "image_id")
 
 
-# --- tracks over time: events of eight users as sightings of one stream, an hour a frame
+# --- tracks over time: users as objects in four streams, half a day a frame
 
 
 def _sightings(spark, sf_dir) -> DataFrame:
     t = views.table(spark, sf_dir, "events")
-    frame = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
-    return t.select((F.col("user_id") % 16).alias("stream"), frame.alias("frame"), F.col("user_id").alias("object"), F.timestamp_seconds(frame * 3600).alias("ts")).where("user_id IS NOT NULL").distinct()
+    frame = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 43200)
+    return t.select((F.col("user_id") % 4).alias("stream"), frame.alias("frame"), F.col("user_id").alias("object"), F.timestamp_seconds(frame * 43200).alias("ts")).where("user_id IS NOT NULL").distinct()
 
 
-_LIFE = """sightings AS (SELECT DISTINCT user_id % 16 AS stream, floor(epoch(ts) / 3600)::BIGINT AS frame, user_id AS object FROM events WHERE user_id IS NOT NULL),
+_LIFE = """sightings AS (SELECT DISTINCT user_id % 4 AS stream, floor(epoch(ts) / 43200)::BIGINT AS frame, user_id AS object FROM events WHERE user_id IS NOT NULL),
 gaps AS (SELECT *, frame - lag(frame) OVER (PARTITION BY stream, object ORDER BY frame) AS gap FROM sightings),
-seen AS (SELECT *, last_value(CASE WHEN gap IS NULL OR gap > 30 THEN frame END IGNORE NULLS) OVER (PARTITION BY stream, object ORDER BY frame) AS start FROM gaps),
+seen AS (SELECT *, last_value(CASE WHEN gap IS NULL OR gap > 10 THEN frame END IGNORE NULLS) OVER (PARTITION BY stream, object ORDER BY frame) AS start FROM gaps),
 named AS (SELECT *, dense_rank() OVER (PARTITION BY stream ORDER BY start, object) AS track_id FROM seen),
 ends AS (SELECT stream, max(frame) AS last FROM sightings GROUP BY stream),
 after AS (SELECT n.*, last, lead(frame) OVER (PARTITION BY stream, track_id ORDER BY frame) AS next FROM named n JOIN ends USING (stream)),
 changes AS (SELECT stream, frame, object, track_id, 'tracked' AS state, last FROM after WHERE frame = start OR gap > 1
   UNION ALL SELECT stream, frame + 1, object, track_id, 'lost', last FROM after WHERE next IS NULL OR next > frame + 1
-  UNION ALL SELECT stream, frame + 31, object, track_id, 'removed', last FROM after WHERE next IS NULL)"""
+  UNION ALL SELECT stream, frame + 11, object, track_id, 'removed', last FROM after WHERE next IS NULL)"""
 
 
 @query("SELECT stream, frame, object, track_id, state FROM changes WHERE frame <= last", _LIFE)
 def track_transitions(spark, sf_dir):
     """When tracks are found, lost and removed, with ids counted up by stream."""
-    return lifecycle.transitions(_sightings(spark, sf_dir), 30)
+    return lifecycle.transitions(_sightings(spark, sf_dir), 10)
 
 
 @query("SELECT stream, frame, object, track_id, state FROM changes c WHERE frame <= (SELECT max(frame) FROM sightings s WHERE s.stream = c.stream)", _LIFE)
 def streaming_track_transitions(spark, sf_dir):
     """The same from a stream, whose state holds live tracks only."""
-    return track_lifecycle.from_table(spark, _sightings(spark, sf_dir), 30)
+    return track_lifecycle.from_table(spark, _sightings(spark, sf_dir), 10)
 
 
 @query("SELECT cls, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM (SELECT event_type AS cls, value FROM events) GROUP BY cls")

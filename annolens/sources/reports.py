@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 from annolens.functions import strings
 
 
-def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
-    """CSV with a header of the columns in order; a report is small and goes to one file, a log grows by one file a call."""
-    rows.coalesce(1).write.mode("append" if append else "errorifexists").option("header", "true").csv(path)
+#: Fixed value: the mark that spreadsheet programs take as a sign of UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(rows: DataFrame, path: str, append: bool = False, mark: bool = False) -> None:
+    """CSV with a header of the columns in order; a report is small and goes to one file, a log grows by one file a call.
+
+    With ``mark`` the file begins with a byte order mark.
+    """
+    named = rows.withColumnRenamed(rows.columns[0], BYTE_ORDER_MARK + rows.columns[0]) if mark else rows
+    named.coalesce(1).write.mode("append" if append else "errorifexists").option("header", "true").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """A run log with the types its values suggest; None where there is none."""
     try:
-        return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+        read = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+        return read.withColumnRenamed(read.columns[0], read.columns[0].removeprefix(BYTE_ORDER_MARK)) if read.columns else read
     except AnalysisException:
         return None
 
@@ -30,6 +39,13 @@ def summary(found: DataFrame, names: list[str], width: float = 1, height: float
     return found.select("image_id", name.alias("name"), F.col("cls").alias("class"), F.bround("conf", digits).alias("confidence"), box.alias("box"))
 
 
+def class_summary(scores: DataFrame, names: list[str], k: int = 5, digits: int = 5) -> DataFrame:
+    """(image_id, rank, name, class, confidence): the ``k`` classes of largest score of each image (image_id, cls, score), ties by class."""
+    n = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "cls"))
+    name = F.get(F.array(*map(F.lit, names)), F.col("cls"))
+    return scores.withColumn("rank", n).where(F.col("rank") <= k).select("image_id", "rank", name.alias("name"), F.col("cls").alias("class"), F.bround("score", digits).alias("confidence"))
+
+
 def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 

@@ -50,16 +50,12 @@ class Lifecycle(StatefulProcessor):
         yield _table([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= ms)
-        for at in ready:
-            by_frame: dict[int, set[int]] = {}
-            for frame, obj in zip(*self.waiting.getValue((at,))):
-                by_frame.setdefault(frame, set()).add(obj)
-            self.waiting.removeKey((at,))
-            for frame in sorted(by_frame):
-                out += self._frame(frame, by_frame[frame])
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)  # timers go off in order of time
+        by_frame: dict[int, set[int]] = {}
+        for frame, obj in zip(*self.waiting.getValue(at)):
+            by_frame.setdefault(frame, set()).add(obj)
+        self.waiting.removeKey(at)
+        out = [row for frame in sorted(by_frame) for row in self._frame(frame, by_frame[frame])]
         yield _table([(int(key[0]), *r) for r in out])
 
     def _frame(self, frame: int, seen: set[int]) -> list[tuple]:

@@ -108,3 +108,15 @@ def test_pivots_give_the_same_neighbours_and_read_less(spark, tmp_path):
     assert compared.agg(F.avg("compared")).first()[0] < 0.25 * len(rows)
     few, _ = pivots.search(pivots.opened(spark, str(tmp_path / "index")), queries.limit(1), 5000)
     assert few.count() == 3000
+
+
+def test_a_report_may_begin_with_a_byte_order_mark(spark, tmp_path):
+    from annolens.sources import reports
+
+    rows = spark.createDataFrame([("spot", 3), ("splash", 4)], "name string, n int")
+    for mark in (True, False):
+        path = str(tmp_path / str(mark))
+        reports.write_csv(rows, path, mark=mark)
+        (file,) = [f for f in (tmp_path / str(mark)).iterdir() if f.suffix == ".csv"]
+        assert file.read_bytes().startswith(b"\xef\xbb\xbfname,n" if mark else b"name,n")
+        assert sorted(map(tuple, reports.read_csv(spark, path).select("name", "n").collect())) == [("splash", 4), ("spot", 3)]
