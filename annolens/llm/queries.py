@@ -111,7 +111,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op11_embedding_dedup": """WITH RECURSIVE vectors AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
 edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
 reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT vec_id, b FROM reached JOIN edges ON a = other),
 least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),

@@ -169,3 +169,15 @@ def test_odd_vectors_of_whitening(spark):
     assert {(r.whitened, r.identity_error, r.deviation) for r in whitening.whiten(same, whitening.fit(same), 8).collect()} == {(None, None, 0)}
     with pytest.raises(Exception, match="beyond"):
         whitening.fit(table(spark, [(1, [1e30, 1])]))
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    pairs = [*crowd(5, 200, [60, 20], [0.1, 0.3], d=8), (1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] + [1.0] * 7)]
+    table(spark, pairs).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    theirs = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({q.ORACLE_SQL['op11_embedding_dedup']})").fetchall()
+    mine = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in q.op11_embedding_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(mine) == sorted(theirs) and sum(r[1] for r in mine) > 1000
