@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from annolens.sources.folders import written
 
-EXACT = 7
+EXACT = 10
 TOGETHER = 4
 
 
