@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolens.functions.geometry import Box, flipped, xywh_to_xyxy, xyxy_to_xywh
 from annolens.functions.overlap import ioa
+from annolens.operators.grid import grid_pairs
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -103,11 +104,15 @@ def paired_donors(backgrounds: DataFrame, donors: DataFrame, seed: int = 0) -> D
     return b.join(F.broadcast(n)).withColumn("at", F.pmod(F.col("__r") - 1, F.col("n")) + 1).join(d, "at").select("image_id", "donor")
 
 
-def copy_donors(labels: DataFrame, share: float, most: float = 0.3) -> DataFrame:
-    """(image_id, det_id) of mirrored instances to paste: those that cover less than ``most`` of every instance, ``share`` of them from the least covering on."""
-    mirror = labels.select("image_id", F.col("det_id").alias("m"), *[c.alias(f"m_{n}") for c, n in zip(flipped(*(F.col(c) for c in CORNERS), width=F.lit(1.0)), CORNERS)])
-    pairs = mirror.join(labels, "image_id").withColumn("ioa", ioa(tuple(F.col(f"m_{n}") for n in CORNERS), tuple(F.col(n) for n in CORNERS)))
-    worst = pairs.groupBy("image_id", F.col("m").alias("det_id")).agg(F.max("ioa").alias("worst")).where(F.col("worst") < most)
+def copy_donors(labels: DataFrame, share: float, most: float = 0.3, cell: float = 0.25) -> DataFrame:
+    """(image_id, det_id) of mirrored instances to paste: those that cover less than ``most`` of every instance, ``share`` of them from the least covering on.
+
+    Mirrored and own instances meet in cells of side ``cell``, so only those that overlap are compared; others cover nothing.
+    """
+    sides = [c.alias(n) for c, n in zip(flipped(*(F.col(c) for c in CORNERS), width=F.lit(1.0)), CORNERS)]
+    near = grid_pairs(labels.select("image_id", "det_id", *sides), labels.select("image_id", *CORNERS), ["image_id"], cell)
+    cover = near.groupBy("image_id", F.col("a_det_id").alias("det_id")).agg(F.max(ioa(tuple(F.col(f"a_{n}") for n in CORNERS), tuple(F.col(f"b_{n}") for n in CORNERS))).alias("worst"))
+    worst = labels.select("image_id", "det_id").join(cover, ["image_id", "det_id"], "left").na.fill(0.0, ["worst"]).where(F.col("worst") < most)
     image = Window.partitionBy("image_id")
     ranked = worst.withColumns({"r": F.row_number().over(image.orderBy("worst", "det_id")), "n": F.count("*").over(image)})
     return ranked.where(F.col("r") <= F.bround(F.col("n") * share)).select("image_id", "det_id")

@@ -90,13 +90,18 @@ def match_greedy(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Data
 
 
 def best_overlap(boxes: DataFrame, others: DataFrame, same_class: bool = False) -> DataFrame:
-    """For every row of ``boxes``: best_iou and best_id among ``others`` of its image, ties to the largest id; 0 and -1 without any."""
+    """For every row of ``boxes`` (image_id, det_id): best_iou and best_id among the ``others`` that overlap it, ties to the largest id; 0 and -1 without any.
+
+    Only overlapping pairs leave the join; rows without one come back by a left join.
+    """
     keys = ["image_id", "cls"] if same_class else ["image_id"]
     o = named(others.select(*dict.fromkeys([*keys, "cls", "det_id", *CORNERS.split()])), "o_", tuple(keys))
-    joined = boxes.join(o, keys, "left")
-    value = F.when(F.col("o_det_id").isNotNull(), F.struct(iou(columns("", CORNERS), columns("o_", CORNERS)).alias("iou"), F.col("o_det_id").alias("id"), F.col("cls" if same_class else "o_cls").alias("cls")))
-    best = joined.groupBy(*boxes.columns).agg(F.max(value).alias("best"))
-    return best.select(*boxes.columns, F.coalesce("best.iou", F.lit(0.0)).alias("best_iou"), F.coalesce("best.id", F.lit(-1)).alias("best_id"), F.col("best.cls").alias("best_cls"))
+    mine, theirs = columns("", CORNERS), columns("o_", CORNERS)
+    near = boxes.select(*dict.fromkeys([*keys, "det_id", *CORNERS.split()])).join(o, keys).where(overlaps(mine, theirs))
+    value = F.struct(iou(mine, theirs).alias("iou"), F.col("o_det_id").alias("id"), F.col("cls" if same_class else "o_cls").alias("cls"))
+    best = near.groupBy("image_id", "det_id").agg(F.max(value).alias("best"))
+    found = boxes.join(best, ["image_id", "det_id"], "left")
+    return found.select(*boxes.columns, F.coalesce("best.iou", F.lit(0.0)).alias("best_iou"), F.coalesce("best.id", F.lit(-1)).alias("best_id"), F.col("best.cls").alias("best_cls"))
 
 
 def cause(missed: bool, threshold: float = 0.5, partial: float = 0.1) -> Column:
