@@ -84,12 +84,16 @@ def repetitions(angles: DataFrame, up: float = 145.0, down: float = 90.0, keys:
     return angles.withColumn("stage", stage).withColumn("before", before).groupBy(*keys).agg(F.sum(F.when((F.col("stage") == "down") & (F.col("before") == "up"), 1).otherwise(0)).alias("n"))
 
 
-def series(tracks: DataFrame, every: int = 30, keep: int = 45, by_class: bool = False) -> DataFrame:
-    """(frame[, cls], n) of every ``every``-th frame, the last ``keep`` of them."""
+def series(tracks: DataFrame, every: int = 30, keep: int = 45, by_class: bool = False, pad: bool = False) -> DataFrame:
+    """(frame[, cls], n) of every ``every``-th frame, the last ``keep`` of them; with ``pad`` a class has 0 in frames without it."""
     keys = ["frame", "cls"] if by_class else ["frame"]
     counted = tracks.where(F.col("frame") % every == 0).groupBy(*keys).agg(F.count("*").alias("n"))
     last = counted.select("frame").distinct().orderBy(F.desc("frame")).limit(keep)
-    return counted.join(F.broadcast(last), "frame", "left_semi")
+    shown = counted.join(F.broadcast(last), "frame", "left_semi")
+    if not (by_class and pad):
+        return shown
+    classes = shown.agg(F.collect_set("cls").alias("c"))  # one row of class names
+    return last.join(F.broadcast(classes)).select("frame", F.explode("c").alias("cls")).join(shown, keys, "left").na.fill(0, ["n"])
 
 
 def heat_grid(boxes: DataFrame, cell: int, radius: str = "r", gain: int = 2) -> DataFrame:

@@ -68,6 +68,16 @@ def series_by_frame(spark, sf_dir):
     return zones.series(views.tracks(spark, sf_dir), every=5, by_class=True)
 
 
+@query(
+    """SELECT f.frame, c.cls, coalesce(n, 0) AS n FROM (SELECT DISTINCT frame FROM shown) f CROSS JOIN (SELECT DISTINCT cls FROM shown) c LEFT JOIN (SELECT frame, cls, count(*) AS n FROM shown GROUP BY ALL) s ON s.frame = f.frame AND s.cls = c.cls""",
+    TRACKS,
+    "shown AS (SELECT frame, cls FROM tracks WHERE frame % 5 = 0 AND frame IN (SELECT DISTINCT frame FROM tracks WHERE frame % 5 = 0 ORDER BY frame DESC LIMIT 45))",
+)
+def series_padded(spark, sf_dir):
+    """The feature is the last 45 of every fifth frame, classes that a frame lacks at 0."""
+    return zones.series(views.tracks(spark, sf_dir), every=5, by_class=True, pad=True)
+
+
 @query(
     """SELECT gx, gy, count(*) * 2 AS heat FROM (SELECT x, y, gx, unnest(range(ceil((y - 24) / 16)::INTEGER, floor((y + 24) / 16)::INTEGER + 1)) AS gy FROM (
     SELECT x, y, unnest(range(ceil((x - 24) / 16)::INTEGER, floor((x + 24) / 16)::INTEGER + 1)) AS gx FROM tracks)) WHERE pow(gx * 16 - x, 2) + pow(gy * 16 - y, 2) <= 576 GROUP BY ALL""",
