@@ -45,6 +45,7 @@ SHINGLE = 5
 LOW, CELL_ROWS, BUCKETS = 32, 16, 64
 BAND, BANDS = 6, 68
 WORDS = 16
+FIRST_OF = 8  # one cell in so many is looked at first
 PARITY = [f"p{i}" for i in range(WORDS)]
 CELLED = ["cell", "node", "n", "root", *PARITY]
 _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(1 << 62, size=(BANDS, BAND), dtype=np.uint64) * 2 + 1
@@ -185,6 +186,15 @@ def _mixed(cells: DataFrame) -> DataFrame:
     return sizes.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("cell", F.col("m.root").alias("main"))
 
 
+def _in_mixed(cells: DataFrame) -> DataFrame:
+    """(node) of the nodes with a cell of more than one class; what some of its cells show of a node is not asked of the others."""
+    mixed = cut(_mixed(cells).select("cell"))
+    some = F.pmod(F.xxhash64("cell", "node"), F.lit(FIRST_OF)) == 0
+    found = cut(join_hot(cells.where(some), mixed, "cell", "left_semi").select("node").distinct())
+    rest = cut(cells.where(~some).join(found, "node", "left_anti"))
+    return found.union(join_hot(rest, mixed, "cell", "left_semi").select("node").distinct())
+
+
 def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of the nodes that have a near copy. ``names`` is the written table of ``named``."""
     nodes = cut(names.drop("text_key").dropDuplicates(["node"]).select("node", "n", "fp", "low"))
@@ -207,10 +217,10 @@ def links(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFram
     if crowd.isEmpty():
         return roots
     rooted = cut(crowd.join(roots, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root")))
-    placed = cut(join_hot(rooted, _mixed(rooted).select("cell"), "cell", "left_semi"))
+    placed = cut(_in_mixed(rooted))
     if placed.isEmpty():
         return roots
-    members = cut(placed.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")).join(sets.select("node", "shingles"), "node"))
+    members = cut(rooted.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")).join(placed, "node").join(sets.select("node", "shingles"), "node"))
     cells = cut(prefixes(members))
     counts = cut(cells.groupBy("cell").agg(F.count("*").alias("__n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi"))
     mixed = cut(join_hot(cells, counts.select("cell", F.col("__n").alias("rows")), "cell", counts=counts))
