@@ -6,33 +6,71 @@ in pixels; runs are image_id, det_id, px, y0, y1 (the pixels y0 to y1 - 1 of col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.functions.geometry import enclosing_box, let
-
-
-def _crossings(ring: Column, x: Column) -> Column:
-    """The heights at which the edges of a closed polygon cross the vertical line at ``x``, in order."""
-    n = F.size(ring)
-
-    def at(i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
-        return F.when((a["x"] > x) != (b["x"] > x), a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"]))
-
-    return F.array_sort(F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda y: y.isNotNull()))
+from annolens.operators import arrays
+from annolens.sources.folders import shipped
+
+#: Columns of pixels that ``owners`` looks at together, and the runs of one step of its arithmetic.
+STRIP, STEP_RUNS = 8, 200_000
+_RUN = "array<struct<px:bigint,y0:bigint,y1:bigint>>"
+
+
+def _crossed(points: pa.Array, width: int, height: int) -> pa.Array:
+    """The runs of each polygon: its edges' crossings with the middle of every column, in order, two by two."""
+    row, n, ring = arrays.flat(points)
+    x, y = arrays.doubles(ring, "x"), arrays.doubles(ring, "y")
+    first = np.cumsum(n) - n
+    after = np.arange(len(x)) + 1
+    last = first[n > 0] + n[n > 0] - 1
+    after[last] = first[n > 0]
+    bx, by = x[after] if len(x) else x, y[after] if len(x) else y
+    good = np.isfinite(x + y + bx + by) & (n[row] >= 3)
+    low, high = np.minimum(x, bx), np.maximum(x, bx)
+    a = np.clip(np.ceil(np.where(good, low, 0) - 0.5), 0, width).astype(np.int64)
+    b = np.clip(np.floor(np.where(good, high, -1) - 0.5), -1, width - 1).astype(np.int64)
+    many = np.where(good, np.maximum(b - a + 1, 0), 0)
+    edge = np.repeat(np.arange(len(x)), many)
+    px = np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many) + a[edge]
+    mid = px + 0.5
+    cuts = (x[edge] > mid) != (bx[edge] > mid)
+    edge, px, mid = edge[cuts], px[cuts], mid[cuts]
+    at = y[edge] + (mid - x[edge]) * (by[edge] - y[edge]) / (bx[edge] - x[edge])
+    order = np.lexsort((at, px, row[edge]))
+    of, px, at = row[edge][order], px[order], np.clip(np.ceil(at[order] - 0.5), 0, height).astype(np.int64)
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (px[1:] != px[:-1])
+    start = np.flatnonzero(new)
+    place = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+    i = np.flatnonzero((place[1:] % 2 == 1) & ~new[1:])  # the first of each two
+    i = i[at[i + 1] > at[i]]
+    return arrays.listed(of[i], len(points), px=px[i], y0=at[i], y1=at[i + 1])
+
+
+def masks(polygons: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, det_id, runs array of (px, y0, y1)) of every polygon within an image of ``width`` x ``height``; one row a mask, none for a mask without pixels.
+
+    Rows stay where they are: a table partitioned by image still is.
+    """
+    crossed = arrays.once(lambda points: _crossed(points, width, height), _RUN)
+    return shipped(polygons).select("image_id", "det_id", crossed("points").alias("runs")).where(F.size("runs") > 0)
+
+
+def each_run(masks: DataFrame) -> DataFrame:
+    return masks.select("image_id", "det_id", F.explode("runs").alias("r")).select("image_id", "det_id", "r.*")
+
+
+def gathered(runs: DataFrame) -> DataFrame:
+    """Runs as masks: one row for each image_id, det_id."""
+    return runs.groupBy("image_id", "det_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("px", "y0", "y1")])).alias("runs"))
 
 
 def column_runs(polygons: DataFrame, width: int, height: int) -> DataFrame:
     """Runs of every polygon within an image of ``width`` x ``height``; one of fewer than three points has none."""
-    x1, _, x2, _ = enclosing_box(F.col("points"))
-    first, last = F.greatest(F.ceil(x1 - 0.5), F.lit(0)), F.least(F.floor(x2 - 0.5), F.lit(width - 1))
-    columns = polygons.where(F.size("points") >= 3).withColumns({"__a": first, "__b": last}).where("__a <= __b")
-    each = columns.select("image_id", "det_id", "points", F.explode(F.sequence("__a", "__b")).alias("px"))
-    pixel = lambda y: F.least(F.greatest(F.ceil(y - 0.5), F.lit(0)), F.lit(height))
-    pairs = let(_crossings(F.col("points"), F.col("px") + 0.5), lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2).cast("int") - 1), lambda i: F.struct(pixel(F.get(c, 2 * i)).alias("y0"), pixel(F.get(c, 2 * i + 1)).alias("y1"))))
-    crossed = each.withColumn("runs", F.when(F.size(_crossings(F.col("points"), F.col("px") + 0.5)) > 1, pairs))
-    return crossed.select("image_id", "det_id", "px", F.explode("runs").alias("r")).select("image_id", "det_id", "px", "r.y0", "r.y1").where("y1 > y0")
+    return each_run(masks(polygons, width, height))
 
 
 def areas(runs: DataFrame) -> DataFrame:
@@ -40,46 +78,127 @@ def areas(runs: DataFrame) -> DataFrame:
     return runs.groupBy("image_id", "det_id").agg(F.sum(F.col("y1") - F.col("y0")).alias("area"))
 
 
+def _painted(items: pa.Array, det_type: pa.DataType) -> pa.Array:
+    """For each row of masks (area, det_id, runs): the runs that are seen, painted from the largest to the smallest."""
+    row, _, each = arrays.flat(items)
+    item, n, runs = arrays.flat(each.field("runs"))
+    area, det = arrays.longs(each, "area"), each.field("det_id")
+    px, y0, y1 = (arrays.longs(runs, c) for c in ("px", "y0", "y1"))
+    of = row[item]
+    rank = np.empty(len(row), np.int64)
+    rank[np.lexsort((arrays.order(det), -area))] = np.arange(len(row))
+    order = np.lexsort((px, of))
+    out = []
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (px[order][1:] != px[order][:-1])
+    start = np.flatnonzero(new)
+    for few in arrays.steps(start, len(order), STEP_RUNS):
+        out.append(_paint(order[few], of, px, y0, y1, item, rank))
+    who, of, px, low, high = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(5))
+    return arrays.listed(of, len(items), det_id=det.take(pa.array(who)).cast(det_type), px=px, y0=low, y1=high)
+
+
+def _paint(some, of, px, y0, y1, item, rank):
+    new = np.ones(len(some), bool)
+    new[1:] = (of[some][1:] != of[some][:-1]) | (px[some][1:] != px[some][:-1])
+    column = np.cumsum(new) - 1
+    ends = np.stack([np.concatenate([column, column]), np.concatenate([y0[some], y1[some]])])
+    at = np.lexsort((ends[1], ends[0]))
+    ends = ends[:, at]
+    fresh = np.ones(ends.shape[1], bool)
+    fresh[1:] = (ends[:, 1:] != ends[:, :-1]).any(axis=0)
+    number = np.empty(len(at), np.int64)
+    number[at] = np.cumsum(fresh) - 1
+    where, y = ends[:, fresh]
+    a, b = number[: len(some)], number[len(some) :]  # a run covers the spans a to b - 1 between ends of its column
+    turn = np.argsort(rank[item[some]], kind="stable")
+    many = (b - a)[turn]
+    spans = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a[turn], many)
+    owner = np.full(len(y), -1)
+    owner[spans] = np.repeat(item[some][turn], many)  # of equal places the last stands
+    seen = np.flatnonzero(owner >= 0)
+    first = some[np.flatnonzero(new)[where[seen]]]
+    return owner[seen], of[first], px[first], y[seen], y[seen + 1]
+
+
 def owners(runs: DataFrame) -> DataFrame:
-    """Runs in which each pixel belongs to the smallest of the polygons that cover it (ties: the larger det_id)."""
-    sized = runs.join(areas(runs), ["image_id", "det_id"])
-    column = sized.groupBy("image_id", "px").agg(F.collect_list(F.struct((-F.col("area")).alias("less"), "det_id", "y0", "y1")).alias("runs"))
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.array(r["y0"], r["y1"])))))
+    """Runs in which each pixel belongs to the smallest of the polygons that cover it (ties: the larger det_id).
+
+    ``runs`` may be masks. Masks meet by image and STRIP columns.
+    """
+    whole = shipped(runs) if "runs" in runs.columns else gathered(shipped(runs))
+    area = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["y1"] - r["y0"])
+    strip = lambda r: F.floor(r["px"] / STRIP)
+    parts = whole.withColumn("area", area).select("image_id", "det_id", "area", "runs", F.explode(F.array_distinct(F.transform("runs", strip))).alias("strip"))
+    parts = parts.select("image_id", "strip", F.struct("area", "det_id", F.filter("runs", lambda r: strip(r) == F.col("strip")).alias("runs")).alias("m"))
+    kind = whole.schema["det_id"].dataType
+    told = pa.int32() if kind.simpleString() == "int" else pa.string() if kind.simpleString() == "string" else pa.int64()
+    painted = arrays.once(lambda items: _painted(items, told), f"array<struct<det_id:{kind.simpleString()},px:bigint,y0:bigint,y1:bigint>>")
+    seen = parts.groupBy("image_id", "strip").agg(F.collect_list("m").alias("masks")).select("image_id", F.explode(painted("masks")).alias("s"))
+    return seen.select("image_id", "s.*")
+
+
+def _counted(runs: pa.Array, width: int, height: int) -> pa.Array:
+    row, n, each = arrays.flat(runs)
+    px, y0, y1 = (arrays.longs(each, c) for c in ("px", "y0", "y1"))
+    # the whole masks one after another: touching and overlapping runs are one
+    base = row * (width * height + 2)
+    a, b = base + px * height + y0, base + px * height + y1
+    order = np.argsort(a, kind="stable")
+    a, b, row = a[order], b[order], row[order]
+    far = np.maximum.accumulate(b) if len(b) else b
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > far[:-1]
+    start = np.flatnonzero(new)
+    low, of = a[start], row[start]
+    high = far[np.append(start[1:], len(a)) - 1] if len(a) else far
+    low, high = low - of * (width * height + 2), high - of * (width * height + 2)
+    last = np.ones(len(of), bool)
+    last[:-1] = of[1:] != of[:-1]
+    before = np.where(np.append(True, last[:-1]) if len(of) else last, 0, np.append(0, high[:-1]) if len(of) else high)
+    rest = np.where(last, width * height - high, 0)
+    values = np.stack([low - before, high - low, rest], axis=1).ravel() if len(of) else np.empty(0, np.int64)
+    keep = np.stack([np.ones(len(of), bool), np.ones(len(of), bool), rest > 0], axis=1).ravel() if len(of) else np.empty(0, bool)
+    return arrays.listed(np.repeat(of, 3)[keep], len(runs), values[keep])
 
-    def spans(e: Column) -> Column:
-        def one(i: Column) -> Column:
-            low, high = F.get(e, i), F.get(e, i + 1)
-            over = F.filter("runs", lambda r: (r["y0"] <= low) & (r["y1"] >= high))
-            return F.struct(F.array_max(over)["det_id"].alias("det_id"), low.alias("y0"), high.alias("y1"))
 
-        return F.transform(F.sequence(F.lit(0), F.size(e) - 2), one)
+def run_counts(runs: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, det_id, counts): lengths of alternating runs, column after column, the first of pixels outside, as mask records have them. ``runs`` may be masks."""
+    whole = shipped(runs) if "runs" in runs.columns else gathered(shipped(runs))
+    counted = arrays.once(lambda r: _counted(r, width, height), "array<bigint>")
+    return whole.select("image_id", "det_id", counted("runs").alias("counts"))
 
-    each = column.select("image_id", "px", F.explode(let(edges, spans)).alias("s")).select("image_id", "s.det_id", "px", "s.y0", "s.y1")
-    return each.where(F.col("det_id").isNotNull())
 
+def _cut(counts: pa.Array, height: int) -> pa.Array:
+    row, n, each = arrays.flat(counts)
+    value = arrays.longs(each)
+    end = np.cumsum(value)
+    end -= np.repeat((end - value)[np.cumsum(n)[n > 0] - n[n > 0]], n[n > 0])
+    odd = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) % 2 == 1
+    at = odd & (value > 0)
+    of, b, a = row[at], end[at], (end - value)[at]
+    first, many = a // height, (b - 1) // height - a // height + 1
+    i = np.repeat(np.arange(len(of)), many)
+    px = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + first[i]
+    return arrays.listed(of[i], len(counts), px=px, y0=np.maximum(a[i], px * height) - px * height, y1=np.minimum(b[i], (px + 1) * height) - px * height)
 
-def run_counts(runs: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, det_id, counts): lengths of alternating runs, column after column, the first of pixels outside, as mask records have them."""
-    start, end = F.col("px") * height + F.col("y0"), F.col("px") * height + F.col("y1")
-    flat = runs.select("image_id", "det_id", start.cast("long").alias("a"), end.cast("long").alias("b"))
-    w = Window.partitionBy("image_id", "det_id").orderBy("a")
-    far = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    parts = flat.withColumn("new", (F.col("a") > far).cast("int")).withColumn("part", F.sum("new").over(w))
-    whole = parts.groupBy("image_id", "det_id", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    held = whole.groupBy("image_id", "det_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda r: F.array(r["a"], r["b"]))).alias("e"))
-    edges = F.concat(F.array(F.lit(0).cast("long")), F.col("e"), F.array(F.lit(width * height).cast("long")))
-    counts = let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.get(e, i) - F.get(e, i - 1)))
-    return held.select("image_id", "det_id", F.when(F.get(F.reverse(counts), F.lit(0)) == 0, F.slice(counts, F.lit(1), F.size(counts) - 1)).otherwise(counts).alias("counts"))
+
+def masks_of(records: DataFrame, height: int) -> DataFrame:
+    """Masks given as ``counts`` (image_id, det_id, counts), their runs cut at the ends of columns."""
+    cut = arrays.once(lambda counts: _cut(counts, height), _RUN)
+    return shipped(records).select("image_id", "det_id", cut("counts").alias("runs")).where(F.size("runs") > 0)
 
 
 def runs_of(records: DataFrame, height: int) -> DataFrame:
     """Runs of masks given as ``counts`` (image_id, det_id, counts), cut at the ends of columns."""
-    ends = F.transform(F.sequence(F.lit(1), F.size("counts")), lambda i: F.aggregate(F.slice("counts", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x))
-    spans = let(ends, lambda e: F.transform(F.filter(F.sequence(F.lit(1), F.size(e) - 1), lambda i: i % 2 == 1), lambda i: F.struct(F.get(e, i - 1).alias("a"), F.get(e, i).alias("b"))))
-    each = records.where(F.size("counts") > 1).select("image_id", "det_id", F.explode(spans).alias("s")).select("image_id", "det_id", "s.a", "s.b").where("b > a")
-    px = each.withColumn("px", F.explode(F.sequence(F.floor(F.col("a") / height), F.floor((F.col("b") - 1) / height))))
-    low, high = F.greatest("a", F.col("px") * height) - F.col("px") * height, F.least("b", (F.col("px") + 1) * height) - F.col("px") * height
-    return px.select("image_id", "det_id", "px", low.alias("y0"), high.alias("y1"))
+    return each_run(masks_of(records, height))
+
+
+def measured(masks: DataFrame) -> DataFrame:
+    """(image_id, det_id, area, x1, y1, x2, y2) of each mask: its pixels and the box around them."""
+    end = lambda c, f: f(F.transform("runs", lambda r: r[c]))
+    area = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["y1"] - r["y0"])
+    return masks.select("image_id", "det_id", area.alias("area"), end("px", F.array_min).alias("x1"), end("y0", F.array_min).alias("y1"), (end("px", F.array_max) + 1).alias("x2"), end("y1", F.array_max).alias("y2"))
 
 
 def boxes(runs: DataFrame) -> DataFrame:

@@ -247,9 +247,9 @@ def streaming_metrics_log(spark, sf_dir):
 # --- rasters: rotated boxes in an image of 64 x 48
 
 
-def _runs(spark, sf_dir) -> DataFrame:
+def _masks(spark, sf_dir) -> DataFrame:
     small = F.transform("points", lambda p: geo.point(p["x"] / 10, p["y"] / 10))
-    return raster.column_runs(_rotated(spark, sf_dir).select("image_id", "det_id", small.alias("points")), 64, 48)
+    return raster.masks(_rotated(spark, sf_dir).select("image_id", "det_id", small.alias("points")), 64, 48)
 
 
 _RUNS = """lines AS (SELECT image_id, det_id, p, unnest(range(greatest(ceil(list_min([q.x FOR q IN p]) - 0.5), 0)::BIGINT, least(floor(list_max([q.x FOR q IN p]) - 0.5), 63)::BIGINT + 1)) AS px
@@ -262,8 +262,7 @@ held AS (SELECT * FROM runs WHERE y1 > y0), sizes AS (SELECT image_id, det_id, s
 @query("SELECT s.image_id, s.det_id, area, min(px) AS x1, min(y0) AS y1, max(px) + 1 AS x2, max(y1) AS y2 FROM held h JOIN sizes s ON s.image_id = h.image_id AND s.det_id = h.det_id GROUP BY ALL", BOXES, _CORNERS, _RUNS)
 def polygon_masks(spark, sf_dir):
     """Pixels of every rotated box, through run lengths and back: area and enclosing box."""
-    runs = raster.runs_of(raster.run_counts(_runs(spark, sf_dir), 64, 48), 48)
-    return raster.areas(runs).join(raster.boxes(runs), ["image_id", "det_id"])
+    return raster.measured(raster.masks_of(raster.run_counts(_masks(spark, sf_dir), 64, 48), 48))
 
 
 @query(
@@ -275,7 +274,7 @@ def polygon_masks(spark, sf_dir):
 )
 def overlap_masks(spark, sf_dir):
     """Pixels that each rotated box owns where the smallest on top hides the larger."""
-    owned = raster.owners(_runs(spark, sf_dir))
+    owned = raster.owners(_masks(spark, sf_dir))
     return owned.groupBy("image_id", "det_id").agg(F.sum(F.col("y1") - F.col("y0")).alias("pixels"))
 
 
