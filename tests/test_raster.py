@@ -83,3 +83,21 @@ def test_no_polygons(spark):
     runs = raster.column_runs(table(spark, []), W, H)
     assert runs.count() == raster.owners(runs).count() == raster.run_counts(runs, W, H).count() == 0
     assert raster.runs_of(spark.createDataFrame([(1, 1, [W * H])], "image_id long, det_id long, counts array<long>"), H).count() == 0
+
+
+def test_owners_look_at_each_mask_once(spark, monkeypatch):
+    monkeypatch.setattr(raster, "STEP_RUNS", 5)
+    shapes_ = table(spark, shapes(7, 40))
+    owned = raster.owners(raster.masks(shapes_, W, H))
+    assert covered(owned) == covered(raster.owners(raster.column_runs(shapes_, W, H)))
+    plan = owned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_masks_are_measured_without_shuffles(spark):
+    masks = raster.masks(table(spark, shapes(8)), W, H)
+    back = raster.measured(raster.masks_of(raster.run_counts(masks, W, H), H))
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    runs = raster.column_runs(table(spark, shapes(8)), W, H)
+    wanted = raster.areas(runs).join(raster.boxes(runs), ["image_id", "det_id"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wanted.collect()))
