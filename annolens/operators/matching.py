@@ -54,6 +54,23 @@ def match_validator(found: DataFrame, thresholds: list[float]) -> DataFrame:
     return _first(best, ["image_id", "threshold", "g_det_id"], rank)
 
 
+def match_marks(found: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The pairs of ``match_validator`` at any threshold, once each: image_id, cls, p_det_id, g_det_id, marks (bit i is set if the pair is matched at the i-th threshold).
+
+    A prediction's best truth is the same at every threshold that it reaches; a truth goes to the
+    first of its predictions that reaches the threshold, so to those beyond all before them.
+    """
+    if len(thresholds) > 63:
+        raise ValueError("more than 63 thresholds")
+    one = F.struct("iou", "g_det_id", "cls", "p_conf")
+    best = found.where(F.col("iou") >= min(thresholds)).groupBy("image_id", "p_det_id").agg(F.max(one).alias("b")).select("image_id", "p_det_id", "b.*")
+    ahead = Window.partitionBy("image_id", "g_det_id").orderBy(F.desc("p_conf"), F.asc("p_det_id")).rowsBetween(Window.unboundedPreceding, -1)
+    before = best.withColumn("before", F.coalesce(F.max("iou").over(ahead), F.lit(float("-inf"))))
+    bits = [F.when((F.col("before") < t) & (F.col("iou") >= t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(thresholds)]
+    marked = before.select("image_id", "cls", "p_det_id", "g_det_id", sum(bits[1:], bits[0]).alias("marks"))
+    return marked.where("marks <> 0")
+
+
 def match_confusion(found: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Class-agnostic pairs above ``threshold``: each prediction keeps its best truth, then each truth its best prediction."""
     close = found.where(F.col("iou") > threshold)

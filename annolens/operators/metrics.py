@@ -104,6 +104,49 @@ def average_precision(curve: DataFrame, n_gt: DataFrame, thresholds: list[float]
     return full.join(area, keys, "left").na.fill(0.0, ["ap"])
 
 
+def ranges_of(df: DataFrame, ranges: int, column: str = "conf") -> Column:
+    """The number of a row's range among about ``ranges`` equal ones, the largest values first."""
+    edges = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col(column))) if edges else F.lit(0)
+
+
+def summed_up(rows: DataFrame, sums: dict[str, Column], keys: list[str], order: list) -> DataFrame:
+    """``rows`` with running totals (columns ``sums``, of whole numbers) in ``order`` within ``keys``; ``part`` numbers ranges that follow one another, each summed by itself."""
+    ahead = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    whole = rows.groupBy(*keys, "part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = whole.select(*keys, "part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_0") for n in sums])
+    w = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = rows.select(*rows.columns, *[F.sum(c).over(w).alias(f"{n}_1") for n, c in sums.items()])
+    both = runs.join(F.broadcast(before), [*keys, "part"])
+    return both.select(*rows.columns, *[(F.col(f"{n}_0") + F.col(f"{n}_1")).alias(n) for n in sums])
+
+
+def average_precision_of(pred: DataFrame, marks: DataFrame, n_gt: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``average_precision`` of the curve ``ranked``, from ``matching.match_marks``, with one row a prediction instead of one for each threshold.
+
+    Precision falls between hits, so the envelope at a recall is the largest precision of the hits beyond
+    it: of each class and threshold at most 101 of them are kept.
+    """
+    keys = ["cls", "threshold"]
+    hits = marks.select("image_id", "cls", F.col("p_det_id").alias("det_id"), "marks")
+    flagged = pred.select("image_id", "cls", "det_id", "conf").join(hits, ["image_id", "cls", "det_id"], "left").na.fill(0, ["marks"])
+    flagged = written(flagged)
+    flagged = flagged.withColumn("part", ranges_of(flagged, RANGES))
+    bit = lambda i: F.shiftright("marks", i).bitwiseAND(F.lit(1).cast("long"))
+    sums = {"k": F.lit(1), **{f"t{i}": bit(i) for i in range(len(thresholds))}}
+    runs = summed_up(flagged, sums, ["cls"], [F.desc("conf"), "image_id", "det_id"]).where("marks <> 0")
+    steps = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("tpc"), bit(i).alias("hit")) for i, t in enumerate(thresholds)])
+    points = runs.select("cls", "k", F.explode(steps).alias("s")).where("s.hit = 1").join(F.broadcast(n_gt), "cls")
+    reached = F.ceil(F.round(F.col("s.tpc") / (F.col("n") + F.lit(1e-16)) * 100, 9)) - 1
+    tops = points.groupBy("cls", "s.threshold", F.least(reached, F.lit(100)).alias("g")).agg(F.max(F.col("s.tpc") / F.col("k")).alias("p"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.when(F.col("g") < 0, 0.0).when(F.col("g") >= 100, 1.0).otherwise(F.col("g") * 0.01 + 0.005)
+    spans = tops.withColumn("w", weight).select(*keys, F.max("p").over(later).alias("p"), (F.col("w") - F.coalesce(F.lag("w").over(Window.partitionBy(*keys).orderBy("g")), F.lit(0.0))).alias("w"))
+    area = spans.groupBy(*keys).agg(F.sum(F.col("p") * F.col("w")).alias("ap"))
+    full = n_gt.select("cls", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    return full.join(area, keys, "left").na.fill(0.0, ["ap"])
+
+
 def mean_ap(ap: DataFrame) -> DataFrame:
     """map50, map75, map50_95 over classes."""
     at = lambda t: F.avg(F.when(F.col("threshold") == t, F.col("ap")))

@@ -518,10 +518,15 @@ def _curve(spark, sf_dir, thresholds) -> tuple[DataFrame, DataFrame]:
     return metrics.ranked(pred, matched, n_gt, thresholds), n_gt
 
 
+def _ap(spark, sf_dir) -> DataFrame:
+    gt, pred = views.truth(spark, sf_dir), views.predictions(spark, sf_dir)
+    n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
+    return metrics.average_precision_of(pred, matching.match_marks(matching.pairs(gt, pred), metrics.STEPS), n_gt, metrics.STEPS)
+
+
 @query("SELECT cls, t AS threshold, round(ap, 6) AS ap FROM ap", BOXES, PAIRS, _STEPS10, MATCHED, _CURVE, _AP)
 def average_precision(spark, sf_dir):
-    curve, n_gt = _curve(spark, sf_dir, metrics.STEPS)
-    return _six(metrics.average_precision(curve, n_gt, metrics.STEPS), "ap")
+    return _six(_ap(spark, sf_dir), "ap")
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -530,8 +535,7 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 @query("SELECT round(avg(ap) FILTER (t = 0.5), 6) AS map50, round(avg(ap) FILTER (t = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM ap", BOXES, PAIRS, _STEPS10, MATCHED, _CURVE, _AP)
 def map_summary(spark, sf_dir):
-    curve, n_gt = _curve(spark, sf_dir, metrics.STEPS)
-    return _six(metrics.mean_ap(metrics.average_precision(curve, n_gt, metrics.STEPS)), "map50", "map75", "map50_95")
+    return _six(metrics.mean_ap(_ap(spark, sf_dir)), "map50", "map75", "map50_95")
 
 
 @query("SELECT cls, k, conf, round(recall, 9) AS recall, round(precision, 9) AS precision FROM curve", BOXES, PAIRS, _STEP, MATCHED, _CURVE)

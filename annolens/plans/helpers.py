@@ -10,7 +10,7 @@ from annolens.functions import geometry as geo
 from annolens.functions import overlap, strings
 from annolens.operators import datasets, matching, metrics, runlog, similarity, suppression, zones
 from annolens.plans import views
-from annolens.plans.boxes import _AP, _CURVE, _NMS, _STEPS10, KEY, XYWH, XYXY, _curve, _six, box
+from annolens.plans.boxes import _AP, _CURVE, _NMS, _STEPS10, KEY, XYWH, XYXY, _ap, _six, box
 from annolens.plans.corpora import _U
 from annolens.plans.tracks import _LOG, _PREV, ZONE, _log
 from annolens.plans.views import BOXES, MATCHED, PAIRS, TRACKS, registry
@@ -299,9 +299,7 @@ def anchor_candidates(spark, sf_dir):
 @query("SELECT cls, round(coalesce(m, (SELECT avg(ap) FROM ap)), 6) AS map FROM (SELECT CAST(range AS INTEGER) AS cls FROM range(5)) LEFT JOIN (SELECT cls, avg(ap) AS m FROM ap GROUP BY cls) USING (cls)", BOXES, PAIRS, _STEPS10, MATCHED, _CURVE, _AP)
 def class_maps(spark, sf_dir):
     """Mean average precision by class; a fifth class without labels has the mean of all."""
-    curve, n_gt = _curve(spark, sf_dir, metrics.STEPS)
-    ap = metrics.average_precision(curve, n_gt, metrics.STEPS)
-    return _six(metrics.class_maps(ap, spark.range(5).select(F.col("id").cast("int").alias("cls"))), "map")
+    return _six(metrics.class_maps(_ap(spark, sf_dir), spark.range(5).select(F.col("id").cast("int").alias("cls"))), "map")
 
 
 @query("SELECT image_id, cls, round_even(n / tot, 5) AS pixel_ratio FROM (SELECT *, sum(n) OVER (PARTITION BY image_id) AS tot FROM (SELECT image_id, cls, count(*) AS n FROM boxes GROUP BY ALL)) WHERE cls < 3", BOXES)
@@ -512,8 +510,7 @@ def segment_metrics(spark, sf_dir):
     n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
     both = []
     for name, g, p in (("box_map", gt, pred), ("mask_map", half(gt), half(pred))):
-        matched = matching.match_validator(matching.pairs(g, p), metrics.STEPS)
-        ap = metrics.average_precision(metrics.ranked(p, matched, n_gt, metrics.STEPS), n_gt, metrics.STEPS)
+        ap = metrics.average_precision_of(p, matching.match_marks(matching.pairs(g, p), metrics.STEPS), n_gt, metrics.STEPS)
         both.append(ap.agg(F.avg("ap").alias(name)))
     return _six(both[0].join(both[1]).withColumn("fitness", F.col("box_map") + F.col("mask_map")), "box_map", "mask_map", "fitness")
 
@@ -534,8 +531,7 @@ def pose_metrics(spark, sf_dir):
     n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
     both = []
     for name, near in (("box_map", matching.pairs(gt, pred)), ("pose_map", matching.keypoint_pairs(gt, pred, [0.1, 0.2], metrics.STEPS[0]))):
-        matched = matching.match_validator(near, metrics.STEPS)
-        ap = metrics.average_precision(metrics.ranked(pred, matched, n_gt, metrics.STEPS), n_gt, metrics.STEPS)
+        ap = metrics.average_precision_of(pred, matching.match_marks(near, metrics.STEPS), n_gt, metrics.STEPS)
         both.append(ap.agg(F.avg("ap").alias(name)))
     return _six(both[0].join(both[1]).withColumn("fitness", F.col("box_map") + F.col("pose_map")), "box_map", "pose_map", "fitness")
 

@@ -159,3 +159,22 @@ def test_run_lengths(spark):
     rows = [("a", i, v) for i, v in enumerate([True, True, False, True])] + [("b", 0, False), ("b", 1, False)]
     got = {r.k: r.counts for r in reports.run_lengths(spark.createDataFrame(rows, "k string, at int, on boolean"), ["k"]).collect()}
     assert got == {"a": [0, 2, 1, 1], "b": [2]}
+
+
+def test_marks_and_their_precision_equal_the_curve(spark):
+    """One row a prediction gives the pairs and the average precision of one row for each threshold."""
+    import random
+
+    rng = random.Random(4)
+    rows = lambda n: [(i, k, rng.randrange(2), rng.randrange(8) / 8, *(x := rng.randrange(6), y := rng.randrange(6)), x + rng.randrange(2, 6), y + rng.randrange(2, 6)) for i in range(30) for k in range(n)]
+    schema = "image_id long, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
+    gt, pred = (spark.createDataFrame([(*r[:4], *map(float, r[4:])) for r in rows(n)], schema) for n in (6, 9))
+    steps, found = metrics.STEPS, matching.pairs(gt, pred)
+    matched, marks = matching.match_validator(found, steps), matching.match_marks(found, steps)
+    got = {(r.image_id, steps[i], r.p_det_id, r.g_det_id) for r in marks.collect() for i in range(10) if r.marks >> i & 1}
+    assert got == {(r.image_id, r.threshold, r.p_det_id, r.g_det_id) for r in matched.collect()}
+    n_gt = gt.groupBy("cls").agg(F.count("*").alias("n"))
+    wanted = metrics.average_precision(metrics.ranked(pred, matched, n_gt, steps), n_gt, steps).collect()
+    ap = metrics.average_precision_of(pred, marks, n_gt, steps).collect()
+    plain = lambda some: {(r.cls, r.threshold): round(r.ap, 9) for r in some}
+    assert plain(ap) == plain(wanted) and len(ap) == 20
