@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annolens.functions.overlap import dot
+from annolens.operators import blocks
 from annolens.operators.datasets import hash_unit
 from annolens.operators.similarity import normalized
 from annolens.sources.folders import written
@@ -60,16 +61,22 @@ def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, key:
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = written(angles.join(F.broadcast(stats), "pivot").withColumn("before", before))
 
-    def scored(some: DataFrame, ring: Column | None = None) -> DataFrame:
-        both = vectors.join(some.join(asked, query_key), "pivot")
-        if ring is not None:
-            both = both.where(ring)
-        return both.select(query_key, key, F.round(dot(F.col(vector), F.col("__q")), 6).alias("score"))
+    ring = F.abs(F.col("angle") - F.col("to")) <= F.col("limit")
+    chunks = written(blocks.chunked_by(vectors, "pivot", blocks.VECTORS, "rows", key, vector, "angle"))
+    nearest = blocks.nearest(k, "dot", 6, vectors.schema[key].dataType, queries.schema[query_key].dataType, True)
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Those of ``some`` (query, pivot, to, limit) that may be among the k nearest of the vectors within limit."""
+        few = blocks.chunked_by(some.join(asked, query_key), "pivot", blocks.QUERIES, "asked", query_key, "__q", "to", "limit")
+        found = chunks.join(few, "pivot").select(F.explode(nearest("rows", "asked")).alias("n"))
+        return found.select(F.col("n.query").alias(query_key), F.col("n.key").alias(key), F.round("n.value", 6).alias("score"))
 
     n = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    near = written(scored(held.where(F.col("before") < k).select(query_key, "pivot")))
+    first = held.where(F.col("before") < k).select(query_key, "pivot", "to", F.lit(float("inf")).alias("limit"))
+    near = written(scored(first))
     kth = near.withColumn("rank", n).where(F.col("rank") == k).select(query_key, (_angle(F.col("score") - ROUNDING) + SLACK).alias("limit"))
     rest = held.where(F.col("before") >= k).join(kth, query_key).where((F.col("to") - F.col("most") <= F.col("limit")) & (F.col("least") - F.col("to") <= F.col("limit")))
-    more = written(scored(rest.select(query_key, "pivot", "to", "limit"), F.abs(F.col("angle") - F.col("to")) <= F.col("limit")))
-    every = near.union(more)
-    return every.withColumn("rank", n).where(F.col("rank") <= k), every.groupBy(query_key).agg(F.count("*").alias("compared"))
+    rest = rest.select(query_key, "pivot", "to", "limit")
+    every = near.union(scored(rest))
+    looked = vectors.select("pivot", "angle").join(first.union(rest), "pivot").where(ring)
+    return every.withColumn("rank", n).where(F.col("rank") <= k), looked.groupBy(query_key).agg(F.count("*").alias("compared"))

@@ -120,3 +120,17 @@ def test_a_report_may_begin_with_a_byte_order_mark(spark, tmp_path):
         (file,) = [f for f in (tmp_path / str(mark)).iterdir() if f.suffix == ".csv"]
         assert file.read_bytes().startswith(b"\xef\xbb\xbfname,n" if mark else b"name,n")
         assert sorted(map(tuple, reports.read_csv(spark, path).select("name", "n").collect())) == [("splash", 4), ("spot", 3)]
+
+
+def test_pivots_compare_in_chunks(spark, tmp_path, monkeypatch):
+    from annolens.operators import blocks
+
+    monkeypatch.setattr(blocks, "VECTORS", 20)
+    monkeypatch.setattr(blocks, "QUERIES", 4)
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)] if i % 3 else [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    pivots.build(vectors, str(tmp_path / "index"), 5)
+    found, _ = pivots.search(pivots.opened(spark, str(tmp_path / "index")), queries, 10)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, similarity.search(vectors, queries, 10).select(*found.columns).collect()))
