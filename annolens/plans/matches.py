@@ -75,10 +75,10 @@ def size_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT cls, range, threshold, count(*) FILTER (hit AND NOT left_out) AS tp, count(*) FILTER (NOT hit AND NOT left_out) AS fp, count(*) FILTER (left_out) AS left_out FROM looked GROUP BY ALL", "RECURSIVE " + BOXES, _SIZED)
 def size_outcomes(spark, sf_dir):
     """Predictions that count as right, as wrong, or not at all, by class, size and threshold."""
-    looked = sized.outcomes(_truth(spark, sf_dir), _found(spark, sf_dir))
-    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    n = sized.counts(_truth(spark, sf_dir), _found(spark, sf_dir))
+    count = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
     hit, out = F.col("hit"), F.col("left_out")
-    return looked.groupBy("cls", "range", "threshold").agg(count(hit & ~out, "tp"), count(~hit & ~out, "fp"), count(out, "left_out"))
+    return n.groupBy("cls", "range", "threshold").agg(count(hit & ~out, "tp"), count(~hit & ~out, "fp"), count(out, "left_out"))
 
 
 # --- windows and objects: rotated boxes in an image of 640 x 480

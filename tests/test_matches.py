@@ -258,3 +258,13 @@ def test_mutual_nearest_equals_a_plain_loop(spark):
     got = sorted((r.image_id, r.a, r.b, r.round) for r in found.collect())
     assert got == sorted((i, *m) for i, g in groups.items() for m in plain_mutual(g, 0.8, 0.1))
     assert association.mutual_nearest(spark.createDataFrame([], "image_id long, a long, b long, cost double"), 0.8).count() == 0
+
+
+def test_outcomes_counted_by_bits(spark):
+    rng = random.Random(8)
+    box = lambda: square(rng.randrange(0, 60, 4), rng.randrange(0, 60, 4), rng.choice([16, 24, 40]))
+    gt = spark.createDataFrame([(i, k, rng.randrange(2), *box(), rng.random() < 0.2) for i in range(5) for k in range(10)], GT)
+    pred = spark.createDataFrame([(i, k, rng.randrange(2), *box(), rng.randrange(10) / 10) for i in range(5) for k in range(12)], DET)
+    n = {tuple(r)[:5]: r.n for r in sized.counts(gt, pred).collect()}
+    wanted = sized.outcomes(gt, pred).groupBy("cls", "range", "threshold", "hit", "left_out").count().collect()
+    assert n == {tuple(r)[:5]: r["count"] for r in wanted}
