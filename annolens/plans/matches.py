@@ -9,6 +9,7 @@ from annolens.functions import geometry as geo
 from annolens.operators import association, datasets, grid, lifecycle, matching, raster, runlog, sized
 from annolens.plans import views
 from annolens.plans.views import BOXES, PAIRS, registry
+from annolens.sources.folders import shipped
 from annolens.streaming import metrics_log, track_lifecycle
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -140,7 +141,7 @@ def window_objects(spark, sf_dir):
 def smallest_rectangles(spark, sf_dir):
     """The rectangle of least area around the corners of a rotated box and one point more."""
     points = F.concat("points", F.array(geo.point(F.col("points")[0]["x"] + 10, F.col("points")[0]["y"] + 25)))
-    r = _rotated(spark, sf_dir).select("image_id", "det_id", geo.smallest_rectangle(points).alias("r"))
+    r = shipped(_rotated(spark, sf_dir)).select("image_id", "det_id", geo.smallest_rectangle(points).alias("r"))
     return r.select("image_id", "det_id", F.round(F.col("r.w") * F.col("r.h"), 4).alias("area"), F.round("r.w", 4).alias("w"), F.round("r.h", 4).alias("h"))
 
 
@@ -247,9 +248,13 @@ def streaming_metrics_log(spark, sf_dir):
 # --- rasters: rotated boxes in an image of 64 x 48
 
 
-def _masks(spark, sf_dir) -> DataFrame:
+def _small(spark, sf_dir) -> DataFrame:
     small = F.transform("points", lambda p: geo.point(p["x"] / 10, p["y"] / 10))
-    return raster.masks(_rotated(spark, sf_dir).select("image_id", "det_id", small.alias("points")), 64, 48)
+    return _rotated(spark, sf_dir).select("image_id", "det_id", small.alias("points"))
+
+
+def _masks(spark, sf_dir) -> DataFrame:
+    return raster.masks(_small(spark, sf_dir), 64, 48)
 
 
 _RUNS = """lines AS (SELECT image_id, det_id, p, unnest(range(greatest(ceil(list_min([q.x FOR q IN p]) - 0.5), 0)::BIGINT, least(floor(list_max([q.x FOR q IN p]) - 0.5), 63)::BIGINT + 1)) AS px
@@ -262,7 +267,7 @@ held AS (SELECT * FROM runs WHERE y1 > y0), sizes AS (SELECT image_id, det_id, s
 @query("SELECT s.image_id, s.det_id, area, min(px) AS x1, min(y0) AS y1, max(px) + 1 AS x2, max(y1) AS y2 FROM held h JOIN sizes s ON s.image_id = h.image_id AND s.det_id = h.det_id GROUP BY ALL", BOXES, _CORNERS, _RUNS)
 def polygon_masks(spark, sf_dir):
     """Pixels of every rotated box, through run lengths and back: area and enclosing box."""
-    return raster.measured(raster.masks_of(raster.run_counts(_masks(spark, sf_dir), 64, 48), 48))
+    return raster.through_counts(_small(spark, sf_dir), 64, 48)
 
 
 @query(
