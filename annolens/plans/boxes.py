@@ -108,7 +108,8 @@ _CORNER = "(SELECT *, {x} AS u1, {y} AS v1, {x2} AS u2, {y2} AS v2 FROM boxes)"
 def label_rotate(spark, sf_dir):
     """Labels rotated about the image centre by the angle whose cosine is 0.6."""
     b = geo.transform_box(*box(XYWH), 0.6, -0.8, 0.8, 0.6, 0.6, -0.2)
-    out = views.boxes(spark, sf_dir).select(*KEY, *datasets.box_columns(b, XYWH))
+    # a generator keeps the filter from being written out in terms of the table's columns, which would be too long a method to be compiled
+    out = views.boxes(spark, sf_dir).select(*KEY, *XYWH.split()).select(*KEY, F.inline(F.array(F.struct(*datasets.box_columns(b, XYWH)))))
     return out.where("w > 0.001 AND h > 0.001").select(*KEY, *[F.round(c, 6).alias(c) for c in XYWH.split()])
 
 
