@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annolens.functions.geometry import Box, flipped, xywh_to_xyxy, xyxy_to_xywh
 from annolens.functions.overlap import ioa
-from annolens.operators.grid import grid_pairs
+from annolens.operators.grid import FEW, grid_pairs
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -107,10 +107,11 @@ def paired_donors(backgrounds: DataFrame, donors: DataFrame, seed: int = 0) -> D
 def copy_donors(labels: DataFrame, share: float, most: float = 0.3, cell: float = 0.25) -> DataFrame:
     """(image_id, det_id) of mirrored instances to paste: those that cover less than ``most`` of every instance, ``share`` of them from the least covering on.
 
-    Mirrored and own instances meet in cells of side ``cell``, so only those that overlap are compared; others cover nothing.
+    In an image of more than FEW instances mirrored and own ones meet in cells of side ``cell``, so only those that overlap
+    are compared; others cover nothing.
     """
     sides = [c.alias(n) for c, n in zip(flipped(*(F.col(c) for c in CORNERS), width=F.lit(1.0)), CORNERS)]
-    near = grid_pairs(labels.select("image_id", "det_id", *sides), labels.select("image_id", *CORNERS), ["image_id"], cell)
+    near = grid_pairs(labels.select("image_id", "det_id", *sides), labels.select("image_id", *CORNERS), ["image_id"], cell, FEW)
     cover = near.groupBy("image_id", F.col("a_det_id").alias("det_id")).agg(F.max(ioa(tuple(F.col(f"a_{n}") for n in CORNERS), tuple(F.col(f"b_{n}") for n in CORNERS))).alias("worst"))
     worst = labels.select("image_id", "det_id").join(cover, ["image_id", "det_id"], "left").na.fill(0.0, ["worst"]).where(F.col("worst") < most)
     image = Window.partitionBy("image_id")
@@ -318,13 +319,16 @@ def grid_tiles(labels: DataFrame, grid: int, width: float = 1.0, height: float =
 
 
 def window_grid(images: DataFrame, crop: int, gap: int, least: float = 0.6, eps: float = 0.01) -> DataFrame:
-    """Sliding windows of each image (image_id, width, height): the last is moved to the border; windows mostly outside go, unless all are."""
+    """Sliding windows of each image (image_id, width, height; one row an image): the last is moved to the border; windows mostly outside go, unless all are."""
     step = crop - gap
     starts = lambda size: F.transform(F.sequence(F.lit(0), F.when(F.col(size) <= crop, 0).otherwise(F.ceil((F.col(size) - crop) / step)).cast("int")), lambda i: F.when((F.col(size) > crop) & (i * step + crop > F.col(size)), F.col(size) - crop).otherwise(i * step))
-    w = images.withColumn("x1", F.explode(F.array_distinct(starts("width")))).withColumn("y1", F.explode(F.array_distinct(starts("height"))))
+    # the largest share of an image's windows is the product of the largest shares of both sides, so no windows need to meet
+    held = lambda at, size: F.array_max(F.transform(at, lambda x: F.least(x + crop, F.col(size)) - x))
+    tops = images.withColumns({"xs": F.array_distinct(starts("width")), "ys": F.array_distinct(starts("height"))})
+    tops = tops.withColumn("top", held("xs", "width") * held("ys", "height") / float(crop * crop))
+    w = tops.withColumn("x1", F.explode("xs")).withColumn("y1", F.explode("ys"))
     inside = (F.least(F.col("x1") + crop, "width") - F.col("x1")) * (F.least(F.col("y1") + crop, "height") - F.col("y1")) / float(crop * crop)
-    top = F.max("ratio").over(Window.partitionBy("image_id"))
-    rated = w.withColumn("ratio", inside).withColumn("top", top)
+    rated = w.withColumn("ratio", inside)
     return rated.where((F.col("ratio") > least) | ((F.col("top") <= least) & (F.col("ratio") > F.col("top") - eps))).select("image_id", "x1", "y1", (F.col("x1") + crop).alias("x2"), (F.col("y1") + crop).alias("y2"), "ratio")
 
 
