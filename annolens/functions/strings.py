@@ -48,21 +48,39 @@ def label_path(image: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(image, r"^(.*)/images/", "$1/labels/"), r"\.[^./]*$", ".txt")
 
 
+def numbers(values: list[Column], digits: int, significant: bool = False) -> Column:
+    """The texts of numbers, blank between them, with ``digits`` decimals, or ``significant`` digits and no trailing zeros, as printf gives them.
+
+    Zero has no sign; null, NaN and infinite numbers are null, NaN, Infinity and -Infinity. An Arrow function: the
+    built-in formatter takes tens of microseconds a line.
+    """
+    form = f"%.{digits}{'g' if significant else 'f'}"
+    whole, least = " ".join([form] * len(values)), 0.0 if significant else 10.0**-digits
+    names = {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}
+
+    def one(v: float | None) -> str:
+        text = "null" if v is None else form % v
+        return names.get(text) or (text[1:] if v is not None and -least <= v <= 0 and not text.strip("-0.") and text[0] == "-" else text)
+
+    def texts(*columns):
+        import numpy as np
+        import pyarrow as pa
+
+        plain = all(not c.null_count and bool((np.isfinite(n) & ((n < -least) | (n > 0) | ((n == 0) & ~np.signbit(n)))).all()) for c in columns for n in [c.to_numpy(zero_copy_only=False)])
+        rows = zip(*[c.to_pylist() for c in columns])
+        return pa.array([whole % r for r in rows] if plain else [" ".join(map(one, r)) for r in rows], pa.string())
+
+    return F.arrow_udf(texts, "string")(*[v.cast("double") for v in values])
+
+
 def fixed(x: Column, digits: int) -> Column:
-    """Decimal text; halves go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    """Decimal text, of the number's exact value; halves go to the even digit."""
+    return numbers([x], digits)
 
 
 def general(x: Column, digits: int = 6) -> Column:
     """Shortest text of ``digits`` significant digits: no trailing zeros, an exponent below -4 or from ``digits`` on."""
-    text = F.format_string(f"%.{digits - 1}e", x.cast("double"))
-    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
-    short = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    places = F.greatest(digits - 1 - power, F.lit(0))
-    plain = F.call_function("format_string", F.concat(F.lit("%."), places.cast("string"), F.lit("f")), x.cast("double"))
-    sign = F.when(power < 0, "-").otherwise("+")
-    odd = F.concat(short(F.regexp_extract(text, "^(.*)e", 1)), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(x == 0, "0").when((power < -4) | (power >= digits), odd).otherwise(short(plain))
+    return numbers([x], digits, significant=True)
 
 
 def parsed_counts(items: Column) -> Column:

@@ -130,16 +130,16 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 
 def line(cls: Column, *numbers: Column, digits: int | None = 6) -> Column:
     """A label line with ``digits`` decimals, or six significant digits for None."""
-    text = [strings.general(x) if digits is None else strings.fixed(x, digits) for x in numbers]
+    text = [strings.numbers(list(numbers), 6 if digits is None else digits, significant=digits is None)] if numbers else []
     return F.concat_ws(" ", cls.cast("string"), *text)
 
 
 def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Write the column ``value`` as text, in one folder for each value of ``by``."""
+    """Write the column ``value`` as text, in one folder for each value of ``by``; rows of one value are together unless they are many."""
     if by is None:
         rows.select("value").write.text(path)
     else:
-        rows.select("value", by).repartition(by).write.partitionBy(by).text(path)
+        rows.select("value", by).hint("rebalance", by).write.partitionBy(by).text(path)
 
 
 def class_folders(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
