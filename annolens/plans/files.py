@@ -167,7 +167,8 @@ def labels_sniffed(spark, sf_dir):
     cls = F.when(F.col("image_id") % 5 == 0, 9).otherwise(F.col("cls")).cast("string")
     words = lambda *v: F.concat_ws(" ", cls, *[c.cast("string") for c in v])
     line = F.when(F.col("image_id") % 3 == 0, words(*sides)).otherwise(words(x1, y1, x2, y1, x2, y2, x1, y2))
-    found = labels.sniffed(views.truth(spark, sf_dir).select("image_id", line.alias("value")), views.N_CLASSES, by="image_id")
+    lines = views.truth(spark, sf_dir).select("image_id", F.explode(F.array(line)).alias("value"))  # a generator, so that filters do not write the line out anew
+    found = labels.sniffed(lines, views.N_CLASSES, by="image_id")
     return found.select("image_id", "kind", "status", "cls", *"xywh", F.coalesce(F.size("points"), F.lit(-1)).alias("n"))
 
 

@@ -16,12 +16,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, stem, value) of every line below ``path``, which may hold globs."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     file = F.col("_metadata.file_path")
-    return lines.select(file.alias("path"), F.regexp_extract(file, r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), "value")
+    # without patterns, which would be tried anew on the whole path of every line
+    name = F.substring_index(file, "/", -1)
+    bare = F.when(F.contains(name, F.lit(".")), F.left(name, F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1)).otherwise(name)
+    return lines.select(file.alias("path"), bare.alias("stem"), "value")
 
 
 def _fields(lines: DataFrame) -> DataFrame:
     """Add ``f``, the blank-separated fields; none for a blank line."""
-    trimmed = F.trim(F.regexp_replace("value", r"\s+", " "))
+    odd = F.col("value").rlike(r"[\t\n\x0B\f\r]|  ")  # most lines have single blanks only
+    trimmed = F.trim(F.when(odd, F.regexp_replace("value", r"\s+", " ")).otherwise(F.col("value")))
     return lines.withColumn("f", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " ")))
 
 
@@ -99,9 +103,12 @@ def sniffed(lines: DataFrame, n_classes: int, keypoints: tuple[int, int] | None
     else:
         points = F.when(F.col("polygons"), F.transform(F.sequence(F.lit(0), ((size - 1) / 2).cast("int") - 1), lambda i: F.struct(F.get(values, 2 * i).alias("x"), F.get(values, 2 * i + 1).alias("y"), F.lit(1).alias("v")))).otherwise(none)
         box = F.when(F.col("polygons"), _box(F.concat(values, values))).otherwise(_box(values))  # twice, so that two points are no box
-    held = checked.where("status = 'found'").select(by, kind.alias("kind"), "status", cls.cast("int").alias("cls"), box.alias("b"), points.alias("points")).select(by, "kind", "status", "cls", "b.*", "points").distinct()
-    empty = [F.lit(None).cast("int").alias("cls"), *[F.lit(None).cast("double").alias(c) for c in "xywh"], none.alias("points")]
-    return held.unionByName(checked.where("status = 'corrupt'").select(by, kind.alias("kind"), "status", *empty).distinct())
+    # equal rows of a file are one; they meet as plain numbers (a corrupt file's as none), which take less room than points
+    good = F.col("status") == "found"
+    plain = checked.select(by, "polygons", "status", F.when(good, cls.cast("int")).alias("cls"), F.when(good, F.transform(F.concat(F.array(F.lit(0.0)), values), lambda x: x + 0.0)).alias("n"))
+    once = plain.withColumn("__r", F.row_number().over(Window.partitionBy(by, "cls", "n").orderBy(F.lit(0)))).where("__r = 1")
+    rows = once.select(by, kind.alias("kind"), "status", "cls", F.when(good, box).alias("b"), F.when(good, points).otherwise(none).alias("points"))
+    return rows.select(by, "kind", "status", "cls", "b.*", "points")
 
 
 def class_totals(lines: DataFrame) -> DataFrame:
@@ -124,7 +131,8 @@ def oriented(lines: DataFrame, classes: dict[str, int]) -> DataFrame:
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """(run, threshold, stem, value): lines of the ``labels`` folders of runs named ``*conf*``."""
     lines = read_lines(spark, f"{root}/*conf*/labels")
-    run = F.regexp_extract("path", r"([^/]*)/labels/[^/]*$", 1)
+    part = lambda k: F.substring_index(F.substring_index("path", "/", -k), "/", 1)
+    run = F.when(part(2) == "labels", part(3)).otherwise("")
     return lines.select(run.alias("run"), strings.threshold_of(run).alias("threshold"), "stem", "value")
 
 
