@@ -28,3 +28,14 @@ def test_line_dedup_leaves_no_table_and_no_setting(spark):
     assert line_runs.drop_frequent(docs).where("n_dropped = 2").count() == 11
     assert {t.name for t in spark.catalog.listTables()} == before
     assert spark.conf.get(line_runs.ORDERED, None) in (None, "false")
+
+
+def test_a_hot_semi_join_reads_its_rows_once(spark):
+    """pipeline: rows of hot keys that the right side has not are joined with nothing."""
+    from annolens.llm import _common
+
+    left = spark.range(6000).selectExpr("id % 3 AS k", "id")
+    found = _common.join_hot(left, spark.createDataFrame([(1,), (7,)], "k long"), "k", "left_semi")
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("LeftSemi") == 3  # hot keys of the right side, other rows, hot rows
+    assert found.count() == 2000 and {r.k for r in found.select("k").distinct().collect()} == {1}
