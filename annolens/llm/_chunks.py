@@ -15,6 +15,7 @@ import regex
 ROOM = 24 << 20
 CHARS = 64
 LAST_LATIN = "\u024f"
+MARKS = frozenset(",.;:!?")
 
 
 class Table(dict):
@@ -25,7 +26,9 @@ class Table(dict):
         self.release()
 
     def __missing__(self, key: str):
-        value = self.of(key)
+        return self.keep(key, self.of(key))
+
+    def keep(self, key: str, value):
         if len(key) <= CHARS:
             self.free -= getsizeof(key) + getsizeof(value) + 90  # its share of the table
             if self.free < 0:
@@ -43,26 +46,26 @@ class _Odd(Exception):
 
 
 class ChunkEncoder(Table):
-    """Maps the part after a cut's space to its packed ids; each of its two tables has ``room`` bytes.
+    """Maps the part after a cut's space to its packed ids; its two tables have ``room`` bytes together.
 
     ``pretoken(str) -> bytes`` packs the ids of one match of the pattern.
     """
 
-    def __init__(self, pattern: str, pretoken, room: int = ROOM):
+    def __init__(self, pattern: str, pretoken, room: int = 2 * ROOM):
         self.findall = regex.compile(pattern).findall
-        self.tokens = Table(pretoken, room)
-        super().__init__(self.pack, room)
+        self.tokens = Table(pretoken, room // 8)
+        super().__init__(pretoken, room - room // 8)
 
-    def pack(self, part: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise _Odd
-        if part.isalpha() and max(part) <= LAST_LATIN:  # letters are one match
-            packed = self.tokens[" " + part]
-        elif part.isascii() and part[-1] in ",.;:!?" and part[:-1].isalpha():  # and the mark another
-            packed = self.tokens[" " + part[:-1]] + self.tokens[part[-1]]
+        if part.isalpha() and (part.isascii() or max(part) <= LAST_LATIN):  # letters are one match, kept in one table
+            packed = self.of(" " + part)
+        elif part[-1] in MARKS and (word := part[:-1]).isalpha() and (word.isascii() or max(word) <= LAST_LATIN):  # and the mark another
+            packed = self[word] + self.tokens[part[-1]]
         else:
             packed = b"".join(map(self.tokens.__getitem__, self.findall(" " + part)))
-        return packed
+        return self.keep(part, packed)
 
     def release(self) -> None:
         super().release()

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -34,7 +35,7 @@ from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
 GROUP_BYTES = 1 << 30
-ROOM = 112 << 20  # bytes of each of a worker's two tables
+ROOM = 224 << 20  # bytes of a worker's tables
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
@@ -93,15 +94,10 @@ def _model_encoder(tokenizer):
     before = tokenizer.pre_tokenizer
     if tokenizer.normalizer is not None or not isinstance(before, ByteLevel) or before.add_prefix_space:
         return None
-    id_of = attrgetter("id")
-    tokenize, mapped, space = tokenizer.model.tokenize, dict(enumerate(byte_chars())), byte_chars()[32]
+    id_of, tokenize, mapped = attrgetter("id"), tokenizer.model.tokenize, "".join(byte_chars())
 
     def encode(match: str) -> bytes:
-        if match.isascii() and match.isprintable():
-            word = match.replace(" ", space)
-        else:
-            word = match.encode().decode("latin-1").translate(mapped)
-        return array("I", map(id_of, tokenize(word))).tobytes()
+        return array("I", map(id_of, tokenize(charmap_decode(match.encode(), None, mapped)[0]))).tobytes()
 
     return encode
 
