@@ -98,9 +98,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", co
         return left.join(right, key, how)
     keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {left.schema[key].dataType.simpleString()}"))
     few = right.join(keys, key, "left_semi")
-    if how == "left_semi":  # the keys of ``few`` are among ``keys``
-        return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(F.broadcast(few), key, how))
-    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(F.broadcast(few), key, how))
+    cold = left.join(keys, key, "left_anti").join(right, key, how)
+    if how == "left":  # a hot key that ``few`` has not gets its one row here, so hot rows are joined once whatever ``how``
+        few, how = keys.join(F.broadcast(few), key, "left"), "inner"
+    return cold.unionByName(left.join(F.broadcast(few), key, how))
 
 
 def let(value: Column, body) -> Column:

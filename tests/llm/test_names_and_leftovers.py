@@ -39,3 +39,17 @@ def test_a_hot_semi_join_reads_its_rows_once(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     assert plan.count("LeftSemi") == 3  # hot keys of the right side, other rows, hot rows
     assert found.count() == 2000 and {r.k for r in found.select("k").distinct().collect()} == {1}
+
+
+def test_a_hot_join_joins_its_rows_once(spark):
+    """pipeline: no left-semi join gives the rows of hot keys before they are joined."""
+    from annolens.llm import _common
+
+    left = spark.range(6000).selectExpr("nullif(id % 4, 3) AS k", "id")
+    right = spark.createDataFrame([(1, "x"), (7, "y")], "k long, what string")
+    for how in ("inner", "left"):
+        found = _common.join_hot(left, right, "k", how)
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+        assert plan.count("LeftSemi") == 1  # hot keys of the right side
+        plain = left.join(right, "k", how)
+        assert found.columns == plain.columns and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
