@@ -19,23 +19,24 @@ from __future__ import annotations
 
 import os
 import struct
-from array import array
-from codecs import charmap_decode
 from collections.abc import Iterator
-from operator import attrgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm._chunks import ChunkEncoder, byte_chars
+from annolens.llm._chunks import byte_chars, encode_together
 from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
 GROUP_BYTES = 1 << 30
-ROOM = 224 << 20  # bytes of a worker's tables
+GROUP_TEXT = 20 << 20  # bytes of texts encoded together, but for the last batch
+TOGETHER = 50  # matches in one string for the library
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
@@ -64,61 +65,122 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_loaded: dict[str, ChunkEncoder] = {}
+class TextEncoder:
+    """Ids by the tokenizers library, which gets each distinct match of the pattern in a group of texts once."""
 
-
-def encoder(tokenizer_file: str, pattern: str):
-    """text -> packed little-endian u32 ids by the tokenizers library, whole pre-tokens kept per worker."""
-    if tokenizer_file not in _loaded:
+    def __init__(self, tokenizer_file: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer_file)
-        t.no_truncation()
-        t.no_padding()
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-        whole = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = ChunkEncoder(pattern, _model_encoder(t) or whole, ROOM)
-        # an added token may start or end inside a chunk, so such texts go through the library whole
-        _loaded[tokenizer_file] = lambda s: whole(s) if any(x in s for x in special) else chunks.encode(s)
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.findall, self.matches = regex.compile(pattern).findall, _model_encoder(self.library) or self.each
+
+    def each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that go through the library whole."""
+        ids = [self.library.encode(x, add_special_tokens=False).ids for x in texts.to_pylist()]
+        return np.fromiter(chain.from_iterable(ids), "<u4"), np.array(list(map(len, ids)), np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in one array, and their number for each text."""
+        texts, whole = texts.fill_null(""), np.zeros(len(texts), bool)
+        for x in self.special:  # an added token may start or end inside a match
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return encode_together(texts, self.findall, self.matches)
+        ids, sizes = encode_together(pc.if_else(pa.array(whole), "", texts), self.findall, self.matches)
+        more, n = self.each(texts.filter(pa.array(whole)))
+        ids, sizes[whole] = np.insert(ids, np.repeat(np.cumsum(sizes)[whole], n), more), n
+        return ids, sizes
+
+    def __call__(self, text: str) -> bytes:
+        return self.encode(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+_loaded: dict[str, TextEncoder] = {}
+
+
+def encoder(tokenizer_file: str, pattern: str) -> TextEncoder:
+    if tokenizer_file not in _loaded:
+        _loaded[tokenizer_file] = TextEncoder(tokenizer_file, pattern)
     return _loaded[tokenizer_file]
 
 
 def _model_encoder(tokenizer):
-    """Ids of one match by the library's model alone, or None where more than byte mapping precedes the model.
+    """Ids of matches by the library's model alone, or None where more than byte mapping precedes the model.
 
-    A match needs no normalising or splitting, and the offsets that a full encoding keeps cost more than its merges.
+    Matches need no normalising or splitting, and the offsets that a full encoding keeps cost more than its merges. The
+    library gets many of them between spaces, which byte mapping leaves in none; the bytes of the ids tell where each ends.
     """
-    from tokenizers.pre_tokenizers import ByteLevel
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
     before = tokenizer.pre_tokenizer
     if tokenizer.normalizer is not None or not isinstance(before, ByteLevel) or before.add_prefix_space:
         return None
-    id_of, tokenize, mapped = attrgetter("id"), tokenizer.model.tokenize, "".join(byte_chars())
-
-    def encode(match: str) -> bytes:
-        return array("I", map(id_of, tokenize(charmap_decode(match.encode(), None, mapped)[0]))).tobytes()
+    model = Tokenizer(tokenizer.model)
+    model.pre_tokenizer, vocab = CharDelimiterSplit(" "), model.get_vocab()
+    if not vocab.keys() >= set(byte_chars()):  # a byte without an id would be left out
+        return None
+    mapped, n_bytes = np.array(list(map(ord, byte_chars())), "<u2"), np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        n_bytes[i] = len(token)
+
+    def encode(matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        length = pc.binary_length(matches).to_numpy().astype(np.int64)
+        ends = np.cumsum(length)
+        raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(matches)], matches), "")[0].as_buffer(), np.uint8)
+        spaced = np.insert(mapped[raw], ends[:-1], 32).tobytes().decode("utf-16-le")
+        cuts = np.append((ends - length)[::TOGETHER] + np.arange(0, len(ends), TOGETHER), len(spaced) + 1).tolist()
+        ids = [np.zeros(0, "<u4")]
+        for k in range(0, len(cuts) - 1, 200):
+            some = cuts[k : k + 201]
+            ids += [np.array(x.ids, "<u4") for x in model.encode_batch_fast([spaced[i : j - 1] for i, j in zip(some, some[1:])], add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        to = np.cumsum(n_bytes[ids])
+        last = np.searchsorted(to, ends)
+        if len(ends) and (to[-1] != ends[-1] or (to[last] != ends).any()):
+            raise ValueError("an id crosses two words")
+        return ids, np.diff(last, prepend=-1)
 
     return encode
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about GROUP_TEXT bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GROUP_TEXT:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _sorted_blocks(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_file, pattern), end_id.to_bytes(4, "little")
+        encode = encoder(tokenizer_file, pattern).encode
         part, ids, sizes, held, n, before, block = TaskContext.get().partitionId(), [], [], [], 0, 0, 0
 
         def full():
-            packed = np.frombuffer(b"".join(held), "<u4")
-            row = {"part": [part], "block": [block], "before": [before], "doc_ids": [ids], "sizes": [sizes], "ids": [(packed.astype("<u2") if small else packed).tobytes()]}
+            row = {"part": [part], "block": [block], "before": [before], "doc_ids": [ids], "sizes": [sizes], "ids": [np.concatenate(held).tobytes()]}
             return pa.RecordBatch.from_pydict(row, schema=kinds)
 
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                coded = encode(text.as_py() or "") + end
-                ids.append(key)
-                sizes.append(len(coded) // 4)
-                held.append(coded)
-                n += len(coded) // 4
+        for b in _grouped(batches):
+            coded, each = encode(b.column(1))
+            ends = np.cumsum(each)
+            coded, ends = np.insert(coded, ends, end_id).astype("<u2" if small else "<u4"), ends + np.arange(1, len(ends) + 1)
+            keys, each, at, done = b.column(0).to_pylist(), (each + 1).tolist(), 0, 0
+            for k, to in enumerate(ends.tolist(), 1):
+                if n + to - at >= BLOCK_TOKENS or k == len(keys):
+                    ids += keys[done:k]
+                    sizes += each[done:k]
+                    held.append(coded[at:to])
+                    n, at, done = n + to - at, to, k
                 if n >= BLOCK_TOKENS:
                     yield full()
                     ids, sizes, held, n, before, block = [], [], [], 0, before + n, block + 1
@@ -154,7 +216,8 @@ def _frequencies(blocks: DataFrame) -> DataFrame:
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document, append ``end_id``, and write ``path``/blocks and ``path``/ranks.
 
-    The text is sorted by id before it is encoded, so it is shuffled once and encoded once;
+    The text is sorted by id before it is encoded, so it is shuffled once and encoded once, a group
+    of about GROUP_TEXT bytes together;
     ids wait in a written table while their frequencies are counted. The driver holds one
     count per vocabulary entry and one total per range partition.
     """
