@@ -119,16 +119,16 @@ def encode_together(texts: pa.Array, findall: Callable[[str], list[str]], encode
     del matches, of_text, known
 
     ids, sizes = encode(words)
-    more, each = _gather(ids, sizes, place)
+    more, each = gather(ids, sizes, place)
     each = np.diff(np.append(0, np.cumsum(each))[np.append(begins, len(place))])
     ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, each])
     row = np.zeros(used[-1] + 1 if len(used) else 0, np.int64)
     row[used] = np.arange(len(words), len(sizes))
-    ids, sizes = _gather(ids, sizes, np.insert(row[which], np.repeat(np.cumsum(rest) - rest, n_lead), of_texts))
+    ids, sizes = gather(ids, sizes, np.insert(row[which], np.repeat(np.cumsum(rest) - rest, n_lead), of_texts))
     return ids, np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n_lead + rest))])
 
 
-def _gather(ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def gather(ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The ids of ``rows``, where row k has ``sizes[k]`` of ``ids``, and their number for each of ``rows``; ``step`` rows at a time."""
     starts, n = np.cumsum(sizes) - sizes, sizes[rows]
     out, to = np.empty(n.sum(), ids.dtype), 0

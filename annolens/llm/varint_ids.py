@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm._chunks import byte_chars, encode_together
+from annolens.llm._chunks import byte_chars, encode_together, gather
 from annolens.llm._common import cut, remove, shared_dir
 
 BLOCK_TOKENS = 1 << 18
 GROUP_BYTES = 1 << 30
 GROUP_TEXT = 20 << 20  # bytes of texts encoded together, but for the last batch
+KEPT = 80 << 20  # bytes of matches and their ids that a worker keeps
 TOGETHER = 50  # matches in one string for the library
 MAGIC, HEADER = b"FVB1", "<4sIQQQQ"
 #: Bytes of each of the four values of a control byte.
@@ -66,7 +67,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class TextEncoder:
-    """Ids by the tokenizers library, which gets each distinct match of the pattern in a group of texts once."""
+    """Ids by the tokenizers library, which gets each distinct match of the pattern in a group of texts once at most."""
 
     def __init__(self, tokenizer_file: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,7 +77,24 @@ class TextEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.findall, self.matches = regex.compile(pattern).findall, _model_encoder(self.library) or self.each
+        self.findall, self.fresh = regex.compile(pattern).findall, _model_encoder(self.library) or self.each
+        self.kept = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def matches(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct matches; those of earlier groups are kept while they take KEPT bytes at most, else only the last group's."""
+        known, ids, sizes = self.kept
+        at = pc.index_in(words, value_set=known)
+        new = words.filter(at.is_null())
+        more, n = self.fresh(new)
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, n])
+        rows = at.fill_null(-1).to_numpy().astype(np.int64)
+        rows[rows < 0] = np.arange(len(known), len(sizes))
+        found = gather(ids, sizes, rows)
+        for kept in ((pa.concat_arrays([known, new]), ids, sizes), (words, *found), (words[:0], ids[:0], sizes[:0])):
+            if sum(x.nbytes for x in kept) <= KEPT:
+                self.kept = kept
+                break
+        return found
 
     def each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that go through the library whole."""
